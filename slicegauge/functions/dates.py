@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_TIME = (r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-_EXTENDED = r"^(\d{4})-(\d{2})-(\d{2})" + _TIME
-_BASIC = r"^(\d{4})(\d{2})(\d{2})" + _TIME
+_TIME = r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_EITHER = r"^(\d{4})-?(\d{2})-?(\d{2})" + _TIME
+# the separators must be all there or all missing
+_FORMS = r"^\d{4}(?:-\d{2}-\d{2}|\d{4})(?:\D|$)"
 _WEEK = r"^(\d{4})-?W(\d{2})(?:-?(\d))?$"
 
 
@@ -14,15 +15,15 @@ def _group(s: str, pattern: str, i: int) -> str:
     return f"nullif(regexp_extract({s}, r'{pattern}', {i}), '')"
 
 
-def _calendar(s: str, pattern: str) -> str:
-    y, mo, d, h, mi, se, frac, zone = [_group(s, pattern, i) for i in range(1, 9)]
+def _calendar(s: str) -> str:
+    y, mo, d, h, mi, se, frac, zone = [_group(s, _EITHER, i) for i in range(1, 9)]
     whole = [f"try_cast({x} AS INT)" for x in (y, mo, d)]
     clock = [f"coalesce(try_cast({x} AS INT), 0)" for x in (h, mi)]
     sec = f"CAST(concat(coalesce({se}, '0'), '.', coalesce({frac}, '0')) AS DECIMAL(16, 6))"
     tz = (f"CASE WHEN coalesce({zone}, 'Z') = 'Z' THEN 'UTC' ELSE concat(substr({zone}, 1, 3), ':', "
-          f"substr(replace({zone}, ':', ''), 4, 2)) END")
+          f"right({zone}, 2)) END")
     made = f"try_make_timestamp({', '.join([*whole, *clock, sec, tz])})"
-    return f"CASE WHEN {s} RLIKE r'{pattern}' THEN {made} END"
+    return f"CASE WHEN {s} RLIKE r'{_FORMS}' AND {s} RLIKE r'{_EITHER}' THEN {made} END"
 
 
 def _week(s: str) -> str:
@@ -37,13 +38,13 @@ def _week(s: str) -> str:
 
 def parse_iso(s: str) -> str:
     """SQL: ISO 8601 date or date-time as timestamp; naive values are UTC; else NULL."""
-    return f"coalesce({_calendar(s, _EXTENDED)}, {_calendar(s, _BASIC)}, {_week(s)})"
+    return f"coalesce({_calendar(s)}, {_week(s)})"
 
 
 def age_days(ts: str, as_of: str) -> str:
     """SQL: days from a timestamp to the evaluation time; future dates count as 0."""
     now = f"unix_micros(CAST('{as_of}' AS TIMESTAMP))"
-    return f"greatest(0.0D, ({now} - unix_micros({ts})) / 86400e6D)"
+    return f"greatest(0.0D, ({now} - unix_micros(CAST({ts} AS TIMESTAMP))) / 86400e6D)"
 
 
 def decay(days: str, half_life_days: float) -> str:
@@ -52,4 +53,5 @@ def decay(days: str, half_life_days: float) -> str:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
+    a, b = [F.unix_micros(c.cast("timestamp")) for c in (start, end)]
+    return (b - a) / F.lit(3.6e9)

@@ -6,9 +6,11 @@ call instead of a Python call per operator.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
@@ -47,3 +49,9 @@ def clamp01(x: str) -> str:
 
 def struct(fields: Mapping[str, str]) -> str:
     return "named_struct(" + ", ".join(f"{value(k)}, {v}" for k, v in fields.items()) + ")"
+
+
+def local_table(spark: SparkSession, rows: Sequence[Sequence[Any]], columns: Sequence[str]) -> DataFrame:
+    """A caller's few rows as a local relation: no Python worker, size known to Catalyst."""
+    values = ", ".join("(" + ", ".join(value(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(name(c) for c in columns)})")

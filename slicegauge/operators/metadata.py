@@ -103,8 +103,7 @@ def objectivity(meta: Metadata) -> Proxy:
 
 def _dated(meta: Metadata, proxy: str, half_life_days: float, as_of: str, unreadable: float,
            score: str) -> Proxy:
-    raw = meta.dated()
-    days = age_days(parse_iso(raw), as_of)
+    raw, days = "__date_text", "__age_days"
     kept = score.format(decay(days, half_life_days))
     return Proxy(
         proxy,
@@ -112,7 +111,8 @@ def _dated(meta: Metadata, proxy: str, half_life_days: float, as_of: str, unread
         f"{raw} IS NOT NULL", f"coalesce(CAST({days} AS STRING), {raw})",
         {"age_days": days, "half_life_days": sql.value(float(half_life_days)),
          "reason": f"CASE WHEN {raw} IS NULL THEN 'no collection or update date' "
-                   f"WHEN {days} IS NULL THEN concat('unreadable date: ', {raw}) END"})
+                   f"WHEN {days} IS NULL THEN concat('unreadable date: ', {raw}) END"},
+        inputs={raw: meta.dated(), days: age_days(parse_iso(meta.dated()), as_of)})
 
 
 def timeliness(meta: Metadata, as_of: str, half_life_days: float = 365.0) -> Proxy:
@@ -183,7 +183,7 @@ def select_datasets(catalog: DataFrame, key: str, names: Sequence[str] | None =
         picked = picked.where(F.col(k) == F.lit(v))
     if names is None:
         return picked.select(key, F.lit("ok").alias("status"))
-    wanted = catalog.sparkSession.createDataFrame([(n,) for n in names], f"{key} string")
+    wanted = sql.local_table(catalog.sparkSession, [(n,) for n in names], [key])
     unknown = wanted.join(catalog.select(key), key, "left_anti").select(key, F.lit("unknown").alias("status"))
     known = picked.where(F.col(key).isin(*names)).select(key, F.lit("ok").alias("status"))
     return known.unionByName(unknown)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sql
-from ..functions.columns import as_double, attach, numeric_columns
+from ..functions.columns import as_double, attach, gather, numeric_columns
 from .quantiles import exact_quantiles
 
 DECILES = [i / 10 for i in range(11)]
@@ -67,35 +67,27 @@ def nmi_pairs(df: DataFrame, features: Sequence[str], protected: Sequence[str],
     lab = binned(df, cols, by, n_bins, quantiles, small_bytes)
     prot = [F.col(p).alias(f"__p{i}") for i, p in enumerate(protected)]
     names = [f"__p{i}" for i in range(len(protected))]
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
-    long = lab.select(*by, *prot, F.inline(cells)).where(F.col("x").isNotNull())
-    first = long.groupBy(*by, "feature", "x", *names).agg(F.count(F.lit(1)).alias("c"))
-    sides = F.array(*[F.struct(F.lit(p).alias("protected"), F.col(n).alias("y"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("__x")) for f in features])
+    long = lab.select(*by, *prot, F.inline(cells)).where(F.col("__x").isNotNull())
+    first = long.groupBy(*by, "feature", "__x", *names).agg(F.count(F.lit(1)).alias("__c"))
+    sides = F.array(*[F.struct(F.lit(p).alias("protected"), F.col(n).alias("__y"))
                       for p, n in zip(protected, names)])
-    joint = (first.select(*by, "feature", "x", "c", F.inline(sides)).where(F.col("y").isNotNull())
-             .groupBy(*by, "feature", "protected", "x", "y").agg(F.sum("c").alias("c")))
+    joint = (first.select(*by, "feature", "__x", "__c", F.inline(sides)).where(F.col("__y").isNotNull())
+             .groupBy(*by, "feature", "protected", "__x", "__y").agg(F.sum("__c").alias("__c")))
     g = [*by, "feature", "protected"]
     # sum(c ln c) of the joint counts and of both margins determine MI and entropies
-    s_xy = joint.groupBy(*g).agg(F.sum("c").alias("n"), F.sum(_c_ln_c("c")).alias("s_xy"))
-    s_x = (joint.groupBy(*g, "x").agg(F.sum("c").alias("c"))
-           .groupBy(*g).agg(F.sum(_c_ln_c("c")).alias("s_x"), F.count(F.lit(1)).alias("k_x")))
-    s_y = (joint.groupBy(*g, "y").agg(F.sum("c").alias("c"))
-           .groupBy(*g).agg(F.sum(_c_ln_c("c")).alias("s_y"), F.count(F.lit(1)).alias("k_y")))
-    parts = (s_xy.unionByName(s_x, allowMissingColumns=True).unionByName(s_y, allowMissingColumns=True)
-             .groupBy(*g).agg(*[F.max(c).alias(c) for c in ("n", "s_xy", "s_x", "s_y", "k_x", "k_y")]))
-    n = F.col("n")
+    weight = F.expr("sum(__c * ln(__c))")
+    s_xy = joint.groupBy(*g).agg(F.sum("__c").alias("n"), weight.alias("__sxy"))
+    s_x = (joint.groupBy(*g, "__x").agg(F.sum("__c").alias("__c"))
+           .groupBy(*g).agg(weight.alias("__sx"), F.count(F.lit(1)).alias("__kx")))
+    s_y = (joint.groupBy(*g, "__y").agg(F.sum("__c").alias("__c"))
+           .groupBy(*g).agg(weight.alias("__sy"), F.count(F.lit(1)).alias("__ky")))
     # a single category has entropy zero exactly, whatever the rounding
-    h_x = F.when(F.col("k_x") == 1, F.lit(0.0)).otherwise(F.ln(n) - F.col("s_x") / n)
-    h_y = F.when(F.col("k_y") == 1, F.lit(0.0)).otherwise(F.ln(n) - F.col("s_y") / n)
-    mi = (F.when((F.col("k_x") == 1) | (F.col("k_y") == 1), F.lit(0.0))
-          .otherwise(F.ln(n) + (F.col("s_xy") - F.col("s_x") - F.col("s_y")) / n))
-    nmi = F.coalesce(F.try_divide(2 * F.col("mi"), F.col("h_x") + F.col("h_y")), F.lit(0.0))
-    return (parts.withColumns({"mi": mi, "h_x": h_x, "h_y": h_y})
-            .select(*g, "n", "mi", "h_x", "h_y", nmi.alias("nmi")))
-
-
-def _c_ln_c(name: str) -> Column:
-    return F.col(name) * F.ln(name)
+    return gather([s_xy, s_x, s_y], g).selectExpr(
+        *[sql.name(k) for k in g], "n",
+        "IF(__kx = 1 OR __ky = 1, 0.0D, ln(n) + (__sxy - __sx - __sy) / n) AS mi",
+        "IF(__kx = 1, 0.0D, ln(n) - __sx / n) AS h_x", "IF(__ky = 1, 0.0D, ln(n) - __sy / n) AS h_y",
+    ).selectExpr("*", "coalesce(try_divide(2 * mi, h_x + h_y), 0.0D) AS nmi")
 
 
 def feature_max(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

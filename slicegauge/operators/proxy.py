@@ -28,6 +28,8 @@ class Proxy:
     details: Mapping[str, str] = field(default_factory=dict)
     aggs: Sequence[Column] = ()
     frames: Sequence[DataFrame] = ()
+    # costly inputs, computed once per row before the expressions above
+    inputs: Mapping[str, str] = field(default_factory=dict)
 
     def excluded(self, **details: str) -> "Proxy":
         """The same proxy, not applicable; its results stay visible in the details."""
@@ -50,6 +52,9 @@ def not_applicable(name: str, score: float, reason: str) -> Proxy:
 def long_scores(wide: DataFrame, proxies: Sequence[Proxy], keys: Sequence[str]) -> DataFrame:
     """One output row per proxy for each row of `wide`."""
     cells = ", ".join(p.struct() for p in proxies)
+    inputs = {k: v for p in proxies for k, v in p.inputs.items()}
+    if inputs:
+        wide = wide.selectExpr("*", *[f"{v} AS {k}" for k, v in inputs.items()])
     return wide.selectExpr(*[sql.name(k) for k in keys], f"inline(array({cells}))")
 
 

@@ -35,8 +35,9 @@ def _reference_table(df: DataFrame, reference: Mapping[str, Mapping[Any, float]]
         numeric = isinstance(df.schema[col].dataType, (T.NumericType, T.BooleanType))
         for k, p in probs.items():
             rows.append((col, None if numeric else str(k), float(k) if numeric else None, float(p)))
-    out = df.sparkSession.createDataFrame(rows, "column string, s string, d double, p double")
-    return out.select("column", F.coalesce("s", F.col("d").cast("string")).alias("value"), "p")
+    out = sql.local_table(df.sparkSession, rows, ["column", "s", "d", "p"])
+    text = F.coalesce(F.col("s").cast("string"), F.col("d").cast("double").cast("string"))
+    return out.select("column", text.alias("value"), "p")
 
 
 def total_variation(df: DataFrame, reference: Mapping[str, Mapping[Any, float]],
@@ -60,13 +61,13 @@ def total_variation(df: DataFrame, reference: Mapping[str, Mapping[Any, float]],
     else:
         long = long.withColumn("p", F.lit(None).cast("double"))
     counts = (long.withColumn("value", F.when(F.col("p").isNotNull(), F.col("value")))
-              .groupBy(*by, "column", "value", "p").agg(F.count(F.lit(1)).alias("c")))
+              .groupBy(*by, "column", "value", "p").agg(F.count(F.lit(1)).alias("__c")))
     seen = counts.groupBy(*by, "column").agg(
-        F.sum("c").alias("n"),
-        F.sum(F.when(F.col("p").isNull(), F.col("c")).otherwise(0)).alias("__other"),
+        F.sum("__c").alias("n"),
+        F.sum(F.when(F.col("p").isNull(), F.col("__c")).otherwise(0)).alias("__other"),
         F.sum(F.coalesce(F.abs("p"), F.lit(0.0))).alias("__p_seen"),
         # entries are bounded by the caller's dictionary
-        F.collect_list(F.when(F.col("p").isNotNull(), F.struct("c", "p"))).alias("__hits"))
+        F.collect_list(F.when(F.col("p").isNotNull(), F.struct(F.col("__c").alias("c"), "p"))).alias("__hits"))
     mass = sql.choose("column", {c: float(sum(abs(p) for p in ps.values())) for c, ps in ref.items()}, "0.0D")
     gaps = "aggregate(__hits, 0.0D, (acc, h) -> acc + abs(h.p - h.c / n))"
     tv = F.expr(f"0.5D * ({gaps} + __other / n + {mass} - __p_seen)")
@@ -90,7 +91,7 @@ def entropy(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     H = ln N - sum(c ln c) / N, so the counts need no second pass for shares.
     """
     long = melt(df, by, {c: _as_key(df, c) for c in columns}).where(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c")
-    h = F.ln(n) - F.sum(F.col("c") * F.ln("c")) / n
+    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("__c"))
+    n = F.sum("__c")
+    h = F.ln(n) - F.sum(F.col("__c") * F.ln("__c")) / n
     return counts.groupBy(*by, "column").agg(n.alias("n"), F.greatest(F.lit(0.0), h).alias("entropy"))

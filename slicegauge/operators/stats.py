@@ -18,6 +18,13 @@ MIN_PAIRS = 3
 MIN_SLICES = 4
 # Two R2 differences this close are equal: summation order must not decide a tie.
 TIE = 1e-12
+# A relative spread below this is a constant column after averaging.
+NOISE = 1e-12
+
+
+def varies(x: str) -> str:
+    """SQL aggregate: whether a column spans more than rounding noise."""
+    return f"(max({x}) - min({x}) > {NOISE!r}D * greatest(abs(max({x})), abs(min({x}))))"
 
 
 def pearson_of(x: str, y: str) -> Column:
@@ -26,10 +33,9 @@ def pearson_of(x: str, y: str) -> Column:
     Both columns must be missing together. Built from moments rather than
     `corr`, which fails on a constant under ANSI mode.
     """
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    return F.when((F.count(x) >= MIN_PAIRS) & varies, r)
+    r = f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+    return F.expr(f"CASE WHEN count({x}) >= {MIN_PAIRS} AND {varies(x)} AND {varies(y)} "
+                  f"THEN greatest(-1.0D, least(1.0D, {r})) END")
 
 
 def pairs_long(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -65,7 +71,7 @@ def _spearman_parts(pairs: DataFrame, g: Sequence[str], small_bytes: int | None)
         F.sum(F.col("c") * F.col("rx") * F.col("rx")).alias("sxx"),
         F.sum(F.col("c") * F.col("ry") * F.col("ry")).alias("syy"),
         F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("sxy"),
-        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"))
+        F.expr(f"{varies('x')} AND {varies('y')}").alias("varies"))
     mean = (F.col("n") + 1) / F.lit(2.0)
     cov = F.col("sxy") / F.col("n") - mean * mean
     vx, vy = F.col("sxx") / F.col("n") - mean * mean, F.col("syy") / F.col("n") - mean * mean
@@ -140,7 +146,7 @@ def delta_r2(df: DataFrame, conditional: str, uniform: str, outcome: str, by: Se
 def trend_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, slope, intercept) of the least-squares line; NULL when x is constant."""
     long = pairs_long(df, by, [(x, y)])
-    ok = (F.count(F.lit(1)) >= 2) & (F.min("x") < F.max("x"))
+    ok = (F.count(F.lit(1)) >= 2) & F.expr(varies("x"))
     return long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                  F.when(ok, F.regr_slope("y", "x")).alias("slope"),
                                  F.when(ok, F.regr_intercept("y", "x")).alias("intercept"))

@@ -159,7 +159,7 @@ def composite_scores(t: Tables) -> DataFrame:
 
 @query("excluded_for_na", f"""WITH {LONG_SQL} SELECT dataset,
   coalesce(string_agg(CASE WHEN NOT applicable THEN name END, ',' ORDER BY ord), '') AS excluded,
-  count_if(applicable) AS n_applicable FROM sc GROUP BY dataset""")
+  count(*) FILTER (applicable) AS n_applicable FROM sc GROUP BY dataset""")
 def excluded_for_na(t: Tables) -> DataFrame:
     return composites(catalog_scores(t), "ML", ["dataset"]).selectExpr(
         "dataset", "array_join(excluded_for_na, ',') AS excluded",
@@ -244,7 +244,7 @@ def relevance(t: Tables) -> DataFrame:
     declared = (seen.withColumn("column", F.expr(S.choose("seg", needs, "NULL")))
                 .where("column IS NOT NULL").select("dataset", "column").distinct())
     listing = [(n, c) for n in ("customer", "orders") for c in getattr(t, n).columns]
-    present = t.spark.createDataFrame(listing, "dataset string, column string")
+    present = S.local_table(t.spark, listing, ["dataset", "column"])
     return md.catalog_relevance(declared, present).selectExpr("dataset", "n_declared", "n_present", *rounded("score"))
 
 
@@ -257,7 +257,7 @@ def row_timeliness(t: Tables) -> DataFrame:
 
 
 @query("poisoning_by_source", """SELECT lang, count(DISTINCT source) AS source_count,
-  round(greatest(0.0, least(1.0, 1.0 - 0.4 - least(0.3, (count(DISTINCT source) - 1) * 0.075))), 8) AS score
+  round(CAST(greatest(0.0, least(1.0, 1.0 - 0.4 - least(0.3, (count(DISTINCT source) - 1) * 0.075))) AS DOUBLE), 8) AS score
   FROM documents GROUP BY lang""")
 def poisoning_by_source(t: Tables) -> DataFrame:
     n = source_counts(t.documents, "source", ["lang"])

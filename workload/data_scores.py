@@ -85,8 +85,8 @@ def free_of_error_lineitem(t: Tables) -> DataFrame:
     return quality.free_of_error(t.lineitem, ["l_returnflag"]).selectExpr("l_returnflag", *rounded("score"))
 
 
-@query("missing_rate", """SELECT event_type, count(*) AS n_rows, count_if(user_id < 20) + count_if(value < 5) AS n_missing,
-  round((count_if(user_id < 20) + count_if(value < 5)) / (count(*) * 3.0), 8) AS missing_rate FROM events GROUP BY event_type""")
+@query("missing_rate", """SELECT event_type, count(*) AS n_rows, count(*) FILTER (user_id < 20) + count(*) FILTER (value < 5) AS n_missing,
+  round((count(*) FILTER (user_id < 20) + count(*) FILTER (value < 5)) / (count(*) * 3.0), 8) AS missing_rate FROM events GROUP BY event_type""")
 def missing_rate(t: Tables) -> DataFrame:
     holes = t.events.selectExpr("event_type", "CASE WHEN user_id >= 20 THEN user_id END AS user_id",
                                 "CASE WHEN value < 5 THEN double('nan') ELSE value END AS value", "ts")
@@ -134,8 +134,8 @@ _USABLE = r"regexp_matches(text, '\S')"
 
 
 def _harm_sql(table: str, by: str) -> str:
-    return f"""SELECT {by}, round(greatest(count_if({_TOX}), count_if({_PII})) / CAST(count(*) AS DOUBLE), 8) AS score,
-      count(*) AS n_texts, count_if({_TOX}) AS n_toxic, count_if({_PII}) AS n_pii FROM {table} WHERE {_USABLE} GROUP BY {by}"""
+    return f"""SELECT {by}, round(greatest(count(*) FILTER ({_TOX}), count(*) FILTER ({_PII})) / CAST(count(*) AS DOUBLE), 8) AS score,
+      count(*) AS n_texts, count(*) FILTER ({_TOX}) AS n_toxic, count(*) FILTER ({_PII}) AS n_pii FROM {table} WHERE {_USABLE} GROUP BY {by}"""
 
 
 def _harm(df: DataFrame, by: str, **options) -> DataFrame:
@@ -169,20 +169,20 @@ def harm_density_sampled(t: Tables) -> DataFrame:
 
 
 @query("pii_flags", "SELECT lang, count(*) AS n_texts, " + ", ".join(
-    f"count_if({_re(p)}) AS n_{k}" for k, p in PII_PATTERNS.items()) + f", count_if({_PII}) AS n_any FROM documents WHERE {_USABLE} GROUP BY lang")
+    f"count(*) FILTER ({_re(p)}) AS n_{k}" for k, p in PII_PATTERNS.items()) + f", count(*) FILTER ({_PII}) AS n_any FROM documents WHERE {_USABLE} GROUP BY lang")
 def pii_flags(t: Tables) -> DataFrame:
     return safety.text_flags(t.documents, "text", PII_PATTERNS, ["lang"])
 
 
-@query("toxicity_lexicon", f"SELECT source, count(*) AS n_texts, count_if({_TOX}) AS n_lexicon, count_if({_TOX}) AS n_any "
+@query("toxicity_lexicon", f"SELECT source, count(*) AS n_texts, count(*) FILTER ({_TOX}) AS n_lexicon, count(*) FILTER ({_TOX}) AS n_any "
                            f"FROM documents WHERE {_USABLE} GROUP BY source")
 def toxicity_lexicon(t: Tables) -> DataFrame:
     return safety.text_flags(t.documents, "text", {"lexicon": TOXIC_TERMS}, ["source"], ignore_case=True)
 
 
 @query("toxicity_threshold_rate", f"""SELECT lang, count(*) AS n_texts,
-  round(greatest(count_if(toxic >= 0.7), count_if({_PII})) / CAST(count(*) AS DOUBLE), 8) AS score,
-  count_if(toxic >= 0.7) AS n_toxic, count_if({_PII}) AS n_pii FROM documents JOIN labels USING (doc_id) WHERE {_USABLE} GROUP BY lang""")
+  round(greatest(count(*) FILTER (toxic >= 0.7), count(*) FILTER ({_PII})) / CAST(count(*) AS DOUBLE), 8) AS score,
+  count(*) FILTER (toxic >= 0.7) AS n_toxic, count(*) FILTER ({_PII}) AS n_pii FROM documents JOIN labels USING (doc_id) WHERE {_USABLE} GROUP BY lang""")
 def toxicity_threshold_rate(t: Tables) -> DataFrame:
     scored = t.documents.join(t.labels, "doc_id")
     return _harm(scored, "lang", classifier=["toxic"])
@@ -193,9 +193,9 @@ OWN_TERMS = {"a": [r"\bthing\b", r"\boning\b"], "b": [r"\bering\b"]}
 
 def _dual_sql(patterns: dict, by: str) -> str:
     hit = {k: "(" + " OR ".join(_re(p, flags="i") for p in ps) + ")" for k, ps in patterns.items()}
-    per = ", ".join(f"count_if({h}) AS {k}" for k, h in hit.items())
+    per = ", ".join(f"count(*) FILTER ({h}) AS {k}" for k, h in hit.items())
     any_ = " OR ".join(hit.values())
-    return (f"SELECT {by}, count_if({any_}) AS flagged, {per}, round(count_if({any_}) / CAST(count(*) AS DOUBLE), 8) AS score "
+    return (f"SELECT {by}, count(*) FILTER ({any_}) AS flagged, {per}, round(count(*) FILTER ({any_}) / CAST(count(*) AS DOUBLE), 8) AS score "
             f"FROM documents WHERE {_USABLE} GROUP BY {by}")
 
 
@@ -222,9 +222,9 @@ EDGE = [{"name": "deep_discount", "filter": "l_discount >= 0.1 AND l_quantity >
         {"name": "broken", "filter": "no_such_column > 1"}]
 
 
-@query("edge_case_coverage", """SELECT l_linenumber, round(1 - (CAST(count_if(l_discount >= 0.1 AND l_quantity > 45) >= 20 AS INT)
-    + CAST(count_if(l_tax = 0 AND l_returnflag = 'R') >= 1 AS INT)
-    + CAST(count_if(l_shipdate > TIMESTAMP '2030-01-01') >= 1 AS INT)) / 4.0, 8) AS score, true AS applicable
+@query("edge_case_coverage", """SELECT l_linenumber, round(1 - (CAST(count(*) FILTER (l_discount >= 0.1 AND l_quantity > 45) >= 20 AS INT)
+    + CAST(count(*) FILTER (l_tax = 0 AND l_returnflag = 'R') >= 1 AS INT)
+    + CAST(count(*) FILTER (l_shipdate > TIMESTAMP '2030-01-01') >= 1 AS INT)) / 4.0, 8) AS score, true AS applicable
   FROM lineitem GROUP BY l_linenumber""")
 def edge_case_coverage(t: Tables) -> DataFrame:
     return safety.edge_case_coverage(t.lineitem, EDGE, True, ["l_linenumber"]).selectExpr(
@@ -247,7 +247,7 @@ def reidentification_risk(t: Tables) -> DataFrame:
 
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_NMI_LINE = "(SELECT year(l_shipdate) AS y, CASE WHEN l_tax > 0.01 THEN l_tax END AS l_tax, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus FROM lineitem)"
+_NMI_LINE = "(SELECT CAST(year(l_shipdate) AS INT) AS y, CASE WHEN l_tax > 0.01 THEN l_tax END AS l_tax, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus FROM lineitem)"
 
 
 def _nmi_input(t: Tables) -> DataFrame:
@@ -264,7 +264,7 @@ def nmi_pairs(t: Tables) -> DataFrame:
         "y", "feature", "protected", "n", *rounded("nmi"))
 
 
-@query("inferential_harm", f"""SELECT y, round(count_if(best >= 0.002) / 4.0, 8) AS score, true AS applicable FROM (
+@query("inferential_harm", f"""SELECT y, round(count(*) FILTER (best >= 0.002) / 4.0, 8) AS score, true AS applicable FROM (
   SELECT y, feature, max(nmi) AS best FROM ({_NMI_SQL}) GROUP BY ALL) GROUP BY y""")
 def inferential_harm(t: Tables) -> DataFrame:
     out = rights.inferential_harm_potential(_nmi_input(t), ["l_returnflag", "l_linestatus"], ["y"], 0.002)
@@ -273,7 +273,7 @@ def inferential_harm(t: Tables) -> DataFrame:
 
 @query("entropy", " UNION ALL ".join(f"""SELECT y, '{c}' AS "column", CAST(sum(c) AS BIGINT) AS n,
    round(-sum(p * ln(p)), 8) + 0.0 AS entropy FROM (SELECT *, c / CAST(sum(c) OVER (PARTITION BY y) AS DOUBLE) AS p FROM (
-   SELECT year(l_shipdate) AS y, {c}, count(*) AS c FROM lineitem GROUP BY ALL)) GROUP BY y""" for c in ("l_returnflag", "l_suppkey")))
+   SELECT CAST(year(l_shipdate) AS INT) AS y, {c}, count(*) AS c FROM lineitem GROUP BY ALL)) GROUP BY y""" for c in ("l_returnflag", "l_suppkey")))
 def entropy(t: Tables) -> DataFrame:
     li = t.lineitem.selectExpr("year(l_shipdate) AS y", "l_returnflag", "l_suppkey")
     return shares.entropy(li, ["l_returnflag", "l_suppkey"], ["y"]).selectExpr("y", "column", "n", *rounded("entropy"))

@@ -12,13 +12,13 @@ from .sqlgen import draw, draw_int
 # One region has a constant Q, one no R, one too few slices with a Q.
 _Q = ("CASE WHEN r_name = 'AMERICA' THEN 0.5 WHEN n_name IN ('NATION_2', 'NATION_7') THEN NULL ELSE avg(c_acctbal) / 10000 END")
 SLICE_SCORES = {"Q": _Q,
-                "R": "CASE WHEN r_name <> 'EUROPE' THEN avg(CAST(c_mktsegment = 'MACHINERY' AS INT)) END",
-                "demographic_representation_gap": "avg(CAST(c_mktsegment = 'BUILDING' AS INT))",
-                "harm_content_density": "avg(CAST(c_acctbal < 3000 AS INT))",
-                "S_composite": "avg(CAST(c_acctbal > 6000 AS INT))"}
+                "R": "CASE WHEN r_name <> 'EUROPE' THEN avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal ELSE 0 END) / 2000 END",
+                "demographic_representation_gap": "avg(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal ELSE 0 END) / 2000",
+                "harm_content_density": "avg(CASE WHEN c_acctbal < 3000 THEN c_acctbal ELSE 0 END) / 3000",
+                "S_composite": "avg(CASE WHEN c_acctbal > 6000 THEN c_acctbal ELSE 0 END) / 10000"}
 MEASURES = {"accuracy": "avg(CAST(l_linestatus = 'O' AS INT))", "eod_worst": "avg(l_discount)", "dpd_worst": "avg(l_tax)",
             "worst_subgroup_error_gap": "avg(l_quantity) / 50", "mc1": "avg(CAST(l_discount > 0.05 AS INT))",
-            "mc2": "avg(l_extendedprice) / 100000"}
+            "mc2": "avg(l_extendedprice) / 97003"}
 _KEYS = "r_name AS dataset, n_name AS slice"
 _WHERE = "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
@@ -69,9 +69,9 @@ def _r(*cols: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
 
 
-@query("metrics_with_scores", f"WITH {RUNS_SQL} SELECT dataset, slice, model_family, seed, n_test, {_r(*_ALL)} FROM runs")
+@query("metrics_with_scores", f"WITH {RUNS_SQL} SELECT dataset, slice, model_family, seed, n_test, {_r(*_ALL, digits=10)} FROM runs")
 def metrics_with_scores(t: Tables) -> DataFrame:
-    return runs(t).selectExpr("dataset", "slice", "model_family", "seed", "n_test", *rounded(*_ALL, digits=6))
+    return runs(t).selectExpr("dataset", "slice", "model_family", "seed", "n_test", *rounded(*_ALL, digits=10))
 
 
 @query("slice_means", f"WITH {RUNS_SQL} SELECT dataset, slice, {_r(*_ALL)} FROM (SELECT dataset, slice, "
@@ -91,7 +91,8 @@ def conditional_vs_uniform_q(t: Tables) -> DataFrame:
 # --- correlation --------------------------------------------------------------
 
 def _pearson_sql(x: str, y: str) -> str:
-    return (f"CASE WHEN count({x}) >= 3 AND min({x}) < max({x}) AND min({y}) < max({y}) "
+    vary = " AND ".join(f"max({c}) - min({c}) > 1e-12 * greatest(abs(max({c})), abs(min({c})))" for c in (x, y))
+    return (f"CASE WHEN count({x}) >= 3 AND {vary} "
             f"THEN covar_pop({y}, {x}) / (stddev_pop({x}) * stddev_pop({y})) END")
 
 
@@ -136,8 +137,8 @@ def delta_r2(t: Tables) -> DataFrame:
 
 
 @query("trend_line", f"""WITH {RUNS_SQL}, a AS (SELECT dataset, slice, avg(Q) AS x, avg(accuracy) AS y FROM runs GROUP BY ALL)
-  SELECT dataset, count(*) AS n, CASE WHEN min(x) < max(x) THEN round(regr_slope(y, x), 6) + 0.0 END AS slope,
-  CASE WHEN min(x) < max(x) THEN round(regr_intercept(y, x), 6) + 0.0 END AS intercept FROM a WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
+  SELECT dataset, count(*) AS n, CASE WHEN max(x) - min(x) > 1e-12 * max(x) THEN round(regr_slope(y, x), 6) + 0.0 END AS slope,
+  CASE WHEN max(x) - min(x) > 1e-12 * max(x) THEN round(regr_intercept(y, x), 6) + 0.0 END AS intercept FROM a WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
 def trend_line(t: Tables) -> DataFrame:
     agg = stats.group_means(runs(t), ["dataset", "slice"], ["Q", "accuracy"])
     return stats.trend_line(agg, "Q", "accuracy", ["dataset"]).selectExpr("dataset", "n", *rounded("slope", "intercept", digits=6))
@@ -232,13 +233,13 @@ _PK = draw("'42'", "'perm'", "CAST(perm AS VARCHAR)", "slice")
 @query("h4_permutation_delta_r2", f"""WITH {RUNS_SQL}, {UNIFORM_SQL}, b AS (SELECT * FROM (SELECT dataset, slice, avg(Q) AS Q, avg(accuracy) AS accuracy FROM runs GROUP BY ALL)
     LEFT JOIN uq USING (dataset, slice)), f AS (SELECT * FROM b WHERE Q IS NOT NULL AND q_uniform IS NOT NULL AND accuracy IS NOT NULL),
   pt AS (SELECT dataset, pow({_pearson_sql('Q', 'accuracy')}, 2) AS r2c, pow({_pearson_sql('q_uniform', 'accuracy')}, 2) AS r2u,
-    min(Q) < max(Q) AND min(q_uniform) < max(q_uniform) AS varies FROM f GROUP BY 1),
+    max(Q) - min(Q) > 1e-12 * max(Q) AND max(q_uniform) - min(q_uniform) > 1e-12 * max(q_uniform) AS varies FROM f GROUP BY 1),
   ps AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {draw("'42'", "'position'", 'slice')}, slice) AS pos FROM f),
   sh AS (SELECT dataset, perm, accuracy AS ya, row_number() OVER (PARTITION BY dataset, perm ORDER BY {_PK}, slice) AS pos
     FROM (SELECT *, unnest(range(1, 1001)) AS perm FROM f)),
   dd AS (SELECT dataset, perm, pow({_pearson_sql('Q', 'ya')}, 2) - pow({_pearson_sql('q_uniform', 'ya')}, 2) AS d FROM sh JOIN ps USING (dataset, pos) GROUP BY 1, 2),
   pv AS (SELECT dataset, count(d) AS n_permutations, avg(CAST(abs(d) >= abs(r2c - r2u) - 1e-12 AS INT)) AS p FROM dd JOIN pt USING (dataset) WHERE d IS NOT NULL GROUP BY 1),
-  st AS (SELECT dataset, count_if(Q IS NOT NULL AND q_uniform IS NOT NULL AND accuracy IS NOT NULL) AS n_slices FROM b GROUP BY 1),
+  st AS (SELECT dataset, count(*) FILTER (Q IS NOT NULL AND q_uniform IS NOT NULL AND accuracy IS NOT NULL) AS n_slices FROM b GROUP BY 1),
   o AS (SELECT st.*, CASE WHEN n_slices < 4 THEN 'underpowered' WHEN NOT varies THEN 'no_predictor_variance' ELSE 'ok' END AS status, r2c, r2u, p, n_permutations
     FROM st LEFT JOIN pt USING (dataset) LEFT JOIN pv USING (dataset))
   SELECT dataset, n_slices, status, CASE WHEN status = 'ok' THEN round(r2c, 6) END AS r2_conditional, CASE WHEN status = 'ok' THEN round(r2u, 6) END AS r2_uniform,

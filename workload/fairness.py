@@ -68,7 +68,7 @@ def worst_subgroup(t: Tables) -> DataFrame:
 def gaps_sql(by: str) -> str:
     both = "tpr IS NOT NULL AND fpr IS NOT NULL"
     return f"""SELECT {by}, attribute, count(*) AS n_groups, CASE WHEN count(*) >= 2 THEN max(pr) - min(pr) END AS dpd,
-      CASE WHEN count_if({both}) >= 2 THEN greatest(max(tpr) FILTER ({both}) - min(tpr) FILTER ({both}),
+      CASE WHEN count(*) FILTER ({both}) >= 2 THEN greatest(max(tpr) FILTER ({both}) - min(tpr) FILTER ({both}),
         max(fpr) FILTER ({both}) - min(fpr) FILTER ({both})) END AS eod FROM gr GROUP BY ALL"""
 
 

@@ -120,7 +120,7 @@ def flat_feature_table(t: Tables) -> DataFrame:
 
 
 @query("runs_pivot", """SELECT CAST(user_id % 10 AS INT) AS bucket, """ + ", ".join(
-    f"count_if(event_type = '{e}') AS n_{e}, round(avg(value) FILTER (event_type = '{e}'), 6) AS mean_{e}"
+    f"count(*) FILTER (event_type = '{e}') AS n_{e}, round(avg(value) FILTER (event_type = '{e}'), 6) AS mean_{e}"
     for e in ("click", "error", "purchase", "refund", "signup", "view")) + " FROM events GROUP BY 1")
 def runs_pivot(t: Tables) -> DataFrame:
     kinds = ["click", "error", "purchase", "refund", "signup", "view"]
@@ -156,7 +156,7 @@ def table_fingerprint(t: Tables) -> DataFrame:
 # --- factuality: user = question, event = choice, ll = -value, label = purchase --
 
 _CHOICES = ("(SELECT CAST(user_id AS BIGINT) AS q, event_id AS idx, CAST(floor(value / 5) AS DOUBLE) * -1 AS ll, "
-            "CAST(event_type = 'purchase' AS INT) AS label, month(ts) AS m FROM events)")
+            "CAST(event_type = 'purchase' AS INT) AS label, CAST(month(ts) AS INT) AS m FROM events)")
 
 
 def choices(t: Tables) -> DataFrame:

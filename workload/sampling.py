@@ -54,7 +54,7 @@ def _pool_sql(label: str, table: str, key: str) -> str:
 
 
 _SIZES = [200, 350, 500]
-_N = "(SELECT count_if(quality = 1) AS p, count(*) AS n FROM labels)"
+_N = "(SELECT count(*) FILTER (quality = 1) AS p, count(*) AS n FROM labels)"
 _PLAN = " UNION ALL ".join(
     f"SELECT 'quality_slice_{i:02d}_n{s}' AS slice, 1 AS lab, CAST(round_even({s} * (p / CAST(n AS DOUBLE)), 0) AS BIGINT) AS k, {s} AS tot FROM {_N}"
     for i, s in enumerate(_SIZES))

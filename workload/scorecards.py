@@ -57,12 +57,12 @@ def scorecard_sql(by: str, rows: Sequence[tuple[str, str, str, str]], source: st
         for i, (name, axis, expr, ok) in enumerate(rows, start=1))
 
 
-ORDERS_WIDE = f"""{_ORD}, base AS (SELECT o_orderstatus, count(*) AS n_rows, count_if(o_totalprice > 499000) AS e1,
-    count_if(o_orderdate < TIMESTAMP '1992-01-10') AS e2 FROM ord GROUP BY 1),
+ORDERS_WIDE = f"""{_ORD}, base AS (SELECT o_orderstatus, count(*) AS n_rows, count(*) FILTER (o_totalprice > 499000) AS e1,
+    count(*) FILTER (o_orderdate < TIMESTAMP '1992-01-10') AS e2 FROM ord GROUP BY 1),
   tv AS ({G.tv_sql('ord', REF_PRIO, 'o_orderstatus')}),
   foe AS ({G.error_sql('ord', _OCOL, ['o_custkey', 'o_totalprice', 'y'], 'o_orderstatus')}),
   kan AS ({G.kanon_sql('ord', ['o_orderpriority', 'y'], 'o_orderstatus')}),
-  inf AS (SELECT o_orderstatus, count_if(nmi >= 0.0005) / 4.0 AS share FROM (
+  inf AS (SELECT o_orderstatus, count(*) FILTER (nmi >= 0.0005) / 4.0 AS share FROM (
     {G.nmi_sql('ord', ['o_custkey', 'o_totalprice', 'y'], ['o_orderdate', 'o_orderpriority'], ['o_orderpriority'], 'o_orderstatus')}) GROUP BY 1),
   wide AS (SELECT base.*, tv.tv, foe.score AS foe, kan.risk, inf.share FROM base JOIN tv USING (o_orderstatus)
     JOIN foe USING (o_orderstatus) JOIN kan USING (o_orderstatus) JOIN inf USING (o_orderstatus))"""
@@ -106,10 +106,10 @@ DOCS_CFG = AssessmentConfig(application="LLM", target_rows_for_task=500, declare
                             has_human_subjects=False, protected_attributes=["source"], quasi_identifiers=["source"], as_of=AS_OF)
 _DAGE = "(epoch_us(TIMESTAMP '" + AS_OF + "') - epoch_us(TIMESTAMP '2023-06-30 10:00:00')) / 86400e6"
 DOCS_WIDE = f"""docs AS (SELECT lang, text, source, n_chars FROM documents), base AS (SELECT lang, count(*) AS n_rows,
-    greatest(count_if({_TOX}), count_if({_PII})) / CAST(count(*) AS DOUBLE) AS harm FROM docs GROUP BY 1),
+    greatest(count(*) FILTER ({_TOX}), count(*) FILTER ({_PII})) / CAST(count(*) AS DOUBLE) AS harm FROM docs GROUP BY 1),
   foe AS ({G.error_sql('docs', ['text', 'source', 'n_chars'], ['n_chars'], 'lang')}),
   kan AS ({G.kanon_sql('docs', ['source'], 'lang')}),
-  inf AS (SELECT lang, count_if(nmi >= 0.2) / 2.0 AS share FROM ({G.nmi_sql('docs', ['n_chars'], ['text', 'source'], ['source'], 'lang')}) GROUP BY 1),
+  inf AS (SELECT lang, count(*) FILTER (nmi >= 0.2) / 2.0 AS share FROM ({G.nmi_sql('docs', ['n_chars'], ['text', 'source'], ['source'], 'lang')}) GROUP BY 1),
   wide AS (SELECT base.*, foe.score AS foe, kan.risk, inf.share FROM base JOIN foe USING (lang) JOIN kan USING (lang) JOIN inf USING (lang))"""
 DOCS_ROWS = [
     _row("appropriate_amount", "quality", "n_rows / 500.0"), _row("representativeness", "quality", "0.5", "false"),

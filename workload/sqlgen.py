@@ -30,8 +30,8 @@ def outlier_sql(table: str, columns: Sequence[str], by: str) -> str:
     """SELECT by, col, n, lo, hi, n_out, share for the usable numeric columns."""
     return " UNION ALL ".join(f"""
     SELECT t.{by}, '{c}' AS col, any_value(b.n) AS n, any_value(b.lo) AS lo, any_value(b.hi) AS hi,
-           count_if({c} < b.lo OR {c} > b.hi) AS n_out,
-           count_if({c} < b.lo OR {c} > b.hi) / CAST(any_value(b.n) AS DOUBLE) AS share
+           count(*) FILTER ({c} < b.lo OR {c} > b.hi) AS n_out,
+           count(*) FILTER ({c} < b.lo OR {c} > b.hi) / CAST(any_value(b.n) AS DOUBLE) AS share
     FROM {table} t JOIN (
       SELECT {by}, n, q1 - 3 * (q3 - q1) AS lo, q3 + 3 * (q3 - q1) AS hi FROM (
         SELECT {by}, count({c}) AS n, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
@@ -42,7 +42,7 @@ def outlier_sql(table: str, columns: Sequence[str], by: str) -> str:
 
 def error_sql(table: str, columns: Sequence[str], numeric: Sequence[str], by: str) -> str:
     """SELECT by, missing, dup, outl, score of the error proxy."""
-    nulls = " + ".join(f"count_if({c} IS NULL)" for c in columns)
+    nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
     out = (f"SELECT {by}, avg(share) AS o FROM ({outlier_sql(table, numeric, by)}) GROUP BY {by}"
            if numeric else f"SELECT {by}, 0.0 AS o FROM {table} WHERE false")
     return f"""
