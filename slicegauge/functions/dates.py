@@ -44,7 +44,9 @@ def parse_iso(s: str) -> str:
 def age_days(ts: str, as_of: str) -> str:
     """SQL: days from a timestamp to the evaluation time; future dates count as 0."""
     now = f"unix_micros(CAST('{as_of}' AS TIMESTAMP))"
-    return f"greatest(0.0D, ({now} - unix_micros(CAST({ts} AS TIMESTAMP))) / 86400e6D)"
+    days = f"({now} - unix_micros(CAST({ts} AS TIMESTAMP))) / 86400e6D"
+    # `greatest` skips NULLs, so a missing time must be kept apart
+    return f"CASE WHEN {ts} IS NOT NULL THEN greatest(0.0D, {days}) END"
 
 
 def decay(days: str, half_life_days: float) -> str:

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sql
+from ..functions.columns import no_nan
 from ..functions.hashing import draw_key
 from ..functions.text import DUAL_USE_PATTERNS, PII_PATTERNS, TOXIC_TERMS, any_hit, is_text, matches
 from .proxy import Proxy, not_applicable, single
@@ -29,7 +30,7 @@ def toxic_flag(text: Column, classifier: Toxicity = "lexicon", threshold: float
         return matches(text, TOXIC_TERMS, ignore_case=True)
     if classifier == "none":
         return F.lit(False)
-    cols = [F.col(c).cast("double") for c in ([classifier] if isinstance(classifier, str) else classifier)]
+    cols = [no_nan(F.col(c).cast("double")) for c in ([classifier] if isinstance(classifier, str) else classifier)]
     top = cols[0] if len(cols) == 1 else F.greatest(*cols)
     return F.coalesce(top >= threshold, F.lit(False))
 

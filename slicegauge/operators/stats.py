@@ -27,6 +27,11 @@ def varies(x: str) -> str:
     return f"(max({x}) - min({x}) > {NOISE!r}D * greatest(abs(max({x})), abs(min({x}))))"
 
 
+def unit_interval(r: str) -> str:
+    """SQL: clip to [-1, 1], keeping NULL (which `greatest` and `least` would skip)."""
+    return f"IF({r} IS NULL, NULL, greatest(-1.0D, least(1.0D, {r})))"
+
+
 def pearson_of(x: str, y: str) -> Column:
     """Aggregate: Pearson r; NULL below three pairs or without variance.
 
@@ -35,7 +40,7 @@ def pearson_of(x: str, y: str) -> Column:
     """
     r = f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
     return F.expr(f"CASE WHEN count({x}) >= {MIN_PAIRS} AND {varies(x)} AND {varies(y)} "
-                  f"THEN greatest(-1.0D, least(1.0D, {r})) END")
+                  f"THEN {unit_interval(r)} END")
 
 
 def pairs_long(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -75,8 +80,9 @@ def _spearman_parts(pairs: DataFrame, g: Sequence[str], small_bytes: int | None)
     mean = (F.col("n") + 1) / F.lit(2.0)
     cov = F.col("sxy") / F.col("n") - mean * mean
     vx, vy = F.col("sxx") / F.col("n") - mean * mean, F.col("syy") / F.col("n") - mean * mean
-    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))))
-    return sums.select(*g, "n", F.when((F.col("n") >= MIN_PAIRS) & F.col("varies"), rho).alias("spearman_rho"))
+    sums = sums.select(*g, "n", "varies", F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)).alias("rho"))
+    return sums.select(*g, "n", F.when((F.col("n") >= MIN_PAIRS) & F.col("varies"),
+                                       F.expr(unit_interval("rho"))).alias("spearman_rho"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), small_bytes: int | None = None) -> DataFrame:
@@ -97,13 +103,13 @@ def bootstrap(pairs: DataFrame, g: Sequence[str], key: str, n_boot: int = 1000,
     pos = hash_ranked(keyed, g, "__k", [key], "__pos", small_bytes=small_bytes).select(*g, "x", "y", "__pos")
     size = pairs.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
     base = join_on(pos, size, g).where(F.col("__n") >= min_slices)
-    draws = base.select(*g, "__n", "__pos", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
-    pick = draw_int(draw_key(seed, "draw", F.col("rep"), F.col("__pos"))) % F.col("__n") + 1
-    draws = draws.select(*g, "rep", pick.alias("__pos"))
-    reps = join_on(draws, pos, [*g, "__pos"]).groupBy(*g, "rep").agg(pearson_of("x", "y").alias("r"))
+    draws = base.select(*g, "__n", "__pos", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__rep"))
+    pick = draw_int(draw_key(seed, "draw", F.col("__rep"), F.col("__pos"))) % F.col("__n") + 1
+    draws = draws.select(*g, "__rep", pick.alias("__pos"))
+    reps = join_on(draws, pos, [*g, "__pos"]).groupBy(*g, "__rep").agg(pearson_of("x", "y").alias("__r"))
     # at most n_boot values per test
-    ci = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
-    done = reps.groupBy(*g).agg(F.avg("r").alias("r_mean"), ci.alias("__ci"), F.count("r").alias("n_resamples"))
+    ci = F.percentile("__r", F.array(F.lit(0.025), F.lit(0.975)))
+    done = reps.groupBy(*g).agg(F.avg("__r").alias("r_mean"), ci.alias("__ci"), F.count("__r").alias("n_resamples"))
     out = gather([size, done], g)
     status = (F.when(F.col("__n") < min_slices, "underpowered")
                .when(F.coalesce("n_resamples", F.lit(0)) == 0, "all_resamples_invalid").otherwise("ok"))
@@ -174,15 +180,15 @@ def permutation_delta_r2(df: DataFrame, by: Sequence[str], key: str, conditional
     full = df.select(*by, key, *[no_nan(F.col(c).cast("double")).alias(c) for c in cols]).dropna(subset=cols)
     pos = hash_ranked(full.withColumn("__k", draw_key(seed, "position", F.col(key))), by, "__k", [key],
                       "__pos", small_bytes=small_bytes).drop("__k")
-    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")
+    perms = F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("__perm")
     shuffled = full.select(*by, key, F.col(outcome).alias("__y"), perms)
-    shuffled = hash_ranked(shuffled.withColumn("__k", draw_key(seed, "perm", F.col("perm"), F.col(key))),
-                           [*by, "perm"], "__k", [key], "__pos", small_bytes=small_bytes)
-    null = join_on(shuffled.select(*by, "perm", "__y", "__pos"),
+    shuffled = hash_ranked(shuffled.withColumn("__k", draw_key(seed, "perm", F.col("__perm"), F.col(key))),
+                           [*by, "__perm"], "__k", [key], "__pos", small_bytes=small_bytes)
+    null = join_on(shuffled.select(*by, "__perm", "__y", "__pos"),
                    pos.select(*by, "__pos", conditional, uniform), [*by, "__pos"])
     diff = F.pow(pearson_of(conditional, "__y"), F.lit(2.0)) - F.pow(pearson_of(uniform, "__y"), F.lit(2.0))
-    each = null.groupBy(*by, "perm").agg(diff.alias("d")).where(F.col("d").isNotNull())
+    each = null.groupBy(*by, "__perm").agg(diff.alias("__d")).where(F.col("__d").isNotNull())
     real = delta_r2(full, conditional, uniform, outcome, by).select(*by, F.col("delta_r2").alias("__real"))
     return join_on(each, real, by).groupBy(*by).agg(
-        F.count("d").alias("n_permutations"),
-        F.avg((F.abs("d") >= F.abs("__real") - TIE).cast("int")).alias("permutation_p"))
+        F.count("__d").alias("n_permutations"),
+        F.avg((F.abs("__d") >= F.abs("__real") - TIE).cast("int")).alias("permutation_p"))

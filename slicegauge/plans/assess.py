@@ -8,12 +8,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import sql
 from ..functions.columns import clean, numeric_columns
 from ..operators import metadata as md, quality, rights, safety
 from ..operators.composite import composites
 from ..operators.nmi import DECILES
 from ..operators.proxy import Proxy, evaluate
 from ..operators.quantiles import exact_quantiles
+from ..schema import QUALITY, RIGHTS, SAFETY
 
 
 @dataclass
@@ -109,13 +111,11 @@ def slice_records(scores: DataFrame, application: str, by: Sequence[str] = ("dat
     into one object.
     """
     comp = composites(scores, application, [*by, "n_rows"])
-    entries = F.col("breakdown")
-    per_axis = {a: F.map_from_entries(F.transform(
-        F.filter(entries, lambda x, a=a: x["axis"] == a), lambda x: F.struct(x["name"], x["score"])))
-        for a in ("quality", "safety", "rights")}
+    per_axis = {a: f"map_from_entries(transform(filter(breakdown, x -> x.axis = '{a}'), x -> struct(x.name, x.score)))"
+                for a in (QUALITY, SAFETY, RIGHTS)}
     base = comp.select(*by, "n_rows", F.lit(application).alias("application"),
                        F.col("quality").alias("Q"), F.col("safety").alias("S"), F.col("rights").alias("R"),
-                       "excluded_for_na", F.struct(*[c.alias(a) for a, c in per_axis.items()]).alias("per_sub_dimension"))
+                       "excluded_for_na", F.expr(sql.struct(per_axis)).alias("per_sub_dimension"))
     # at most one entry per proxy and slice
     details = scores.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(".", "axis", "name"), F.struct("applicable", "raw_value", "details")))).alias("details"))

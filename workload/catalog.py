@@ -65,7 +65,9 @@ def _has(*fields: str) -> str:
 
 
 _RAW = "coalesce(nullif(data_collection_end, ''), nullif(last_updated, ''))"
-_AGE = (f"greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(TRY_CAST({_RAW} AS TIMESTAMP))) / 86400e6)")
+# greatest() skips NULLs in both dialects: an unreadable date must stay NULL
+_AGE = (f"CASE WHEN TRY_CAST({_RAW} AS TIMESTAMP) IS NOT NULL THEN greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') "
+        f"- epoch_us(TRY_CAST({_RAW} AS TIMESTAMP))) / 86400e6) END")
 
 
 def _case(subject: str, table: dict, default: str) -> str:
@@ -76,7 +78,7 @@ def _case(subject: str, table: dict, default: str) -> str:
 CAT_SCORES = {
     "source_trustworthiness": (f"({_has(*md.TRUST_FIELDS)}) / 5.0", "true"),
     "objectivity": (_case("content_type", md.OBJECTIVITY, "0.5"), "content_type IS NOT NULL"),
-    "timeliness": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(exp(-{_AGE} / 365.0), 0.0) END",
+    "timeliness": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(exp(-({_AGE}) / 365.0), 0.0) END",
                    f"{_RAW} IS NOT NULL"),
     "source_security": (f"({_has(*md.SECURITY_FIELDS)}) / 4.0", "true"),
     "poisoning_susceptibility": (
@@ -85,7 +87,7 @@ CAT_SCORES = {
     "adversarial_provenance_risk": (
         "0.5 * ugc_fraction + 0.3 * " + _case("coalesce(scraping_breadth, 'narrow')", md.BREADTH, "0.5") +
         " + 0.2 * CAST(anonymous_contributions AS INT)", "true"),
-    "factual_decay_rate": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(1 - exp(-{_AGE} / 365.0), 1.0) END",
+    "factual_decay_rate": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(1 - exp(-({_AGE}) / 365.0), 1.0) END",
                            f"{_RAW} IS NOT NULL"),
     "consent_provenance": (
         f"greatest(0.0, {_case('consent_type', md.CONSENT, '1.0')} - 0.1 * ({_has('subject_consent_documented')})"
