@@ -14,62 +14,61 @@ DECILES = [i / 10 for i in range(11)]
 
 
 def bin_edges(quantiles: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per group with an edge array column per numeric column."""
-    aggs = [F.first(F.when(F.col("column") == c, F.col("q")), ignorenulls=True).alias(f"__e{i}")
-            for i, c in enumerate(columns)]
-    return quantiles.groupBy(*by).agg(*aggs)
+    """One row per group: per numeric column the inner edges of its right-closed bins.
+
+    Repeated edges make no bin of their own. NULL where an infinite value
+    leaves no intervals: the values then are the categories.
+    """
+    infinite = "abs(q[0]) = double('inf') OR abs(element_at(q, -1)) = double('inf')"
+    inner = "array_distinct(filter(slice(q, 2, size(q) - 2), e -> e > q[0]))"
+    clean = quantiles.select(*by, "column", F.expr(f"IF({infinite}, NULL, {inner})").alias("__edges"))
+    return clean.groupBy(*by).agg(*[
+        F.expr(f"first(IF(column = {sql.value(c)}, __edges, NULL), true)").alias(f"__e{i}")
+        for i, c in enumerate(columns)])
 
 
 def _label(value: str, edges: str, n_bins: int) -> str:
-    """SQL: right-closed quantile bin; repeated edges make no bin of their own."""
-    low, top = f"get({edges}, 0)", f"get({edges}, {n_bins})"
-    above = [f"coalesce(CAST({value} > get({edges}, {i}) AND get({edges}, {i}) > {low} AS INT), 0)"
-             for i in range(1, n_bins)]
-    # with an infinite value no interval can be formed: values are the categories
-    infinite = f"coalesce(abs({low}) = double('inf') OR abs({top}) = double('inf'), false)"
-    return (f"CASE WHEN {value} IS NULL THEN NULL WHEN {infinite} THEN CAST({value} AS STRING) "
-            f"ELSE CAST({sql.plus(above)} AS STRING) END")
-
-
-def binned(df: DataFrame, columns: Sequence[str], by: Sequence[str], n_bins: int = 10,
-           quantiles: DataFrame | None = None, small_bytes: int | None = None) -> DataFrame:
-    """Replace the columns by category labels: quantile bins if numeric, text otherwise."""
-    nums = numeric_columns(df, columns, with_bool=True)
-    if nums:
-        if quantiles is None:
-            probs = [i / n_bins for i in range(n_bins + 1)]
-            quantiles = exact_quantiles(df, nums, probs, by, small_bytes)
-        edges = bin_edges(quantiles, nums, by)
-        df = attach(df, edges, by, "left")
-        # the numeric values as doubles first, so that each is computed once
-        df = df.withColumns({f"__v{i}": as_double(df, c) for i, c in enumerate(nums)})
-    out = []
-    for c in columns:
-        if c in nums:
-            i = nums.index(c)
-            out.append(F.expr(_label(f"__v{i}", f"__e{i}", n_bins)).alias(c))
-        else:
-            out.append(F.col(c).cast("string").alias(c))
-    return df.select(*by, *out)
+    """SQL: category of a number, the count of inner edges below it.
+
+    Unrolled rather than a lambda over the edges, which would leave codegen.
+    """
+    below = sql.plus(f"IF({value} > get({edges}, {i}), 1, 0)" for i in range(n_bins - 1))
+    return f"IF({edges} IS NULL, CAST({value} AS STRING), CAST({below} AS STRING))"
 
 
 def nmi_pairs(df: DataFrame, features: Sequence[str], protected: Sequence[str], by: Sequence[str] = (),
               n_bins: int = 10, quantiles: DataFrame | None = None,
               small_bytes: int | None = None) -> DataFrame:
-    """(by, feature, protected, n, mi, nmi) over rows where both sides are present.
+    """(by, feature, protected, n, mi, h_x, h_y, nmi) over rows where both sides are present.
 
-    Rows are unpivoted over the features only; the protected labels stay
-    columns, so the map-side counts do most of the work and the second
+    Numeric columns fall into quantile bins of their group, all else is taken
+    as text. Rows are unpivoted over the features only; the protected labels
+    stay columns, so the map-side counts do most of the work and the second
     unpivot runs over counts. NMI = 2 MI / (H(x) + H(y)), natural logarithm.
     """
     by = list(by)
     cols = list(dict.fromkeys([*features, *protected]))
-    lab = binned(df, cols, by, n_bins, quantiles, small_bytes)
-    prot = [F.col(p).alias(f"__p{i}") for i, p in enumerate(protected)]
+    nums = numeric_columns(df, cols, with_bool=True)
+    if nums:
+        if quantiles is None:
+            quantiles = exact_quantiles(df, nums, [i / n_bins for i in range(n_bins + 1)], by, small_bytes)
+        df = attach(df, bin_edges(quantiles, nums, by), by, "left")
+    number = {c: as_double(df, c) for c in nums}
+    edge = {c: F.col(f"__e{i}") for i, c in enumerate(nums)}
+    no_edges = F.lit(None).cast("array<double>")
     names = [f"__p{i}" for i in range(len(protected))]
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("__x")) for f in features])
-    long = lab.select(*by, *prot, F.inline(cells)).where(F.col("__x").isNotNull())
-    first = long.groupBy(*by, "feature", "__x", *names).agg(F.count(F.lit(1)).alias("__c"))
+    df = df.withColumns({f"__n{i}": number[p] for i, p in enumerate(protected) if p in nums})
+    prot = [F.expr(_label(f"__n{i}", f"__e{nums.index(p)}", n_bins)).alias(n) if p in nums else F.col(p).cast("string").alias(n)
+            for i, (p, n) in enumerate(zip(protected, names))]
+    # one label expression for all features: it runs after the unpivot
+    cells = F.array(*[F.struct(
+        F.lit(f).alias("feature"), number.get(f, F.lit(None).cast("double")).alias("__v"),
+        (F.lit(None) if f in nums else F.col(f)).cast("string").alias("__s"),
+        edge.get(f, no_edges).alias("__edges")) for f in features])
+    long = df.select(*by, *prot, F.inline(cells)).where("__v IS NOT NULL OR __s IS NOT NULL")
+    x = F.expr(f"IF(__v IS NULL, __s, {_label('__v', '__edges', n_bins)})").alias("__x")
+    first = long.select(*by, *names, "feature", x).groupBy(*by, "feature", "__x", *names).agg(
+        F.count(F.lit(1)).alias("__c"))
     sides = F.array(*[F.struct(F.lit(p).alias("protected"), F.col(n).alias("__y"))
                       for p, n in zip(protected, names)])
     joint = (first.select(*by, "feature", "__x", "__c", F.inline(sides)).where(F.col("__y").isNotNull())

@@ -28,7 +28,9 @@ class Proxy:
     details: Mapping[str, str] = field(default_factory=dict)
     aggs: Sequence[Column] = ()
     frames: Sequence[DataFrame] = ()
-    # costly inputs, computed once per row before the expressions above
+    # costly inputs, computed once before they are used several times: on the
+    # table's rows for `aggs`, on the gathered result for the expressions
+    row_inputs: Mapping[str, Column] = field(default_factory=dict)
     inputs: Mapping[str, str] = field(default_factory=dict)
 
     def excluded(self, **details: str) -> "Proxy":
@@ -66,7 +68,9 @@ def evaluate(df: DataFrame, proxies: Sequence[Proxy], by: Sequence[str] = (),
     """
     frames = [f for p in proxies for f in p.frames]
     aggs = [a for p in proxies for a in p.aggs]
-    wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    rows = {k: c for p in proxies for k, c in p.row_inputs.items()}
+    used = df.withColumns(rows) if rows else df
+    wide = used.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
     if frames:
         wide = gather([wide, *frames], by)
     if groups is not None and by:

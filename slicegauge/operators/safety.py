@@ -44,29 +44,33 @@ def _sampled(df: DataFrame, text: str, by: Sequence[str], size: int, seed: int,
 
 
 def _text_proxy(df: DataFrame, name: str, text: str | None, by: Sequence[str], hits: dict[str, Column],
-                score: str, raw: str, details: dict[str, str], sample_size: int | None, seed: int,
+                either: dict[str, list[str]], score: str, raw: str, details: dict[str, str], sample_size: int | None, seed: int,
                 key: str | None, small_bytes: int | None) -> Proxy:
     """Counts of usable texts and of `hits` among them; `score` and the rest are SQL over the counts.
 
-    In that SQL `{k}` stands for the count of hit `k` and `{n}` for the number of texts read.
+    In that SQL `{k}` stands for the count of hit `k` and `{n}` for the number of texts read;
+    `either` names counts of texts with at least one of several hits.
     """
     if text is None or text not in df.columns:
         return not_applicable(name, 0.0, "no text column")
     p = "__" + "".join(w[0] for w in name.split("_")) + "_"
-    usable = is_text(F.col(text))
-    aggs = [F.count_if(usable).alias(p + "n")]
-    aggs += [F.count_if(usable & c).alias(p + k) for k, c in hits.items()]
-    frames, pool = [], "n"
+    # every pattern is matched once per text; blank texts match nothing
+    usable = {p + "ok": is_text(F.col(text))}
+    flags = {p + "f_" + k: F.when(is_text(F.col(text)), c) for k, c in hits.items()}
+    count_ok = F.count_if(F.col(p + "ok"))
+    aggs = [count_ok.alias(p + "n"), *[F.count_if(F.col(p + "f_" + k)).alias(p + k) for k in hits],
+            *[F.expr(f"count_if({' OR '.join(p + 'f_' + k for k in ks)})").alias(p + a) for a, ks in either.items()]]
+    frames, pool, rows = [], "n", {**usable, **flags}
     if sample_size is not None:
         pool = "pool"
-        frames = [_sampled(df, text, by, sample_size, seed, key, small_bytes).groupBy(*by).agg(*aggs),
-                  df.groupBy(*by).agg(F.count_if(usable).alias(p + pool))]
-        aggs = []
-    cell = {k: f"coalesce({p}{k}, 0)" for k in ["n", pool, *hits]}
+        sample = _sampled(df, text, by, sample_size, seed, key, small_bytes)
+        frames = [sample.withColumns(rows).groupBy(*by).agg(*aggs)]
+        aggs, rows = [count_ok.alias(p + pool)], usable
+    cell = {k: f"coalesce({p}{k}, 0)" for k in ["n", pool, *hits, *either]}
     details = {k: v.format(**cell) for k, v in details.items()}
     details |= {"sample_size_used": cell["n"], "population_size": cell[pool],
                 "reason": f"IF({cell['n']} = 0, 'no usable text', NULL)"}
-    return Proxy(name, score.format(**cell), f"{cell['n']} > 0", raw.format(**cell), details, aggs, frames)
+    return Proxy(name, score.format(**cell), f"{cell['n']} > 0", raw.format(**cell), details, aggs, frames, rows)
 
 
 def harm_content_proxy(df: DataFrame, text: str | None, by: Sequence[str] = (),
@@ -80,7 +84,7 @@ def harm_content_proxy(df: DataFrame, text: str | None, by: Sequence[str] = (),
     tox, pri = "coalesce(try_divide({tox}, {n}), 0.0D)", "coalesce(try_divide({pii}, {n}), 0.0D)"
     raw = f"to_json({sql.struct({'toxic_fraction': tox, 'pii_fraction': pri})})"
     used = classifier if isinstance(classifier, str) else "scores"
-    return _text_proxy(df, "harm_content_density", text, by, hits, f"greatest({tox}, {pri})", raw,
+    return _text_proxy(df, "harm_content_density", text, by, hits, {}, f"greatest({tox}, {pri})", raw,
                        {"classifier_used": sql.value(used), "toxicity_threshold": sql.value(float(threshold))},
                        sample_size, seed, key, small_bytes)
 
@@ -96,11 +100,11 @@ def harm_content_density(df: DataFrame, text: str, by: Sequence[str] = (), **opt
 def text_flags(df: DataFrame, text: str, patterns: Mapping[str, str | Sequence[str]],
                by: Sequence[str] = (), ignore_case: bool = False) -> DataFrame:
     """(by, n_texts, n_<pattern>..., n_any): texts with a hit, per pattern and overall."""
-    usable = is_text(F.col(text))
-    one = [F.count_if(usable & matches(F.col(text), p, ignore_case)).alias(f"n_{k}")
-           for k, p in patterns.items()]
-    return df.groupBy(*by).agg(F.count_if(usable).alias("n_texts"), *one,
-                               F.count_if(usable & any_hit(F.col(text), patterns, ignore_case)).alias("n_any"))
+    flags = {f"__f_{k}": F.when(is_text(F.col(text)), matches(F.col(text), p, ignore_case)) for k, p in patterns.items()}
+    out = df.withColumns({**flags, "__ok": is_text(F.col(text))})
+    one = [F.count_if(F.col(f"__f_{k}")).alias(f"n_{k}") for k in patterns]
+    return out.groupBy(*by).agg(F.count_if(F.col("__ok")).alias("n_texts"), *one,
+                                F.expr(f"count_if({' OR '.join(sql.name(f) for f in flags)})").alias("n_any"))
 
 
 def physical_harm_proxy(df: DataFrame, text: str | None, by: Sequence[str] = (),
@@ -108,12 +112,12 @@ def physical_harm_proxy(df: DataFrame, text: str | None, by: Sequence[str] = (),
                         patterns: Mapping[str, Sequence[str]] | None = None, seed: int = 42,
                         key: str | None = None, small_bytes: int | None = None) -> Proxy:
     pats, hits = patterns or DUAL_USE_PATTERNS, {}
+    either = {"any": [f"c{i}" for i in range(len(pats))]}
     if text:
         hits = {f"c{i}": matches(F.col(text), p, True) for i, p in enumerate(pats.values())}
-        hits["any"] = any_hit(F.col(text), pats, True)
     share = "coalesce(try_divide({any}, {n}), 0.0D)"
     per = sql.struct({k: f"{{c{i}}}" for i, k in enumerate(pats)})
-    return _text_proxy(df, "physical_harm_enablement_density", text, by, hits, share, share,
+    return _text_proxy(df, "physical_harm_enablement_density", text, by, hits, either, share, share,
                        {"flagged_count": "{any}", "per_category_hits": per}, sample_size, seed, key,
                        small_bytes)
 
