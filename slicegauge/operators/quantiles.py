@@ -34,24 +34,39 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return _by_buckets(df, columns, probs, list(by))
 
 
+def _keep_wanted(cut: DataFrame, g: list[str], bucket: str) -> DataFrame:
+    """Rows of the buckets that hold a wanted rank, with the rank base and the ranks left.
+
+    `__want` are zero-based ranks still looked for, `__base` the rows in front
+    of the rows at hand. The bucket table that survives has at most one row
+    per wanted rank and group.
+    """
+    keys = [*g, "__base", "__want"]
+    before = buckets_before(cut, keys, bucket)
+    start = F.col("__base") + F.col("__before")
+    left = F.filter("__want", lambda i: (i >= start) & (i < start + F.col("__in")))
+    need = before.select(*g, bucket, start.alias("__start"), left.alias("__left")).where(F.size("__left") > 0)
+    rows = join_on(cut.drop("__base", "__want"), need, [*g, bucket])
+    return rows.withColumnsRenamed({"__start": "__base", "__left": "__want"})
+
+
 def _by_buckets(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str]) -> DataFrame:
     g = [*by, "column"]
     long = melt(df, by, {c: as_double(df, c) for c in columns}).where(F.col("value").isNotNull())
-    cut = with_value_bucket(long, g, "value", stats=[F.count(F.lit(1)).alias("n")])
+    cut = with_value_bucket(long, g, "value", "__b1", stats=[F.count(F.lit(1)).alias("n")])
     # zero-based ranks on both sides of each quantile position
     pos = [(F.col("n") - 1) * F.lit(p) for p in probs]
     ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in pos for f in (F.floor, F.ceil)]))
-    keys = [*g, "n", "__bucket"]
-    before = buckets_before(cut, [*g, "n"], "__bucket")
-    wanted = F.filter(ranks, lambda i: (i >= F.col("__before")) & (i < F.col("__before") + F.col("__in")))
-    need = (before.withColumn("__want", wanted).where(F.size("__want") > 0)
-            .select(*g, "__bucket", "__before", "__want"))
-    # only rows of the few wanted ranges survive the join; equal values then
-    # collapse map-side, so a hot value is one row when it reaches the window
-    counts = join_on(cut, need, [*g, "__bucket"]).groupBy(*keys, "__before", "__want", "value").agg(
-        F.count(F.lit(1)).alias("__c"))
+    cut = cut.withColumns({"__base": F.lit(0).cast("bigint"), "__want": ranks})
+    # narrowed twice: by the column's range, then by the range of what is left
+    once = _keep_wanted(cut, [*g, "n"], "__b1")
+    again = with_value_bucket(once, [*g, "__b1"], "value", "__b2", linear=True)
+    twice = _keep_wanted(again, [*g, "n", "__b1"], "__b2")
+    # equal values collapse map-side, so a hot value is one row in the window
+    keys = [*g, "n", "__b1", "__b2", "__base", "__want"]
+    counts = twice.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("__c").over(w), F.lit(0))
+    start = F.col("__base") + F.coalesce(F.sum("__c").over(w), F.lit(0))
     hits = (counts.withColumn("__start", start)
             .withColumn("__hit", F.filter("__want", lambda i: (i >= F.col("__start"))
                                           & (i < F.col("__start") + F.col("__c"))))

@@ -6,12 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import join_on
+from ..functions.columns import attach, join_on
 from ..functions.hashing import hash_bucket
 from ..session import is_small
 
 # A group is cut into at most this many ordered value ranges.
 RANGE_BUCKETS = 65536
+# Cells per level where ranges are cut twice.
+CELLS = 4096
+# Stand-in for infinity when ranges are measured.
+MAX = 1.7976931348623157e308
 
 
 def _preceding(keys: Sequence[str], order: str):
@@ -20,15 +24,26 @@ def _preceding(keys: Sequence[str], order: str):
 
 
 def buckets_before(df: DataFrame, by: Sequence[str], bucket: str, count: Column | None = None,
-                   name: str = "__before") -> DataFrame:
+                   extra: Sequence[Column] = ()) -> DataFrame:
     """Rows (or summed `count`) of each bucket's predecessors within its group.
 
     The counting shuffle carries one row per (group, bucket) and map task; the
     window then sees at most as many rows per group as there are buckets.
     """
     n = F.count(F.lit(1)) if count is None else F.sum(count)
-    per = df.groupBy(*by, bucket).agg(n.alias("__in"))
-    return per.withColumn(name, F.coalesce(F.sum("__in").over(_preceding(by, bucket)), F.lit(0)))
+    per = df.groupBy(*by, bucket).agg(n.alias("__in"), *extra)
+    return per.withColumn("__before", F.coalesce(F.sum("__in").over(_preceding(by, bucket)), F.lit(0)))
+
+
+def add_before(rows: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give rows the `__before` of their bucket, and the bucket as one column `__key`.
+
+    The keys travel as a struct, under which NULLs are equal: the join and a
+    window over `__key` then share one shuffle (none of the rows, where the
+    bucket table is small enough for Spark to broadcast it).
+    """
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("__key")
+    return rows.select("*", key).join(before.select(key, "__before"), "__key")
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], bucket: Column,
@@ -49,15 +64,16 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], buck
         return out if lim is None else out.where(F.col(name) <= lim)
     cut = df.withColumn("__bucket", bucket)
     keys = [*by, "__bucket"]
-    before = buckets_before(cut, by, "__bucket").drop("__in")
-    if isinstance(limit, int):
-        before = before.where(F.col("__before") < limit)
-    both = join_on(cut, before, keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = both.withColumn(name, F.col("__before") + F.row_number().over(w))
+    if lim is None:
+        before = buckets_before(cut, by, "__bucket")
+    else:
+        before = buckets_before(cut.withColumn("__lim", lim), by, "__bucket", extra=[F.max("__lim").alias("__lim")])
+        before = before.where(F.col("__before") < F.col("__lim"))
+    w = Window.partitionBy("__key").orderBy(*order)
+    out = add_before(cut, before, keys).withColumn(name, F.col("__before") + F.row_number().over(w))
     if lim is not None:
         out = out.where(F.col(name) <= lim)
-    return out.drop("__bucket", "__before")
+    return out.drop("__key", "__bucket", "__before")
 
 
 def hash_ranked(df: DataFrame, by: Sequence[str], key: str, tie: Sequence[str] = (), name: str = "rank",
@@ -73,18 +89,20 @@ def squash(v: Column) -> Column:
 
 
 def with_value_bucket(df: DataFrame, by: Sequence[str], value: str, name: str = "__bucket",
+                      buckets: int = RANGE_BUCKETS, linear: bool = False,
                       stats: Sequence[Column] = ()) -> DataFrame:
     """Add an order-keeping bucket of `value` within its group's own range.
 
     The range is one row per group; rows meet it by a broadcast or shuffled
     join, whichever its size allows. `stats` are extra aggregates to attach.
     """
-    t = squash(F.col(value))
+    t = F.greatest(F.lit(-MAX), F.least(F.lit(MAX), F.col(value))) if linear else squash(F.col(value))
     span = df.groupBy(*by).agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"), *stats)
     lo, hi = F.col("__lo"), F.col("__hi")
-    part = F.floor((t - lo) / (hi - lo) * F.lit(float(RANGE_BUCKETS)))
-    b = F.when(hi > lo, F.least(F.lit(RANGE_BUCKETS - 1), part.cast("int"))).otherwise(F.lit(0))
-    return join_on(df, span, by).withColumn(name, b).drop("__lo", "__hi")
+    # halved, so that the width of the widest range stays finite
+    part = F.floor((t / 2 - lo / 2) / (hi / 2 - lo / 2) * F.lit(float(buckets)))
+    b = F.when(hi / 2 > lo / 2, F.least(F.lit(buckets - 1), part.cast("int"))).otherwise(F.lit(0))
+    return attach(df, span, by).withColumn(name, b).drop("__lo", "__hi")
 
 
 def first_rows(df: DataFrame, n: int, order: str, by: Sequence[str] = (),
@@ -92,12 +110,9 @@ def first_rows(df: DataFrame, n: int, order: str, by: Sequence[str] = (),
     """The first n rows per group (or overall) by a numeric arrival column."""
     if is_small(df, small_bytes):
         return ranked(df, by, [order], F.lit(0), "__rank", n).drop("__rank")
-    if not by:
-        df = df.withColumn("__all", F.lit(1).cast("int"))
-    keys = list(by) or ["__all"]
-    cut = with_value_bucket(df.withColumn("__v", F.col(order).cast("double")), keys, "__v", "__vb")
-    out = ranked(cut, keys, [order], F.col("__vb"), "__rank", n, small_bytes)
-    return out.drop("__rank", "__v", "__vb", "__all")
+    cut = with_value_bucket(df.withColumn("__v", F.col(order).cast("double")), by, "__v", "__vb", linear=True)
+    out = ranked(cut, by, [order], F.col("__vb"), "__rank", n, small_bytes)
+    return out.drop("__rank", "__v", "__vb")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None,
@@ -113,9 +128,13 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
         prev = F.coalesce(F.sum("__n").over(_preceding(by, value)), F.lit(0))
         out = counts.withColumn("__prev", prev)
     else:
-        cut = with_value_bucket(counts, by, value)
-        keys = [*by, "__bucket"]
-        before = buckets_before(cut, by, "__bucket", F.col("__n")).drop("__in")
-        inside = F.coalesce(F.sum("__n").over(_preceding(keys, value)), F.lit(0))
-        out = join_on(cut, before, keys).withColumn("__prev", F.col("__before") + inside)
+        # two levels, each within its own range: a crowd of close values next to
+        # far outliers is one cell of the first level and spread by the second
+        outer = with_value_bucket(counts, by, value, "__b1", CELLS)
+        cut = with_value_bucket(outer, [*by, "__b1"], value, "__b2", CELLS, linear=True)
+        inner = buckets_before(cut, [*by, "__b1"], "__b2", F.col("__n"))
+        first = buckets_before(inner, by, "__b1", F.col("__in")).withColumnRenamed("__before", "__before1").drop("__in")
+        cells = join_on(inner, first, [*by, "__b1"]).withColumn("__before", F.col("__before") + F.col("__before1"))
+        inside = F.coalesce(F.sum("__n").over(_preceding(["__key"], value)), F.lit(0))
+        out = add_before(cut, cells, [*by, "__b1", "__b2"]).withColumn("__prev", F.col("__before") + inside)
     return out.select(*by, value, (F.col("__prev") + (F.col("__n") + 1) / F.lit(2.0)).alias("avg_rank"))

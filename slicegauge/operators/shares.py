@@ -11,6 +11,10 @@ from ..functions import sql
 from ..functions.columns import FLOATS, as_double, attach, melt
 
 
+# A reference with more values than this is joined as Spark sees fit.
+BROADCAST_ROWS = 100_000
+
+
 def value_shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, value, n, share): normalized counts, missing values left out."""
     c = as_double(df, column) if isinstance(df.schema[column].dataType, FLOATS) else F.col(column)
@@ -47,7 +51,8 @@ def total_variation(df: DataFrame, reference: Mapping[str, Mapping[Any, float]],
     Only values named in the reference matter one by one, all others as a sum.
     They are told apart before counting, so the shuffle holds at most
     (reference values + 1) rows per group and map task whatever the column's
-    cardinality. The reference comes from a dictionary, hence the broadcast.
+    cardinality. The reference is a caller's dictionary, broadcast up to a
+    checked number of values.
     """
     ref = {c: dict(p) for c, p in reference.items() if c in df.columns and p}
     empty = [c for c, p in reference.items() if c in df.columns and not p]
@@ -57,7 +62,9 @@ def total_variation(df: DataFrame, reference: Mapping[str, Mapping[Any, float]],
     long = melt(df, by, cells).where(F.col("value").isNotNull())
     if ref:
         table = _reference_table(df, ref)
-        long = long.join(F.broadcast(table), ["column", "value"], "left")
+        if sum(len(p) for p in ref.values()) <= BROADCAST_ROWS:
+            table = F.broadcast(table)
+        long = long.join(table, ["column", "value"], "left")
     else:
         long = long.withColumn("p", F.lit(None).cast("double"))
     counts = (long.withColumn("value", F.when(F.col("p").isNotNull(), F.col("value")))
