@@ -6,7 +6,11 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import sql
+
 FLOATS = (T.FloatType, T.DoubleType)
+# Texts up to this length are compared as they are, longer ones by digest.
+KEPT_BYTES = 64
 
 
 def no_nan(c: Column) -> Column:
@@ -23,11 +27,6 @@ def clean(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
-def clamp01(c: Column) -> Column:
-    """Into [0, 1]; NaN and NULL become 0. Adding 0.0 drops a negative zero."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(no_nan(c), F.lit(0.0)))) + F.lit(0.0)
-
-
 def numeric_columns(df: DataFrame, among: Iterable[str] | None = None,
                     with_bool: bool = False) -> list[str]:
     """Numeric columns by declared type, in table order."""
@@ -54,6 +53,18 @@ def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
 
+def short_text(df: DataFrame, column: str) -> Column:
+    """A column whose values only need telling apart: a long text stands as its SHA-256, so that whole texts are not shuffled.
+
+    The stand-in is longer than any text that is kept as it is, so the two
+    never meet.
+    """
+    c = sql.name(column)
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return F.col(column)
+    return F.expr(f"IF(octet_length({c}) <= {KEPT_BYTES}, {c}, concat('sha2-256:', sha2({c}, 256)))").alias(column)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a NULL key matches a NULL key; keeps the left keys.
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sql
-from ..functions.columns import as_double, attach, clean, gather, numeric_columns
-from ..session import is_small
+from ..functions.columns import as_double, attach, clean, gather, numeric_columns, short_text
 from .quantiles import exact_quantiles
 
 # Distance from the quartiles, in interquartile ranges, that makes an outlier.
@@ -35,29 +34,22 @@ def missing_rate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("missing_rate", F.col("n_missing") / cells)
 
 
-def duplicate_counts(df: DataFrame, by: Sequence[str] = (), small_bytes: int | None = None) -> DataFrame:
+def duplicate_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_duplicates): copies beyond the first; missing values compare equal.
 
-    Beyond the small size whole rows are not shuffled: 64-bit row hashes are
-    counted first and only rows whose hash repeats are compared in full, so
-    the result stays exact. Copies collapse map-side in both steps.
+    Copies collapse map-side, so a row repeated a billion times is one record
+    per map task in the shuffle.
     """
     df = clean(df)
-    rows = df
-    if not is_small(df, small_bytes):
-        tagged = df.withColumn("__h", F.xxhash64(*df.columns))
-        repeated = (tagged.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-                    .where(F.col("__n") > 1).select("__h"))
-        rows = tagged.join(repeated, "__h", "left_semi").drop("__h")
-    keyed = rows.select(*[F.col(c) for c in df.columns])
-    same = keyed.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    short = df.select(*by, *[short_text(df, c) for c in _data_columns(df, by)])
+    same = short.groupBy(*short.columns).agg(F.count(F.lit(1)).alias("__n"))
     return same.groupBy(*by).agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def duplicate_rate(df: DataFrame, by: Sequence[str] = (), small_bytes: int | None = None) -> DataFrame:
+def duplicate_rate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_rows, n_duplicates, duplicate_rate)."""
     size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
-    both = gather([size, duplicate_counts(df, by, small_bytes)], by)
+    both = gather([size, duplicate_counts(df, by)], by)
     dup = F.coalesce("n_duplicates", F.lit(0))
     return both.select(*by, "n_rows", dup.alias("n_duplicates"),
                        (dup / F.greatest(F.lit(1), F.col("n_rows"))).alias("duplicate_rate"))

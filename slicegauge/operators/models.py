@@ -99,7 +99,8 @@ def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, fa
             prepared = pipe.fit(train.fillna(modes))
             ready = prepared.transform(train.fillna(modes)).select("features", "y_true")
             held = prepared.transform(test.fillna(modes))
-            n_train, n_test = train.count(), n - train.count()
+            n_train = train.count()
+            n_test = n - n_train
             width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
             ready.persist()
         except Exception as e:  # one bad split must not stop the grid

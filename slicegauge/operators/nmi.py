@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sql
-from ..functions.columns import as_double, attach, gather, numeric_columns
+from ..functions.columns import as_double, attach, gather, numeric_columns, short_text
 from .quantiles import exact_quantiles
 
 DECILES = [i / 10 for i in range(11)]
@@ -58,12 +58,12 @@ def nmi_pairs(df: DataFrame, features: Sequence[str], protected: Sequence[str],
     no_edges = F.lit(None).cast("array<double>")
     names = [f"__p{i}" for i in range(len(protected))]
     df = df.withColumns({f"__n{i}": number[p] for i, p in enumerate(protected) if p in nums})
-    prot = [F.expr(_label(f"__n{i}", f"__e{nums.index(p)}", n_bins)).alias(n) if p in nums else F.col(p).cast("string").alias(n)
+    prot = [F.expr(_label(f"__n{i}", f"__e{nums.index(p)}", n_bins)).alias(n) if p in nums else short_text(df, p).cast("string").alias(n)
             for i, (p, n) in enumerate(zip(protected, names))]
     # one label expression for all features: it runs after the unpivot
     cells = F.array(*[F.struct(
         F.lit(f).alias("feature"), number.get(f, F.lit(None).cast("double")).alias("__v"),
-        (F.lit(None) if f in nums else F.col(f)).cast("string").alias("__s"),
+        (F.lit(None) if f in nums else short_text(df, f)).cast("string").alias("__s"),
         edge.get(f, no_edges).alias("__edges")) for f in features])
     long = df.select(*by, *prot, F.inline(cells)).where("__v IS NOT NULL OR __s IS NOT NULL")
     x = F.expr(f"IF(__v IS NULL, __s, {_label('__v', '__edges', n_bins)})").alias("__x")

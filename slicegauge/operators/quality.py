@@ -60,7 +60,7 @@ def free_of_error_proxy(df: DataFrame, by: Sequence[str] = (), quartiles: DataFr
     width = len(df.columns) - len(by)
     missing = f"(coalesce(__foe_missing, 0) / greatest(1, n_rows * {width}))"
     dup = "(coalesce(__foe_dup, 0) / greatest(1, n_rows))"
-    frames = [duplicate_counts(df, by, small_bytes).withColumnRenamed("n_duplicates", "__foe_dup")]
+    frames = [duplicate_counts(df, by).withColumnRenamed("n_duplicates", "__foe_dup")]
     out = "0.0D"
     if numeric_columns(df, [c for c in df.columns if c not in by]):
         frames.append(outlier_rate(df, by, quartiles, small_bytes)

@@ -69,6 +69,9 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], buck
     else:
         before = buckets_before(cut.withColumn("__lim", lim), by, "__bucket", extra=[F.max("__lim").alias("__lim")])
         before = before.where(F.col("__before") < F.col("__lim"))
+    if not by:
+        # one group: no more rows than there are buckets
+        before = F.broadcast(before)
     w = Window.partitionBy("__key").orderBy(*order)
     out = add_before(cut, before, keys).withColumn(name, F.col("__before") + F.row_number().over(w))
     if lim is not None:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import sql
-from ..functions.columns import FLOATS, as_double, attach, melt
+from ..functions.columns import FLOATS, as_double, attach, melt, short_text
 
 
 # A reference with more values than this is joined as Spark sees fit.
@@ -88,7 +88,8 @@ def reference_mass(reference: Mapping[str, Mapping[Any, float]], column: str) ->
 
 def class_sizes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, k, n_classes): smallest and number of value combinations; NULL is a value."""
-    sizes = df.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("__n"))
+    short = df.select(*by, *[short_text(df, c) for c in columns])
+    sizes = short.groupBy(*short.columns).agg(F.count(F.lit(1)).alias("__n"))
     return sizes.groupBy(*by).agg(F.min("__n").alias("k"), F.count(F.lit(1)).alias("n_classes"))
 
 
