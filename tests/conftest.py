@@ -22,3 +22,12 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def data():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+def local_frame(spark, rows, schema):
+    """Rows as a local relation of known size (a list alone has no size estimate)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    struct = spark.createDataFrame([], schema).schema
+    table = pa.Table.from_pylist([dict(zip(struct.names, r)) for r in rows], schema=to_arrow_schema(struct))
+    return spark.createDataFrame(table, struct)

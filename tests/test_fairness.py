@@ -2,11 +2,12 @@
 
 import pytest
 
+from conftest import local_frame
 from slicegauge.operators import factuality, fairness as fm
 
 
 def preds(spark, rows):
-    return spark.createDataFrame(rows, "run string, y_true int, y_pred int, prot__sex string, prot__age double")
+    return local_frame(spark, rows, "run string, y_true int, y_pred int, prot__sex string, prot__age double")
 
 
 def test_gaps(spark):

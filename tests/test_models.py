@@ -1,7 +1,6 @@
 """The model grid: learns, records failures, keeps unseen labels and missing values."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from slicegauge.operators import fairness as fm
 from slicegauge.operators.models import FAMILIES, gbt, most_frequent, preprocessor, feature_frame, train_predict
