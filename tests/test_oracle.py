@@ -20,3 +20,11 @@ def test_matches_sql(spark, data, con, name):
     assert type_gaps(df, con, ORACLES[name]) == {}
     assert len(rows) == len(rows2) > 0
     assert rows == rows2
+
+
+@pytest.mark.parametrize("name", ["exact_quantiles", "safe_spearman", "hash_sample", "slice_by_cohort", "stratified_bootstrap",
+                                  "slice_by_label_share", "quota_per_category", "stratified_split"])
+def test_bounded_forms_match_sql(spark, data, con, name, monkeypatch):
+    """The forms for inputs of any size give the same rows."""
+    monkeypatch.setattr("slicegauge.session.SMALL_BYTES", 0)
+    assert spark_rows(QUERIES[name](spark, data))[1] == oracle_rows(con, ORACLES[name])[1]
