@@ -44,15 +44,18 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in `spark.checkpoint.dir`; own one if unset."""
+    """The shared folder named in `spark.checkpoint.dir`.
+
+    Only a local session, as in tests, gets a temporary folder if it is unset:
+    on a cluster such a folder would be out of reach of the other machines.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if not current:
-            current = tempfile.mkdtemp(prefix="slicegauge-checkpoint-")
-        sc.setCheckpointDir(current)
-    return current
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="slicegauge-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

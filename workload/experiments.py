@@ -9,22 +9,23 @@ from slicegauge.plans import hypotheses as hy
 from .registry import Tables, query, rounded
 from .sqlgen import draw, draw_int
 
+# Divisors are primes, so that no mean of decimals sits on a rounding boundary.
 # One region has a constant Q, one no R, one too few slices with a Q.
-_Q = ("CASE WHEN r_name = 'AMERICA' THEN 0.5 WHEN n_name IN ('NATION_2', 'NATION_7') THEN NULL ELSE avg(c_acctbal) / 10000 END")
+_Q = ("CASE WHEN r_name = 'AMERICA' THEN 0.5 WHEN n_name IN ('NATION_2', 'NATION_7') THEN NULL ELSE avg(c_acctbal) / 9973 END")
 SLICE_SCORES = {"Q": _Q,
-                "R": "CASE WHEN r_name <> 'EUROPE' THEN avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal ELSE 0 END) / 2000 END",
-                "demographic_representation_gap": "avg(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal ELSE 0 END) / 2000",
-                "harm_content_density": "avg(CASE WHEN c_acctbal < 3000 THEN c_acctbal ELSE 0 END) / 3000",
-                "S_composite": "avg(CASE WHEN c_acctbal > 6000 THEN c_acctbal ELSE 0 END) / 10000"}
+                "R": "CASE WHEN r_name <> 'EUROPE' THEN avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal ELSE 0 END) / 1999 END",
+                "demographic_representation_gap": "avg(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal ELSE 0 END) / 1999",
+                "harm_content_density": "avg(CASE WHEN c_acctbal < 3000 THEN c_acctbal ELSE 0 END) / 2999",
+                "S_composite": "avg(CASE WHEN c_acctbal > 6000 THEN c_acctbal ELSE 0 END) / 9973"}
 MEASURES = {"accuracy": "avg(CAST(l_linestatus = 'O' AS INT))", "eod_worst": "avg(l_discount)", "dpd_worst": "avg(l_tax)",
-            "worst_subgroup_error_gap": "avg(l_quantity) / 50", "mc1": "avg(CAST(l_discount > 0.05 AS INT))",
+            "worst_subgroup_error_gap": "avg(l_quantity) / 53", "mc1": "avg(CAST(l_discount > 0.05 AS INT))",
             "mc2": "avg(l_extendedprice) / 97003"}
 _KEYS = "r_name AS dataset, n_name AS slice"
 _WHERE = "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 SCORES_SQL = (f"scores AS (SELECT {_KEYS}, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in SLICE_SCORES.items())
               + f" FROM customer {_WHERE} GROUP BY r_name, n_name)")
-UNIFORM_SQL = (f"uq AS (SELECT {_KEYS}, avg(o_totalprice) / 500000 AS q_uniform FROM orders JOIN customer ON o_custkey = c_custkey "
+UNIFORM_SQL = (f"uq AS (SELECT {_KEYS}, avg(o_totalprice) / 499979 AS q_uniform FROM orders JOIN customer ON o_custkey = c_custkey "
                f"{_WHERE} GROUP BY r_name, n_name)")
 RUNS_SQL = (f"{SCORES_SQL}, meas AS (SELECT {_KEYS}, l_returnflag AS model_family, l_linenumber AS seed, count(*) AS n_test, "
             + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in MEASURES.items())
@@ -47,7 +48,7 @@ def slice_scores(t: Tables) -> DataFrame:
 def uniform_scores(t: Tables) -> DataFrame:
     return (t.orders.join(_placed(t), F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(F.col("r_name").alias("dataset"), F.col("n_name").alias("slice"))
-            .agg((F.avg("o_totalprice") / 500000).alias("q_uniform")))
+            .agg((F.avg("o_totalprice") / 499979).alias("q_uniform")))
 
 
 def measures(t: Tables) -> DataFrame:
