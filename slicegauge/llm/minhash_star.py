@@ -320,3 +320,16 @@ def _residual(entries: DataFrame, nodes: DataFrame, comp: DataFrame, plan: Plan)
     keys = ["bucket", "block", "cut"]
     return (outer.unionByName(members).repartition(*keys).sortWithinPartitions(*keys)
             .mapInArrow(_compare(plan), "a binary, b binary").distinct())
+
+
+def first_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: one document of each component.
+
+    Rows without an id stay. Of rows equal in id and text one stays.
+    """
+    kept = materialize(cluster(docs, plan).filter("kept").select(F.col("doc_id").alias("_kept")))
+    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1").isEmpty():
+        return out
+    named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(out.filter("doc_id IS NULL"))

@@ -144,3 +144,23 @@ def judge(docs: DataFrame, model: RatioModel, threshold: float = -0.17, min_word
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
+def _passes(model, threshold: float, min_words: int, column: int):
+    def run(batches):
+        ratio = model.value.log_ratio
+        for b in batches:
+            keep = []
+            for text in b.column(column).to_pylist():
+                n, _, _, _, repeat = statistics(text)
+                ok = n >= min_words and 100 * repeat <= 50 * n
+                keep.append(ok and float(ratio[gram_buckets(word_bytes(text.lower()), len(ratio)).astype(np.int64)].mean()) >= threshold)
+            yield b.filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def passing(docs: DataFrame, model: RatioModel, threshold: float = -0.17, min_words: int = 50) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `judge` keeps. No join, no shuffle."""
+    importable(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_passes(shared, threshold, min_words, docs.columns.index("text")), docs.schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_star, quality_ratio, toxicity_fst
+from pyspark.sql import functions as F
+
+from . import minhash_star, pareto_mix, quality_ratio, square_pack, toxicity_fst
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +37,18 @@ def op5_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity_fst(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity_fst.judge(docs, toxicity_fst.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pareto_mix.measure(table(spark, folder, "documents"))
+    goals = pareto_mix.targets(rows)
+    taken = pareto_mix.mix(rows, pareto_mix.cuts(rows, goals), size="size", bits="draw")
+    return taken.select("doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+                        (F.col("_mix_copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op8_square_pack(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return square_pack.digest(square_pack.pack(table(spark, folder, "documents"), path, end_id=1))
