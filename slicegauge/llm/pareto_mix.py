@@ -4,8 +4,8 @@ Every source gets a target; whole copies that fit into it are certain, and the
 rest is a sample without replacement: documents are ranked by their random odds
 U / (1 - U) divided by their inclusion odds, and taken in that order up to the
 number of words left. As the ranking only needs odds up to a factor per source,
-the cut alone fixes the sample's size. One closing document behind the cut,
-the one that comes nearest to the words still missing, brings the sum next to the target.
+the cut alone fixes the sample's size. Up to three closing documents behind
+the cut, each the one nearest to the words still missing (only the last may go beyond), bring the sum next to the target.
 
 The ranking is never sorted as a whole: words per (source, rank range) find the
 range that holds the cut, twice, and only that range is ordered.
@@ -26,6 +26,7 @@ from .base import WORD, ranked
 
 RANGES = 1024
 BROADCAST_SOURCES = 10_000
+CLOSINGS = 3
 
 
 def words(text: str = "text") -> Column:
@@ -104,12 +105,18 @@ def cuts(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     cut = state.alias("g").join(fits.withColumnRenamed("_s", "_f"), F.col("g._s").eqNullSafe(F.col("_f")), "left").select(
         "_s", "whole", "need", F.coalesce("last.key", F.lit(-1.0)).alias("k_in"), F.coalesce("last.draw", F.lit(0)).alias("d_in"),
         F.coalesce("last.sum", "before").alias("have"), "low")
-    cut = materialize(cut)
-    open_ = rows.join(side(cut), rows["source"].eqNullSafe(cut["_s"])).filter(~_inside() & (F.col("size") < 2 * (F.col("need") - F.col("have"))))
-    off = F.abs(F.col("need") - F.col("have") - F.col("size"))
-    last = open_.groupBy("_s").agg(F.min(F.struct(off.alias("off"), "size", "draw")).alias("x")).select(F.col("_s").alias("_c"), F.col("x.draw").alias("closing"))
-    out = goals.alias("g").join(cut.drop("whole", "need").withColumnRenamed("_s", "_k"), F.col("g._s").eqNullSafe(F.col("_k")), "left").drop("_k")
-    return materialize(out.join(last, F.col("g._s").eqNullSafe(F.col("_c")), "left").drop("_c"))
+    cut = materialize(cut.withColumn("closing", F.array().cast("array<bigint>")))
+    for turn in range(CLOSINGS):
+        gap = F.col("need") - F.col("have")
+        near = rows.join(side(cut), rows["source"].eqNullSafe(cut["_s"])).filter(
+            ~_inside() & ~F.array_contains("closing", F.col("draw")) & (F.col("size") <= (gap if turn < CLOSINGS - 1 else 2 * gap - 1)))
+        last = near.groupBy("_s").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "size", "draw")).alias("x"))
+        last = last.withColumnRenamed("_s", "_c")
+        cut = materialize(cut.join(last, F.col("_s").eqNullSafe(F.col("_c")), "left").select(
+            "_s", "whole", "need", "k_in", "d_in", (F.col("have") + F.coalesce("x.size", F.lit(0))).alias("have"), "low",
+            F.when(F.col("x").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.col("x.draw"))).alias("closing")))
+    out = goals.alias("g").join(cut.drop("whole", "need").withColumnRenamed("_s", "_k"), F.col("g._s").eqNullSafe(F.col("_k")), "left")
+    return materialize(out.drop("_k"))
 
 
 def _inside(key: str = "key", bits: str = "draw", mark: str = "") -> Column:
@@ -131,7 +138,7 @@ def mix(rows: DataFrame, cut: DataFrame, source: str = "source", size: str = "_m
     side = F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut
     out = rows.withColumn("_mix_key", order_key(F.col(bits), F.col(size)))
     out = out.join(side, out[source].eqNullSafe(side["_s"]), "left")
-    extra = (_inside("_mix_key", bits, "_mix_") | F.coalesce(F.col(bits) == F.col("_mix_closing"), F.lit(False))) & (F.col(size) > 0)
+    extra = (_inside("_mix_key", bits, "_mix_") | F.coalesce(F.array_contains("_mix_closing", F.col(bits)), F.lit(False))) & (F.col(size) > 0)
     out = out.withColumn("_mix_copies", (F.coalesce("_mix_whole", F.lit(0)) + extra.cast("int")).cast("int"))
     return out.drop("_mix_key", "_s", *[f"_mix_{c}" for c in CUT[2:]])
 

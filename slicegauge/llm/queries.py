@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from . import minhash_star, pareto_mix, quality_ratio, square_pack, toxicity_fst
+from ..session import checkpoint_dir
+from . import minhash_star, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,14 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op8_square_pack(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return square_pack.digest(square_pack.pack(table(spark, folder, "documents"), path, end_id=1))
+
+
+@query
+def op2_slot_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = slot_shards.records(table(spark, folder, "documents"))
+    sums = slot_shards.slot_sums(rows)
+    path = f"{checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    slot_shards.write_map(spark, path, 0, slot_shards.first_map(sums, 40), sums)
+    placed = slot_shards.place(rows, slot_shards.read_map(spark, path))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
