@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import minhash_star, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst
+from . import imatch, minhash_star, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst, url_trees
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,20 @@ def op2_slot_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = slot_shards.place(rows, slot_shards.read_map(spark, path))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query
+def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
+URL_RULES = [url_trees.Rule("com", "/", "allow"), url_trees.Rule("example.com", "/en/", "block"),
+             url_trees.Rule("www.example.com", "/en/", "allow"), url_trees.Rule("net", "/es/", "block"), url_trees.Rule("net", "/fr/", "block")]
+
+
+@query
+def op10_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    urls = url_trees.with_rule(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    labelled = urls.withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
+    judged = url_trees.judge(urls, url_trees.fit(labelled, urls))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
