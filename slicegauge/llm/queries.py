@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import imatch, minhash_star, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst, url_trees
+from . import (imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst,
+               url_trees, warc_derive)
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,16 @@ def op10_url_trees(spark: SparkSession, folder: str) -> DataFrame:
     labelled = urls.withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
     judged = url_trees.judge(urls, url_trees.fit(labelled, urls))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query
+def op3_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
+    files = mixing_coder.new_folder(checkpoint_dir(spark))
+    mixing_coder.write_ids(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), files)
+    return mixing_coder.read_ids(spark, files).select(
+        "doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_warc_derive(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_derive.derive(warc_derive.responses(table(spark, folder, "pages")))
