@@ -4,7 +4,8 @@ Each text is hashed once: its distinct shingle hashes are cut into `bins` equal
 ranges and the smallest of every range is that bin's minimum; empty bins borrow
 from a bin picked by a second hash until a full one is found (optimal
 densification). `rows` bins make a band, a band's value a bucket. Inside a
-bucket only stars are drawn, from one centre to the members, never all pairs.
+bucket only stars are drawn, from one centre to the members, never all pairs; a node is confirmed against the likeliest
+of its centres only.
 
 Stars alone could miss a link between two members that both differ from the
 centre. So several rounds of stars with other centres merge what belongs
@@ -40,14 +41,18 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 @dataclass(frozen=True)
 class Plan:
-    """A pair at 0.75 shares a band with probability 1 - (1 - 0.75^rows)^(bins/rows): all but 5e-6."""
+    """A pair at 0.75 shares a band with probability 1 - (1 - 0.75^rows)^(bins/rows): all but 5e-6.
+
+    `slack` is how far below the threshold the share of equal bins may fall for a
+    pair to be confirmed: 4.4 deviations. `block` counts shingles held at once.
+    """
     shingle: int = 5
     bins: int = 128
     rows: int = 4
     percent: int = 75
-    rounds: int = 2
-    block: int = 256
-    slack: float = 0.20
+    rounds: int = 3
+    block: int = 100_000
+    slack: float = 0.17
 
     @property
     def bands(self) -> int:
@@ -197,47 +202,105 @@ def components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("u AS node", "v AS comp").unionByName(now.selectExpr("v AS node", "v AS comp")).distinct()
 
 
-def _compare(plan: Plan):
-    """Outer members of a bucket block against its members; keeps what the sketches do not rule out.
-
-    Rows come sorted by block, outer ones first, so one block is held at a time.
-    """
-    lowest = plan.percent / 100 - plan.slack
-
-    def pairs(block):
-        outer = [r for r in block if r[0]]
-        rest = [r for r in block if not r[0]]
-        if not outer or not rest:
-            return set()
-        marks = np.frombuffer(b"".join(r[4] for r in rest), np.uint8).reshape(len(rest), -1)
-        n = np.array([r[2] for r in rest])
-        found = set()
-        for _, node, size, comp, mark in outer:
-            near = (marks == np.frombuffer(mark, np.uint8)).mean(axis=1) >= lowest
-            near &= 100 * np.minimum(n, size) >= plan.percent * np.maximum(n, size)
-            found.update((min(node, rest[i][1]), max(node, rest[i][1])) for i in np.flatnonzero(near) if rest[i][3] != comp)
-        return found
+def _likely(plan: Plan):
+    """Stars whose sketches allow the threshold, with the number of equal bins."""
+    lowest = (plan.percent / 100 - plan.slack) * plan.bins
 
     def run(batches):
-        key, block, found = None, [], set()
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for i in range(b.num_rows):
-                at = (cols[0][i], cols[1][i], cols[2][i])
-                if at != key:
-                    found |= pairs(block)
-                    key, block = at, []
-                block.append((cols[3][i], cols[4][i], cols[5][i], cols[6][i], cols[7][i]))
-            if len(found) > 50_000:
-                yield _pair_batch(found)
-                found = set()
-        yield _pair_batch(found | pairs(block))
+            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, plan.bins) for i in (2, 3))
+            same = (left == right).sum(axis=1)
+            keep = pa.array(same >= lowest, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).filter(keep), b.column(1).filter(keep), pa.array(same.astype(np.int32)).filter(keep)], ["node", "centre", "same"])
+    return run
+
+
+class Block:
+    """Consecutive rows of one (bucket, block, cut): members, and the outer ones to compare them with."""
+
+    def __init__(self, plan: Plan, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks() if len(parts) > 1 else parts[0]
+        col = lambda name: rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
+        self.rows, self.col, self.plan = rows, col, plan
+        self.outer = np.flatnonzero(col("outer").to_numpy(zero_copy_only=False))
+        self.rest = np.flatnonzero(~col("outer").to_numpy(zero_copy_only=False))
+
+    def pairs(self):
+        """(outer, members) row numbers whose sketches allow the threshold and whose first common band this is."""
+        if not len(self.outer) or not len(self.rest):
+            return
+        plan, rest = self.plan, self.rest
+        marks = np.frombuffer(b"".join(self.col("mark").to_pylist()), np.uint8).reshape(-1, plan.bins)
+        keys = np.asarray(self.col("keys").flatten()).reshape(-1, plan.bands)
+        n, comp, band = self.col("n").to_numpy(), np.array(self.col("comp").to_pylist(), object), int(self.col("band")[0].as_py())
+        lowest = (plan.percent / 100 - plan.slack) * plan.bins
+        for o in self.outer:
+            near = (marks[rest] == marks[o]).sum(axis=1) >= lowest
+            near &= 100 * np.minimum(n[rest], n[o]) >= plan.percent * np.maximum(n[rest], n[o])
+            found = rest[near]
+            if len(found):
+                first = (keys[found] == keys[o]).argmax(axis=1) == band
+                found = found[first & (comp[found] != comp[o])]
+            if len(found):
+                yield int(o), found
+
+
+def _blocks(plan: Plan, batches):
+    """The blocks of batches sorted by (bucket, block, cut), one held at a time."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("bucket", "block", "cut")], axis=1)
+        at = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for i, j in zip(at, at[1:]):
+            now = tuple(key[i])
+            if held and now != last:
+                yield Block(plan, held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = now
+    if held:
+        yield Block(plan, held)
+
+
+BLOCK_SCHEMA = "bucket long, block int, cut int, outer boolean, node binary"
+
+
+def _hopeful(plan: Plan):
+    """The rows that have a partner to be confirmed with, so that only their sets are moved."""
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+    def run(batches):
+        for block in _blocks(plan, batches):
+            used = set()
+            for o, found in block.pairs():
+                used.add(o)
+                used.update(found.tolist())
+            if used:
+                at = pa.array(sorted(used))
+                yield pa.RecordBatch.from_arrays([block.col(c).take(at) for c in names], names)
     return run
 
 
-def _pair_batch(found) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def _linked_pairs(plan: Plan):
+    """The links inside each block, confirmed on full sets."""
+    def run(batches):
+        for block in _blocks(plan, batches):
+            a, b = [], []
+            sets = node = None
+            for o, found in block.pairs():
+                if sets is None:
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.col("hashes")]
+                    node = block.col("node").to_pylist()
+                for i in found:
+                    if linked(sets[o], sets[i], plan.percent):
+                        a.append(min(node[o], node[i]))
+                        b.append(max(node[o], node[i]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    return run
 
 
 def cluster(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -250,10 +313,12 @@ def cluster(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("mark").alias("mark"), F.first("keys").alias("keys"))
     nodes = materialize(nodes)
-    entries = nodes.select("node", "n", F.explode("keys").alias("bucket"))
+    entries = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # buckets of one node, by far the most, go no further
     entries = materialize(entries.join(shared, "bucket"))
+    # sketches join the few entries left, so that stars are judged before any set is moved
+    entries = materialize(entries.join(nodes.select("node", "mark", "keys"), "node"))
     wanted = entries.select("node").distinct()
     # a node's text comes from any one of its rows
     sources = rows.filter("node IS NOT NULL").join(wanted, "node", "left_semi").select("doc_id", "node")
@@ -265,21 +330,26 @@ def cluster(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         at = entries if comp is None else _with_comp(entries, comp)
         label = F.col("node") if comp is None else F.col("comp")
         at = at.withColumn("comp", label)
-        if turn:  # the star of a bucket of two has drawn its only pair
-            open_ = at.filter("size > 2").groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
+        if turn:
+            open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
             at = at.join(open_, "bucket", "left_semi")
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp", "mark")
         centre = at.groupBy("bucket").agg(F.min(order).alias("c"))
         star = (at.join(centre, "bucket").filter("c.comp <> comp")
                 .filter(100 * F.least("n", "c.n") >= plan.percent * F.greatest("n", "c.n"))
-                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+                .select("node", F.col("c.node").alias("centre"), "mark", F.col("c.mark").alias("other")))
+        # of all its stars a node goes with the likeliest centre; the others wait for later rounds
+        star = (star.mapInArrow(_likely(plan), "node binary, centre binary, same int")
+                .groupBy("node").agg(F.max(F.struct("same", "centre")).alias("x"))
+                .select(F.least("node", "x.centre").alias("a"), F.greatest("node", "x.centre").alias("b")).distinct())
         found = confirmed(star, sets, plan.percent)
         if turn and found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
         comp = materialize(components(edges))
-    rest = _residual(entries, nodes, comp, plan)
-    found = confirmed(rest, sets, plan.percent)
+    rest = _residual(entries, comp, plan)
+    found = materialize(rest.join(sets, "node").repartition("bucket", "block", "cut").sortWithinPartitions("bucket", "block", "cut")
+                        .mapInArrow(_linked_pairs(plan), "a binary, b binary"))
     if not found.isEmpty():
         comp = materialize(components(edges.unionByName(found)))
     named = nodes.select("node", "first_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -303,23 +373,30 @@ def _with_comp(entries: DataFrame, comp: DataFrame) -> DataFrame:
     return entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _residual(entries: DataFrame, nodes: DataFrame, comp: DataFrame, plan: Plan) -> DataFrame:
-    """Candidate pairs across components of one bucket that no star has drawn."""
-    at = _with_comp(entries.filter("size > 2").drop("size"), comp)
-    per = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    top = per.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"))
-    top = materialize(top.filter("comps > 1").select("bucket", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.k")).alias("outside")))
-    at = materialize(at.join(top, "bucket").join(nodes.select("node", "mark"), "node"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("outside") / plan.block)).cast("int")
-    cuts = F.greatest(F.lit(1), F.ceil(F.col("size") / (8 * plan.block))).cast("int")
-    cols = ["bucket", "block", "cut", "outer", "node", "n", "comp", "mark"]
+def _residual(entries: DataFrame, comp: DataFrame, plan: Plan) -> DataFrame:
+    """Rows of buckets with several components that may hold a link no star has drawn.
+
+    In each bucket the members outside its largest component meet all others,
+    cut into blocks and cuts of bounded total set size, so no task gets a whole
+    bucket. A pair belongs to the first bucket it shares.
+    """
+    at = _with_comp(entries, comp)
+    per = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    top = per.groupBy("bucket").agg(F.max(F.struct("k", "comp", "w")).alias("top"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("comps"))
+    top = materialize(top.filter("comps > 1").select("bucket", F.col("top.comp").alias("main"), "weight", (F.col("weight") - F.col("top.w")).alias("outside")))
+    at = materialize(at.join(top, "bucket"))
+    blocks = F.ceil(F.col("outside") / plan.block).cast("int")
+    cuts = F.ceil(F.col("weight") / (4 * plan.block)).cast("int")
+    cols = ["bucket", "block", "cut", "outer", "node", "n", "comp", "band", "mark", "keys"]
     outer = (at.filter("comp <> main").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).withColumn("outer", F.lit(True)).select(cols))
     members = (at.withColumn("cut", F.pmod(F.xxhash64("node", F.lit(1)), cuts).cast("int"))
                .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("outer", F.lit(False)).select(cols))
+    all_rows = outer.unionByName(members)
     keys = ["bucket", "block", "cut"]
-    return (outer.unionByName(members).repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(_compare(plan), "a binary, b binary").distinct())
+    hopeful = materialize(all_rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_hopeful(plan), BLOCK_SCHEMA))
+    facts = at.select("bucket", "node", "n", "comp", "band", "mark", "keys")
+    return hopeful.join(facts, ["bucket", "node"])
 
 
 def first_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
