@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import importable, ranked, shuffle_parts
-from .tokens import encoder
+from .tokens import encoded, encoder
 
 MAGIC = b"CMR1"
 BLOCK = 4096
@@ -304,8 +304,8 @@ def _writer(path: str, end_id: int, group_tokens: int):
                 pa.array([held], pa.int64()), pa.array([pack_group(doc_ids, docs)], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.ids(text) + end
+            for doc_id, ids in encoded(enc, b):
+                ids += end
                 doc_ids.append(doc_id), docs.append(ids)
                 held += len(ids) // 4
                 if held >= group_tokens:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import importable
-from .tokens import encoder
+from .tokens import encoded, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -108,8 +108,8 @@ def _pack(path: str, spaces: bool, end_id: int, size: int):
             made, held = made + 1, held + at
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.ids(text) + end
+            for doc_id, ids in encoded(enc, b):
+                ids += end
                 n = len(ids) // 4
                 whole = n - n % size
                 for start in range(0, whole, size):

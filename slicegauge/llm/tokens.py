@@ -12,14 +12,23 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 # White space the tokenizers know beyond bytes.split(), and the open bracket of special tokens.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|<\\|")
 PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+# Marks that the tokenizers always cut from the letters before them, and never join with what comes before that.
+MARKS = ".,!?;:#$%&*|<>()[]{}+=~^\"-/\\"
 
 
 class Encoder:
-    """ids(text): little-endian unsigned 32-bit ids. `spaces`: pieces keep the white space before them."""
+    """ids(texts): little-endian unsigned 32-bit ids. `spaces`: pieces keep the white space before them.
+
+    Pieces are remembered up to a bound. A new piece of letters and marks is
+    first sought as two known ones; what is left is encoded many at a time, as
+    one text of words, whose word numbers tell the pieces apart.
+    """
 
     def __init__(self, path: str, spaces: bool, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,26 +36,65 @@ class Encoder:
         self.tokenizer, self.spaces, self.remembered, self.seen = Tokenizer.from_file(path), spaces, remembered, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            return self.encode([text])[0]
-        pieces = PIECE.findall(text) if self.spaces else text.split()
+    def plain(self, piece: str) -> bool:
+        """One run of letters, with a blank before it where pieces keep them: a single word to the tokenizer."""
+        return piece[:1] == " " and piece[1:].isalpha() if self.spaces else piece.isascii() and piece.isalpha()
+
+    def encode_plain(self, pieces: list[str]) -> dict[str, bytes]:
+        if not pieces:
+            return {}
+        e = self.tokenizer.encode(("" if self.spaces else " ").join(pieces), add_special_tokens=False)
+        word = np.array(e.word_ids)
+        ids = np.array(e.ids, "<u4")
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(starts) != len(pieces):
+            return dict(zip(pieces, self.encode(pieces)))
+        raw, cuts = ids.tobytes(), [4 * x for x in starts.tolist()] + [4 * len(ids)]
+        return {p: raw[i:j] for p, i, j in zip(pieces, cuts, cuts[1:])}
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces."""
+        seen, found, whole, words, split = self.seen, {}, [], set(), []
+        for p in new:
+            base = p.rstrip(MARKS)
+            if self.plain(base):
+                if len(base) < len(p):
+                    split.append((p, base, p[len(base):]))
+                if base not in seen:
+                    words.add(base)
+            else:
+                whole.append(p)
+        marks = [m for m in {x[2] for x in split} if m not in seen]
+        found.update(self.encode_plain(list(words)))
+        found.update(zip(whole + marks, self.encode(whole + marks)))
+        for p, base, mark in split:
+            found[p] = (seen[base] if base in seen else found[base]) + (seen[mark] if mark in seen else found[mark])
+        return found
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
+        alone = dict(zip(odd, self.encode([texts[i] for i in odd]))) if odd else {}
+        if self.spaces:
+            cut = [PIECE.findall(t) if t and i not in alone else [] for i, t in enumerate(texts)]
+        else:
+            cut = [t.split() if t and i not in alone else [] for i, t in enumerate(texts)]
         seen = self.seen
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in seen})
-        found = dict(zip(new, self.encode(new)))
-        out = b"".join([seen[p] if p in seen else found[p] for p in pieces])
-        if len(seen) + len(found) <= self.remembered:
-            seen.update(found)
-        return out
+        new = {p for pieces in cut for p in pieces if p not in seen}
+        if new and len(seen) + 3 * len(new) > self.remembered:  # no room: keep the new ones for this call only
+            found = self.learn(new)
+            return [alone[i] if i in alone else b"".join([seen[p] if p in seen else found[p] for p in pieces]) for i, pieces in enumerate(cut)]
+        if new:
+            seen.update(self.learn(new))
+        return [alone[i] if i in alone else b"".join([seen[p] for p in pieces]) for i, pieces in enumerate(cut)]
+
+
+def encoded(enc: Encoder, batch):
+    """(doc_id, ids) of the rows of an Arrow batch (doc_id, text), a few texts at a time."""
+    doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for i, j in in_chunks(texts):
+        yield from zip(doc_ids[i:j], enc.ids(texts[i:j]))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -57,3 +105,15 @@ def encoder(path: str, spaces: bool) -> Encoder:
     if (path, spaces) not in _ENCODERS:
         _ENCODERS[path, spaces] = Encoder(path, spaces)
     return _ENCODERS[path, spaces]
+
+
+def in_chunks(values: list, characters: int = 200_000):
+    """(start, end) of runs of texts that are short together; a long text stands alone."""
+    start, held = 0, 0
+    for i, t in enumerate(values):
+        held += len(t or "")
+        if held >= characters:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(values):
+        yield start, len(values)

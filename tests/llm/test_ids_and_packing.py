@@ -36,8 +36,9 @@ def test_pieces_give_the_tokenizers_ids(spark, data, path, spaces):
     texts += [r[1] or "" for r in edge_rows()] + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 120").collect()]
     enc = Encoder(path, spaces, remembered=500)
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
-    for t, w in zip(texts, want):
-        assert np.frombuffer(enc.ids(t), "<u4").tolist() == w.ids, repr(t)
+    for at in range(0, len(texts), 37):
+        for t, w, got in zip(texts[at:], want[at:], enc.ids(texts[at:at + 37])):
+            assert np.frombuffer(got, "<u4").tolist() == w.ids, repr(t)
 
 
 def test_lanes_round_trip():
