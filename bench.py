@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from slicegauge.session import build_session  # noqa: E402
+from slicegauge.session import build_session, drop_tables  # noqa: E402
 from workload import QUERIES  # noqa: E402
 
 HEADLINE = [
@@ -42,6 +42,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[n](spark, folder).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - start, 3)
+        drop_tables(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))

@@ -15,8 +15,8 @@ def draw_key(seed: int, purpose: str, *parts: Column) -> Column:
 
 
 def draw_int(key: Column) -> Column:
-    """First 32 bits of a draw key as a non-negative long."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of a draw key as a non-negative long: no pool is too large for it."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
 
 
 def hash_bucket(key: Column) -> Column:

@@ -66,11 +66,11 @@ def scores_wide(scores: DataFrame, by: Sequence[str], names: Sequence[str] | Non
         F.max(F.when((F.col("name") == n) & F.col("applicable"), F.col("score"))).alias(n) for n in names])
 
 
-def slice_grid(summary: DataFrame, dataset: str, slice_: str, value: str, width: int) -> DataFrame:
-    """One row per dataset, the value of its n-th slice as column s<n-1>.
+def slice_grid(summary: DataFrame, dataset: str, slice_: str, value: str) -> DataFrame:
+    """(dataset, idx, value): every slice of a dataset at its place, from 0, in slice order.
 
+    The cells of the grid in long form, as wide as the longest dataset.
     `summary` has one row per slice, so the window sees only slice names.
     """
     w = Window.partitionBy(dataset).orderBy(slice_)
-    return (summary.withColumn("__i", F.row_number().over(w) - 1).groupBy(dataset)
-            .agg(*[F.max(F.when(F.col("__i") == i, F.col(value))).alias(f"s{i}") for i in range(width)]))
+    return summary.select(dataset, (F.row_number().over(w) - 1).alias("idx"), value)

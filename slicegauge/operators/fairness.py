@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import FLOATS, gather, no_nan
+from ..functions.columns import FLOATS, join_on, no_nan
 
 PREFIX = "prot__"
 
@@ -25,69 +25,87 @@ def overall_accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pred.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test"), F.avg(_correct()).alias("accuracy"))
 
 
-def subgroups(pred: DataFrame, protected: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, attr_ord, attribute, group, n, accuracy, error, positive_rate, tpr, fpr).
-
-    A missing attribute value is a group of its own (NULL here). Attributes
-    without a column are left out.
-    """
+def _cells(pred: DataFrame, protected: Sequence[str]) -> list[Column]:
+    """One (attr_ord, attribute, present, group) per attribute, whether the data has its column or not."""
     cells = []
     for i, p in enumerate(protected):
-        if PREFIX + p not in pred.columns:
-            continue
-        c = F.col(PREFIX + p)
-        if isinstance(pred.schema[PREFIX + p].dataType, FLOATS):
+        present = PREFIX + p in pred.columns
+        c = F.col(PREFIX + p) if present else F.lit(None)
+        if present and isinstance(pred.schema[PREFIX + p].dataType, FLOATS):
             c = no_nan(c)
-        cells.append(F.struct(F.lit(i).alias("attr_ord"), F.lit(p).alias("attribute"),
-                              c.cast("string").alias("group")))
-    if not cells:
-        raise ValueError("no protected attribute has a prediction column")
+        cells.append(_cell(i, p, present, c))
+    return cells
+
+
+def _cell(i: int, name: str | None, present: bool, group: Column) -> Column:
+    return F.struct(F.lit(i).alias("attr_ord"), F.lit(name).cast("string").alias("attribute"),
+                    F.lit(present).alias("present"), group.cast("string").alias("group"))
+
+
+def _grouped(pred: DataFrame, cells: list[Column], by: Sequence[str]) -> DataFrame:
+    """Counts and rates per (by, cell): the one pass over the predictions."""
+    none = "array<struct<attr_ord:int,attribute:string,present:boolean,group:string>>"
+    array = F.array(*cells) if cells else F.array().cast(none)
     hit, yes, pos = (F.col("y_pred") == 1).cast("int"), F.col("y_true") == 1, F.col("y_true") == 0
-    long = pred.select(*by, _correct().alias("ok"), hit.alias("hit"), yes.alias("yes"), pos.alias("no"),
-                       F.inline(F.array(*cells)))
-    acc = F.avg("ok")
-    return long.groupBy(*by, "attr_ord", "attribute", "group").agg(
-        F.count(F.lit(1)).alias("n"), acc.alias("accuracy"), F.avg(1 - F.col("ok")).alias("error"),
-        F.avg("hit").alias("positive_rate"),
-        F.avg(F.when(F.col("yes"), F.col("hit"))).alias("tpr"),
-        F.avg(F.when(F.col("no"), F.col("hit"))).alias("fpr"))
+    long = pred.select(*by, _correct().alias("ok"), hit.alias("hit"), yes.alias("yes"), pos.alias("no"), F.inline(array))
+    real = lambda c: F.when(F.col("present"), c)
+    return long.groupBy(*by, "attr_ord", "attribute", "present", "group").agg(
+        F.count(real(F.lit(1))).alias("n"), F.avg(real(F.col("ok"))).alias("accuracy"), F.avg(real(1 - F.col("ok"))).alias("error"),
+        F.avg(real(F.col("hit"))).alias("positive_rate"),
+        F.avg(real(F.when(F.col("yes"), F.col("hit")))).alias("tpr"),
+        F.avg(real(F.when(F.col("no"), F.col("hit")))).alias("fpr"))
+
+
+def subgroups(pred: DataFrame, protected: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, attr_ord, attribute, present, group, n, accuracy, error, positive_rate, tpr, fpr).
+
+    A missing attribute value is a group of its own (NULL here). An attribute
+    without a column is one row per run with present = false, n = 0 and NULLs;
+    without any attribute there are no rows.
+    """
+    return _grouped(pred, _cells(pred, protected), by)
 
 
 def subgroup_accuracy(pred: DataFrame, protected: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, attribute, group, n, accuracy); a missing value is the group 'nan'."""
-    return subgroups(pred, protected, by).select(
-        *by, "attribute", F.coalesce("group", F.lit("nan")).alias("group"), "n", "accuracy")
+    """(by, attribute, group, n, accuracy); a missing value is the group 'nan', an absent attribute a NULL row."""
+    group = F.when(F.col("present"), F.coalesce("group", F.lit("nan")))
+    return subgroups(pred, protected, by).select(*by, "attribute", group.alias("group"), "n", "accuracy")
 
 
-def _worst(field: str) -> Column:
+def _lowest() -> Column:
     """First of equal minima: attribute order, then group order, missing last."""
-    order = F.struct(F.col("accuracy"), F.col("attr_ord"), F.col("group").isNull(), F.col("group"))
-    return F.min_by(F.col(field), order)
+    return F.min(F.when(F.col("n") > 0, F.struct(
+        F.col("accuracy"), F.col("attr_ord"), F.col("group").isNull().alias("gone"), F.col("group"), F.col("attribute"))))
+
+
+def _worst(low: str) -> list[Column]:
+    c = F.col(low)
+    return [c["accuracy"].alias("worst_subgroup_accuracy"), c["attribute"].alias("worst_subgroup_attr"),
+            F.when(c.isNotNull(), F.coalesce(c["group"], F.lit("nan"))).alias("worst_subgroup_group")]
 
 
 def worst_subgroup(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by, worst accuracy, its attribute and group) from a `subgroups` result."""
-    return groups.groupBy(*by).agg(
-        F.min("accuracy").alias("worst_subgroup_accuracy"),
-        _worst("attribute").alias("worst_subgroup_attr"),
-        F.coalesce(F.min_by(F.coalesce("group", F.lit("nan")), F.struct(
-            F.col("accuracy"), F.col("attr_ord"), F.col("group").isNull(), F.col("group"))),
-            F.lit("nan")).alias("worst_subgroup_group"))
+    """(by, worst accuracy, its attribute and group) from a `subgroups` result; NULLs if no attribute has a column."""
+    return groups.groupBy(*by).agg(_lowest().alias("__low")).select(*by, *_worst("__low"))
+
+
+def _gap_columns() -> list[Column]:
+    both = F.col("tpr").isNotNull() & F.col("fpr").isNotNull()
+    tpr, fpr = F.when(both, F.col("tpr")), F.when(both, F.col("fpr"))
+    eod = F.greatest(F.max(tpr) - F.min(tpr), F.max(fpr) - F.min(fpr))
+    n = F.count_if(F.col("present"))
+    return [n.alias("n_groups"), F.when(n >= 2, F.max("positive_rate") - F.min("positive_rate")).alias("dpd"),
+            F.when(F.count_if(both) >= 2, eod).alias("eod")]
 
 
 def attribute_gaps(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, attr_ord, attribute, n_groups, dpd, eod) from a `subgroups` result.
 
     The largest pairwise difference is max - min. Equalized odds looks only at
-    groups in which both rates exist; fewer than two leave it NULL.
+    groups in which both rates exist; fewer than two leave it NULL. An absent
+    attribute has 0 groups and NULLs.
     """
-    both = F.col("tpr").isNotNull() & F.col("fpr").isNotNull()
-    tpr, fpr = F.when(both, F.col("tpr")), F.when(both, F.col("fpr"))
-    eod = F.greatest(F.max(tpr) - F.min(tpr), F.max(fpr) - F.min(fpr))
-    return groups.groupBy(*by, "attr_ord", "attribute").agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        F.when(F.count(F.lit(1)) >= 2, F.max("positive_rate") - F.min("positive_rate")).alias("dpd"),
-        F.when(F.count_if(both) >= 2, eod).alias("eod"))
+    return groups.groupBy(*by, "attr_ord", "attribute").agg(*_gap_columns())
 
 
 def demographic_parity_difference(pred: DataFrame, protected: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -104,23 +122,48 @@ def subgroup_error_gap(pred: DataFrame, protected: Sequence[str], by: Sequence[s
         (F.max("error") - F.min("error")).alias("worst_subgroup_error_gap"))
 
 
-def _summary(groups: DataFrame, by: Sequence[str]) -> list[DataFrame]:
-    gaps = attribute_gaps(groups, by).groupBy(*by).agg(
-        F.max("dpd").alias("dpd_worst"), F.max("eod").alias("eod_worst"))
-    err = groups.groupBy(*by).agg((F.max("error") - F.min("error")).alias("worst_subgroup_error_gap"))
-    return [gaps, err]
+OVERALL = -1
+
+
+def _rolled_up(pred: DataFrame, protected: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Everything per run from one chain of aggregations, each over the rows of the one before.
+
+    All rows of a run together are a group of an attribute of their own, so
+    accuracy needs no second pass and runs without attributes keep it.
+    """
+    groups = _grouped(pred, [_cell(OVERALL, None, True, F.lit(None)), *_cells(pred, protected)], by)
+    per = groups.groupBy(*by, "attr_ord", "attribute").agg(
+        *_gap_columns(), _lowest().alias("low"), F.max("error").alias("high_error"), F.min("error").alias("low_error"),
+        F.max("n").alias("n_test"), F.max("accuracy").alias("accuracy"))
+    whole, part = F.col("attr_ord") == OVERALL, F.col("attr_ord") != OVERALL
+    return per.groupBy(*by).agg(
+        F.max(F.when(whole, F.col("n_test"))).alias("n_test"), F.max(F.when(whole, F.col("accuracy"))).alias("accuracy"),
+        F.min(F.when(part, F.col("low"))).alias("__low"), F.max(F.when(part, F.col("dpd"))).alias("dpd_worst"),
+        F.max(F.when(part, F.col("eod"))).alias("eod_worst"),
+        (F.max(F.when(part, F.col("high_error"))) - F.min(F.when(part, F.col("low_error")))).alias("worst_subgroup_error_gap"))
 
 
 def fairness_summary(pred: DataFrame, protected: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, dpd_worst, eod_worst, worst_subgroup_error_gap): worst over the attributes."""
-    return gather(_summary(subgroups(pred, protected, by), by), by)
+    """(by, dpd_worst, eod_worst, worst_subgroup_error_gap): worst over the attributes; NULLs without any."""
+    return _rolled_up(pred, protected, by).select(*by, "dpd_worst", "eod_worst", "worst_subgroup_error_gap")
 
 
 def run_metrics(pred: DataFrame, protected: Sequence[str],
                 by: Sequence[str] = ("slice", "model_family", "seed")) -> DataFrame:
-    """All accuracy and fairness columns, one row per run."""
-    groups = subgroups(pred, protected, by)
-    return gather([overall_accuracy(pred, by), worst_subgroup(groups, by), *_summary(groups, by)], by)
+    """All accuracy and fairness columns, one row per run, from one scan of the predictions."""
+    return _rolled_up(pred, protected, by).select(
+        *by, "n_test", "accuracy", *_worst("__low"), "dpd_worst", "eod_worst", "worst_subgroup_error_gap")
+
+
+SCORE_COLUMNS = ("Q", "S", "R", "demographic_representation_gap", "harm_content_density", "application")
+
+
+def scores_for_metrics(scores: DataFrame, application: str, keys: Sequence[str] = ("dataset", "slice")) -> DataFrame:
+    """(keys, Q, S, R, two sub-scores, application) of long scores, as `with_scores` joins them to metrics."""
+    from .composite import composites, scores_wide
+    comp = composites(scores, application, list(keys)).select(*keys, F.col("quality").alias("Q"), F.col("safety").alias("S"), F.col("rights").alias("R"))
+    wide = scores_wide(scores, keys, ["demographic_representation_gap", "harm_content_density"])
+    return join_on(comp, wide, list(keys), "left").withColumn("application", F.lit(application))
 
 
 def with_scores(metrics: DataFrame, scores: DataFrame, keys: Sequence[str] = ("dataset", "slice")) -> DataFrame:

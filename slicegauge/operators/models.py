@@ -104,7 +104,7 @@ def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, fa
             width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
             ready.persist()
         except Exception as e:  # one bad split must not stop the grid
-            outcomes.append((name, None, seed, "failed", f"{type(e).__name__}: {e}"[:500], 0, 0))
+            outcomes.append((name, None, seed, "failed", f"{type(e).__name__}: {e}", 0, 0))
             continue
         for fam in families:
             try:
@@ -116,7 +116,7 @@ def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, fa
                     score.alias("y_score"), *[c for c in rows.columns if c.startswith(PREFIX)]))
                 outcomes.append((name, fam, seed, "ok", None, n_train, n_test))
             except Exception as e:  # recorded, not raised
-                outcomes.append((name, fam, seed, "failed", f"{type(e).__name__}: {e}"[:500], n_train, n_test))
+                outcomes.append((name, fam, seed, "failed", f"{type(e).__name__}: {e}", n_train, n_test))
         ready.unpersist()
     return preds, outcomes
 

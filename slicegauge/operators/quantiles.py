@@ -18,19 +18,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     Small inputs use `percentile`, which keeps a value map per group. Larger
     ones find the value range that holds each wanted rank from bucket counts
     and sort only the distinct values of those ranges, so neither a map nor a
-    task ever holds a column. Missing values are left out; a group without
-    values has no row in the large form and NULL quantiles in the small one.
+    task ever holds a column. Both give the same rows: missing values are left
+    out, a group without values has no row, zero has no sign.
     """
     probs = [float(p) for p in probs]
     if is_small(df, small_bytes):
         ps = F.array(*[F.lit(p) for p in probs])
         aggs, cells = [], []
         for i, c in enumerate(columns):
-            v = as_double(df, c)
+            v = as_double(df, c) + F.lit(0.0)
             aggs += [F.count(v).alias(f"__n{i}"), F.percentile(v, ps).alias(f"__q{i}")]
             cells.append(F.struct(F.lit(c).alias("column"), F.col(f"__n{i}").alias("n"),
                                   F.col(f"__q{i}").alias("q")))
-        return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
+        return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells))).where("n > 0")
     return _by_buckets(df, columns, probs, list(by))
 
 
@@ -52,7 +52,7 @@ def _keep_wanted(cut: DataFrame, g: list[str], bucket: str) -> DataFrame:
 
 def _by_buckets(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str]) -> DataFrame:
     g = [*by, "column"]
-    long = melt(df, by, {c: as_double(df, c) for c in columns}).where(F.col("value").isNotNull())
+    long = melt(df, by, {c: as_double(df, c) + F.lit(0.0) for c in columns}).where(F.col("value").isNotNull())
     cut = with_value_bucket(long, g, "value", "__b1", stats=[F.count(F.lit(1)).alias("n")])
     # zero-based ranks on both sides of each quantile position
     pos = [(F.col("n") - 1) * F.lit(p) for p in probs]

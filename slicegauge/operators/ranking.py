@@ -14,6 +14,7 @@ from ..session import is_small
 RANGE_BUCKETS = 65536
 # Cells per level where ranges are cut twice.
 CELLS = 4096
+ROW_CELLS = 1024
 # Stand-in for infinity when ranges are measured.
 MAX = 1.7976931348623157e308
 
@@ -113,9 +114,11 @@ def first_rows(df: DataFrame, n: int, order: str, by: Sequence[str] = (),
     """The first n rows per group (or overall) by a numeric arrival column."""
     if is_small(df, small_bytes):
         return ranked(df, by, [order], F.lit(0), "__rank", n).drop("__rank")
-    cut = with_value_bucket(df.withColumn("__v", F.col(order).cast("double")), by, "__v", "__vb", linear=True)
-    out = ranked(cut, by, [order], F.col("__vb"), "__rank", n, small_bytes)
-    return out.drop("__rank", "__v", "__vb")
+    # two levels: a far outlier leaves all other rows in one cell of the first, which the second spreads
+    outer = with_value_bucket(df.withColumn("__v", F.col(order).cast("double")), by, "__v", "__v1", ROW_CELLS)
+    cut = with_value_bucket(outer, [*by, "__v1"], "__v", "__v2", ROW_CELLS, linear=True)
+    out = ranked(cut, by, [order], F.col("__v1") * ROW_CELLS + F.col("__v2"), "__rank", n, small_bytes)
+    return out.drop("__rank", "__v", "__v1", "__v2")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None,

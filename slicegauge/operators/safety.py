@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -127,8 +128,23 @@ def physical_harm_enablement_density(df: DataFrame, text: str, by: Sequence[str]
     return single(df, physical_harm_proxy(df, text, by, **options), by)
 
 
+def _lenient(predicate: str) -> str:
+    """A SQL predicate whose casts and divisions give NULL where they would fail; text literals stay as they are."""
+    parts = re.split(r"('(?:[^'\\]|\\.|'')*')", predicate)
+    for i in range(0, len(parts), 2):
+        parts[i] = re.sub(r"\bcast\s*\(", "TRY_CAST(", parts[i], flags=re.I)
+        # the divisor: a name, a number, a call or a bracket without brackets inside
+        parts[i] = re.sub(r"([/%])\s*([\w.`]+(?:\([^()]*\))?|\([^()]*\))", r"\1 nullif(\2, 0)", parts[i])
+    return "".join(parts)
+
+
 def edge_case_proxy(df: DataFrame, specs: Sequence[Mapping] | None, coupled: bool) -> Proxy:
-    """`specs` hold a name, a filter (SQL predicate or Column) and a minimum count."""
+    """`specs` hold a name, a filter (SQL predicate or Column) and a minimum count.
+
+    A predicate that cannot be resolved is unsatisfied. One that fails on a row
+    while running (a bad cast, a division by zero) does not count that row; a
+    Column, or a divisor with nested brackets, must see to that itself.
+    """
     name = "safety_critical_edge_case_coverage"
     if not coupled:
         return not_applicable(name, 0.0, "not coupled to a physical process")
@@ -137,7 +153,7 @@ def edge_case_proxy(df: DataFrame, specs: Sequence[Mapping] | None, coupled: boo
     aggs, ok, details = [], [], {}
     for i, s in enumerate(specs):
         need = int(s.get("min_count", 1))
-        cond = F.expr(s["filter"]) if isinstance(s["filter"], str) else s["filter"]
+        cond = F.expr(_lenient(s["filter"])) if isinstance(s["filter"], str) else s["filter"]
         agg = F.count_if(cond.cast("boolean")).alias(f"__edge{i}")
         try:
             # analysis only: a predicate that cannot be resolved is unsatisfied

@@ -174,12 +174,20 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int, test_size:
 
 def quota_per_category(df: DataFrame, category: Column, order: str, categories: Sequence[str], n: int,
                        read_cap: int | None = None, small_bytes: int | None = None) -> DataFrame:
-    """First n rows of each listed category by arrival, reading at most the cap.
+    """First n rows of each listed category by arrival.
 
-    The stream reader this stands for stops once the cap is passed, so
-    cap + 1 rows are looked at; the default cap is 50 rows per wanted row.
+    Every row is read unless the caller sets a cap: then, as a stream reader
+    that stops once the cap is passed, only the first cap + 1 rows are looked
+    at. `quota_shortfall` tells what a cap has cost.
     """
-    cap = 50 * n * len(categories) if read_cap is None else read_cap
-    seen = first_rows(df, cap + 1, order, small_bytes=small_bytes)
+    seen = df if read_cap is None else first_rows(df, read_cap + 1, order, small_bytes=small_bytes)
     labelled = seen.withColumn("category", category).where(F.col("category").isin(*categories))
     return first_rows(labelled, n, order, ["category"], small_bytes)
+
+
+def quota_shortfall(filled: DataFrame, categories: Sequence[str], n: int) -> DataFrame:
+    """(category, n_rows, shortfall) of every listed category, also of those without a row."""
+    wanted = filled.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
+    have = filled.groupBy("category").agg(F.count(F.lit(1)).alias("__n"))
+    rows = F.coalesce("__n", F.lit(0))
+    return wanted.join(have, "category", "left").select("category", rows.alias("n_rows"), (F.lit(n) - rows).alias("shortfall"))

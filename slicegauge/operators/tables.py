@@ -71,12 +71,11 @@ def run_records(records: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]
 def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, n_rows, content_hash): an order-free hash of all rows.
 
-    Sum of 32-bit md5 prefixes of the rows' text forms; equal contents give
-    equal sums whatever the order or partitioning.
+    Decimal sum of 64-bit md5 prefixes of the rows' text forms; equal contents
+    give equal sums whatever the order or partitioning. Fields carry their
+    byte length, so NULLs and separators inside a text cannot be mistaken.
     """
-    cols = [c for c in df.columns if c not in by]
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])
-    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(part).alias("content_hash"))
-
-
+    texts = [F.col(c).cast("string") for c in df.columns if c not in by]
+    fields = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    part = F.conv(F.substring(F.md5(F.concat(*fields)), 1, 16), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(part).cast("string").alias("content_hash"))

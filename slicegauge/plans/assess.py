@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sql
-from ..functions.columns import clean, numeric_columns
+from ..functions.columns import clean, join_on, numeric_columns
 from ..operators import metadata as md, quality, rights, safety
 from ..operators.composite import composites
 from ..operators.nmi import DECILES
@@ -119,7 +119,7 @@ def slice_records(scores: DataFrame, application: str, by: Sequence[str] = ("dat
     # at most one entry per proxy and slice
     details = scores.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(".", "axis", "name"), F.struct("applicable", "raw_value", "details")))).alias("details"))
-    return base.join(details, list(by))
+    return join_on(base, details, list(by))
 
 
 def explode_records(records: DataFrame) -> DataFrame:

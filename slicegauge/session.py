@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +32,8 @@ def build_session(app: str = "slicegauge", master: str | None = None,
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; runs no job.
 
-    For file scans it is the size of the files, joins multiply, so it only
-    errs on the large side for the plans used here.
+    For file scans it is the compressed size of the files, and an explode does
+    not raise it. So it only picks between forms that give the same rows.
     """
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -44,20 +43,26 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in `spark.checkpoint.dir`.
+    """The shared folder named in `spark.checkpoint.dir`, whatever store it is in.
 
-    Only a local session, as in tests, gets a temporary folder if it is unset:
-    on a cluster such a folder would be out of reach of the other machines.
+    Only a session in one JVM, as in tests, may leave it unset and then uses a
+    folder beside its warehouse. On a cluster that would be out of reach of the
+    other machines, so there it must be named.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="slicegauge-checkpoint-"))
+        if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoint"
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several branches or jobs read.
 
@@ -66,4 +71,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables `materialize` has written; call it when their readers are done."""
+    paths = list(_TABLES)
+    _TABLES.clear()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -78,5 +78,5 @@ def read_available(spark: SparkSession, inputs: Mapping[str, Sequence[str]],
             frames[name] = load(spark, name)
             status.append((name, "ok", None))
         except Exception as e:  # reported, the other datasets go on
-            status.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
+            status.append((name, "failed", f"{type(e).__name__}: {e}"))
     return frames, spark.createDataFrame(status, "dataset string, status string, error string")

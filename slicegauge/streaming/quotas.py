@@ -1,4 +1,4 @@
-"""Fill per-category row quotas from a stream, in arrival order, up to a read cap."""
+"""Fill per-category row quotas from a stream, in arrival order."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ def fill_quotas(stream: DataFrame, category: Column, order: str, categories: Seq
 
     Every batch sees how many rows each category already has and how many
     rows were read before it, and adds only the missing first rows. Drained,
-    the table equals `quota_per_category` of the same rows.
+    the table equals `quota_per_category` of the same rows. All rows are read
+    unless the caller sets a cap.
     """
-    cap = 50 * n * len(categories) if read_cap is None else read_cap
     names = [*stream.columns, "category"]
 
     def top_up(batch: DataFrame, number: int) -> None:
@@ -29,8 +29,8 @@ def fill_quotas(stream: DataFrame, category: Column, order: str, categories: Seq
         try:
             seen = before_batch(spark, path + "_seen", number, "n long, batch int").agg(
                 F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-            left = max(0, cap + 1 - seen)
             size = batch.count()
+            left = size if read_cap is None else max(0, read_cap + 1 - seen)
             rows = first_rows(batch, left, order) if size > left else batch
             schema = rows.withColumn("category", category).select(*names).withColumn("batch", F.lit(0)).schema
             have = {r["category"]: r["n"] for r in before_batch(spark, path, number, schema)

@@ -18,6 +18,7 @@ def test_gaps(spark):
         fm.subgroups(df, ["sex", "age", "absent"], ["run"]), ["run"]).collect()}
     assert got["r", "sex"] == (2, 1.0, 1.0) and got["q", "sex"] == (1, None, None)
     assert got["r", "age"] == (2, 1.0, 1.0)
+    assert got["r", "absent"] == got["q", "absent"] == (0, None, None)
     gap = {r.run: r.worst_subgroup_error_gap for r in fm.subgroup_error_gap(df, ["sex", "age"], ["run"]).collect()}
     assert gap == {"r": 0.25, "q": 0.0}
     s = {r.run: r for r in fm.run_metrics(df, ["sex", "age"], ["run"]).collect()}
@@ -51,3 +52,21 @@ def test_multiple_choice(spark):
     import math
     z = [1, math.exp(-1), math.exp(-2)]
     assert factuality.mc2(two, "question").first().mc2 == pytest.approx(((z[0] + z[2]) / sum(z) + 0) / 2)
+
+
+def test_metrics_without_attributes(spark):
+    df = preds(spark, [("r", 1, 1, "f", 1.0), ("r", 0, 1, "f", 1.0)])
+    for names in ([], ["absent"]):
+        r = fm.run_metrics(df, names, ["run"]).first()
+        assert (r.n_test, r.accuracy, r.worst_subgroup_accuracy, r.worst_subgroup_attr, r.worst_subgroup_group) == (2, 0.5, None, None, None)
+        assert (r.dpd_worst, r.eod_worst, r.worst_subgroup_error_gap) == (None, None, None)
+        assert fm.worst_subgroup(fm.subgroups(df, names, ["run"]), ["run"]).where("worst_subgroup_accuracy IS NOT NULL").count() == 0
+
+
+def test_score_columns_for_metrics(spark):
+    from slicegauge.schema import PROXIES
+    rows = [("d", s, i, axis, name, 0.25, True, 0.25, "{}") for s in ("a", None) for i, (axis, name) in enumerate(PROXIES)]
+    scores = local_frame(spark, rows, "dataset string, slice string, ord int, axis string, name string, score double, applicable boolean, raw_value double, details string")
+    got = fm.scores_for_metrics(scores, "ML").collect()
+    assert {(r.slice, r.Q, r.S, r.R, r.demographic_representation_gap, r.harm_content_density, r.application) for r in got} == {
+        (s, 0.25, 0.25, 0.25, 0.25, 0.25, "ML") for s in ("a", None)}

@@ -218,13 +218,10 @@ def slice_summary(t: Tables) -> DataFrame:
     return catalog_slices(t).selectExpr("dataset", "slice", *rounded("Q", "S", "R"))
 
 
-@query("slice_grid", f"WITH {SLICES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY slice) - 1 AS i "
-                     "FROM sl) SELECT dataset, " + ", ".join(
-                         f"round(max(CASE WHEN i = {i} THEN Q END), 8) + 0.0 AS s{i}" for i in range(12))
-                     + " FROM n GROUP BY dataset")
+@query("slice_grid", f"WITH {SLICES_SQL} SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY slice) - 1 AS INT) AS idx, "
+                     "round(Q, 8) + 0.0 AS Q FROM sl")
 def grid(t: Tables) -> DataFrame:
-    out = slice_grid(catalog_slices(t), "dataset", "slice", "Q", 12)
-    return out.selectExpr("dataset", *rounded(*[f"s{i}" for i in range(12)]))
+    return slice_grid(catalog_slices(t), "dataset", "slice", "Q").selectExpr("dataset", "idx", *rounded("Q"))
 
 
 @query("relevance", """WITH present(dataset, col) AS (

@@ -219,12 +219,18 @@ def dual_use_density_stock(t: Tables) -> DataFrame:
 EDGE = [{"name": "deep_discount", "filter": "l_discount >= 0.1 AND l_quantity > 45", "min_count": 20},
         {"name": "untaxed_return", "filter": "l_tax = 0 AND l_returnflag = 'R'", "min_count": 1},
         {"name": "late", "filter": "l_shipdate > timestamp'2030-01-01 00:00:00'"},
+        {"name": "bad_cast", "filter": "CAST(l_returnflag AS INT) > 1"},
+        {"name": "zero_division", "filter": "l_quantity / l_tax > 2000"},
+        {"name": "mixed_text", "filter": "CAST(concat(IF(l_tax = 0, 'x', ''), l_quantity) AS DOUBLE) >= 50", "min_count": 5},
         {"name": "broken", "filter": "no_such_column > 1"}]
 
 
 @query("edge_case_coverage", """SELECT l_linenumber, round(1 - (CAST(count(*) FILTER (l_discount >= 0.1 AND l_quantity > 45) >= 20 AS INT)
     + CAST(count(*) FILTER (l_tax = 0 AND l_returnflag = 'R') >= 1 AS INT)
-    + CAST(count(*) FILTER (l_shipdate > TIMESTAMP '2030-01-01') >= 1 AS INT)) / 4.0, 8) AS score, true AS applicable
+    + CAST(count(*) FILTER (l_shipdate > TIMESTAMP '2030-01-01') >= 1 AS INT)
+    + CAST(count(*) FILTER (TRY_CAST(l_returnflag AS INT) > 1) >= 1 AS INT)
+    + CAST(count(*) FILTER (l_quantity / nullif(l_tax, 0) > 2000) >= 1 AS INT)
+    + CAST(count(*) FILTER (l_tax <> 0 AND l_quantity >= 50) >= 5 AS INT)) / 7.0, 8) AS score, true AS applicable
   FROM lineitem GROUP BY l_linenumber""")
 def edge_case_coverage(t: Tables) -> DataFrame:
     return safety.edge_case_coverage(t.lineitem, EDGE, True, ["l_linenumber"]).selectExpr(

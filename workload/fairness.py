@@ -120,3 +120,20 @@ def run_metrics(t: Tables) -> DataFrame:
     m = fm.with_scores(fm.run_metrics(predictions(t), PROT, BY), scores, ["slice"])
     return m.selectExpr(*BY, "n_test", "worst_subgroup_attr", "worst_subgroup_group", *rounded(
         "accuracy", "worst_subgroup_accuracy", "dpd_worst", "eod_worst", "worst_subgroup_error_gap", "Q", "R"))
+
+
+@query("run_metrics_unprotected", f"""WITH {PRED_SQL} SELECT {_B}, count(*) AS n_test, round(avg(CAST(y_true = y_pred AS INT)), 8) AS accuracy,
+  CAST(NULL AS DOUBLE) AS worst_subgroup_accuracy, CAST(NULL AS VARCHAR) AS worst_subgroup_attr, CAST(NULL AS DOUBLE) AS dpd_worst,
+  CAST(NULL AS DOUBLE) AS worst_subgroup_error_gap FROM pred GROUP BY ALL""")
+def run_metrics_unprotected(t: Tables) -> DataFrame:
+    """A dataset without protected attributes keeps its accuracy."""
+    return fm.run_metrics(predictions(t), [], BY).select(*BY, "n_test", F.expr("round(accuracy, 8) AS accuracy"), "worst_subgroup_accuracy",
+                                                         "worst_subgroup_attr", "dpd_worst", "worst_subgroup_error_gap")
+
+
+@query("fairness_absent_attribute", f"""{_GR} SELECT {_B}, attribute, n_groups, round(dpd, 8) + 0.0 AS dpd, round(eod, 8) + 0.0 AS eod FROM ({gaps_sql(_B)})
+  UNION ALL SELECT DISTINCT {_B}, 'religion', 0, NULL, NULL FROM pred""")
+def fairness_absent_attribute(t: Tables) -> DataFrame:
+    """An attribute without a column is a row of NULLs beside those that have one."""
+    g = fm.attribute_gaps(fm.subgroups(predictions(t), [*PROT, "religion"], BY), BY)
+    return g.selectExpr(*BY, "attribute", "n_groups", *rounded("dpd", "eod"))

@@ -147,8 +147,13 @@ def tagged_union(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count("c_mktsegment").alias("n_segment"), F.round(F.sum("balance"), 2).alias("balance"))
 
 
-@query("table_fingerprint", """SELECT lang, count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31),
-  CAST(doc_id AS VARCHAR), text, source, CAST(n_chars AS VARCHAR))), 1, 8)) AS BIGINT)) AS BIGINT) AS content_hash FROM documents GROUP BY lang""")
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+
+
+@query("table_fingerprint", f"""SELECT lang, count(*) AS n_rows, CAST(sum(CAST(CAST(('0x' || substr(md5(
+  {' || '.join(map(_field, ['CAST(doc_id AS VARCHAR)', 'text', 'source', 'CAST(n_chars AS VARCHAR)']))}), 1, 16)) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS content_hash
+  FROM documents GROUP BY lang""")
 def table_fingerprint(t: Tables) -> DataFrame:
     return tables.fingerprint(t.documents.select("doc_id", "text", "lang", "source", "n_chars"), ["lang"])
 

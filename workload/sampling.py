@@ -111,13 +111,34 @@ def slice_manifest(t: Tables) -> DataFrame:
 _CATS = ["www", "blog", "mobile"]
 
 
-@query("quota_per_category", f"""WITH seen AS (SELECT page_id, url FROM pages ORDER BY page_id LIMIT 7501),
-  c AS (SELECT page_id, {url_sql(OWN_URLS)} AS category FROM seen)
-  SELECT category, page_id FROM c WHERE category IN ('www', 'blog', 'mobile')
-  QUALIFY row_number() OVER (PARTITION BY category ORDER BY page_id) <= 50""")
+def _quota_sql(seen: str) -> str:
+    return f"""WITH c AS (SELECT page_id, {url_sql(OWN_URLS)} AS category FROM {seen}),
+  q AS (SELECT category, page_id FROM c WHERE category IN ('www', 'blog', 'mobile')
+    QUALIFY row_number() OVER (PARTITION BY category ORDER BY page_id) <= 50)"""
+
+
+_FIRST = "(SELECT page_id, url FROM pages ORDER BY page_id LIMIT 101)"
+
+
+def _quota(t: Tables, cap: int | None = None) -> DataFrame:
+    return sm.quota_per_category(t.pages.select("page_id", "url"), text.url_category(F.col("url"), OWN_URLS), "page_id", _CATS, 50, cap)
+
+
+@query("quota_per_category", f"{_quota_sql('pages')} SELECT * FROM q")
 def quota_per_category(t: Tables) -> DataFrame:
-    pages = t.pages.select("page_id", "url")
-    return sm.quota_per_category(pages, text.url_category(F.col("url"), OWN_URLS), "page_id", _CATS, 50).select("category", "page_id")
+    return _quota(t).select("category", "page_id")
+
+
+@query("quota_per_category_capped", f"{_quota_sql(_FIRST)} SELECT * FROM q")
+def quota_per_category_capped(t: Tables) -> DataFrame:
+    """A cap that bites: 100 pages read for three times 50 wanted."""
+    return _quota(t, 100).select("category", "page_id")
+
+
+@query("quota_shortfall", f"""{_quota_sql(_FIRST)} SELECT w.category, count(q.page_id) AS n_rows, 50 - count(q.page_id) AS shortfall
+  FROM (VALUES ('www'), ('blog'), ('mobile')) w(category) LEFT JOIN q ON q.category = w.category GROUP BY w.category""")
+def quota_shortfall(t: Tables) -> DataFrame:
+    return sm.quota_shortfall(_quota(t, 100), _CATS, 50)
 
 
 @query("stratified_split", f"""SELECT doc_id, quality, r <= round_even(n * 0.2, 0) AS is_test FROM (

@@ -96,4 +96,4 @@ def draw(*parts: str) -> str:
 
 
 def draw_int(key: str) -> str:
-    return f"CAST(('0x' || substr({key}, 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr({key}, 1, 15)) AS BIGINT)"
