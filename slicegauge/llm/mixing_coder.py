@@ -39,24 +39,34 @@ from .tokens import encoded, encoder
 
 MAGIC = b"CMR1"
 BLOCK = 4096
-LANES = 768
+LANES = 1024
 SLOTS = 1024
 SCALE = 13
 RATE = np.float32(0.04)
+LEAST = np.float32(0.00004)
 GROUP_SCHEMA = "part int, seq int, n_docs int, n_tokens long, payload binary"
 
 
 class Model:
-    """Predictors of all lanes. Encoder and decoder take the same steps."""
+    """Predictors of all lanes. Encoder and decoder take the same steps.
+
+    A distribution is four float32; tables keep it as one 16-byte item, so that
+    looking it up and storing it moves whole items.
+    """
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.p1, self.c1 = np.zeros(lanes << 12, np.uint16), np.zeros(lanes << 12, np.int8)
         self.p2, self.c2 = np.zeros(lanes << 13, np.uint16), np.zeros(lanes << 13, np.int8)
-        self.tables = [np.tile(np.array([0.25, 0.15, 0.3, 0.3], np.float32), (lanes * 16, 1)) for _ in range(3)]
-        self.w = np.full((lanes, 3), np.float32(1 / 3))
+        first = np.array([0.25, 0.15, 0.3, 0.3], np.float32).view(np.complex128)
+        self.tables = [np.repeat(first, lanes * 16) for _ in range(3)]
+        self.w = [np.full(lanes, np.float32(1 / 3)) for _ in range(3)]
         self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.history = np.zeros(lanes, np.int64)
+        self.base, self.row, self.bound = self.lane << 4, self.lane << 2, self.lane * 5
+        self.base1, self.base2, self.slots = self.lane << 12, self.lane << 13, self.lane * SLOTS
+        self.cum = np.zeros((lanes, 5), np.int32)
+        self.cum[:, 4] = 65536
         self.tag, self.count = np.full(lanes * SLOTS, -1, np.int32), np.zeros(lanes * SLOTS, np.int32)
         self.tag0 = self.tag.copy()
         self.freq0 = self.cum0 = np.zeros(lanes * SLOTS, np.int64)
@@ -74,59 +84,67 @@ class Model:
         self.cum0 = ((np.cumsum(freq, axis=1) - freq) << shift).ravel()
         self.freq0 = (freq << shift).ravel()
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of the four outcomes and their starts, out of 2^16."""
-        self.i1 = (self.lane << 12) + ((self.prev * 40503 >> 4) & 4095)
-        self.i2 = (self.lane << 13) + ((self.prev * 40503 + self.prev2 * 60493 >> 3) & 8191)
-        self.y1, self.k1 = self.p1[self.i1].astype(np.int64), self.c1[self.i1]
-        self.y2, self.k2 = self.p2[self.i2].astype(np.int64), self.c2[self.i2]
-        base = self.lane << 4
-        self.at = [base + self.history, base + self.k1 + ((self.k2 > 0) << 3), base + self.k2 + ((self.y1 == self.y2) << 3)]
-        self.q = [t.take(i, axis=0) for t, i in zip(self.tables, self.at)]
-        w = self.w
-        mixed = w[:, 0:1] * self.q[0]
-        mixed += w[:, 1:2] * self.q[1]
-        mixed += w[:, 2:3] * self.q[2]
-        freq = (mixed * np.float32(65400)).astype(np.int64) + 1
-        start = np.cumsum(freq, axis=1)
-        freq[:, 3] += 65536 - start[:, 3]
-        start[:, 1:] = start[:, :3]
-        start[:, 0] = 0
-        return freq, start
+    def predict(self) -> np.ndarray:
+        """Bounds of the four outcomes of every lane, out of 2^16."""
+        mix = self.prev * 40503
+        self.i1 = self.base1 + (mix >> 4 & 4095)
+        self.i2 = self.base2 + (mix + self.prev2 * 60493 >> 3 & 8191)
+        self.y1, self.k1 = self.p1.take(self.i1), self.c1.take(self.i1)
+        self.y2, self.k2 = self.p2.take(self.i2), self.c2.take(self.i2)
+        self.at = [self.base + self.history, self.base + (self.k1 | ((self.k2 > 0) << 3)), self.base + (self.k2 | ((self.y1 == self.y2) << 3))]
+        self.q = [t.take(i).view(np.float32).reshape(-1, 4) for t, i in zip(self.tables, self.at)]
+        mixed = self.q[0] * self.w[0][:, None]
+        mixed += self.q[1] * self.w[1][:, None]
+        mixed += self.q[2] * self.w[2][:, None]
+        mixed *= np.float32(65000)
+        freq = mixed.astype(np.int32)
+        freq += 1
+        cum = self.cum
+        cum[:, 1] = freq[:, 0]
+        np.add(freq[:, 0], freq[:, 1], out=cum[:, 2])
+        np.add(cum[:, 2], freq[:, 2], out=cum[:, 3])
+        return cum
+
+    def bounds(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and frequency of outcome k of every lane."""
+        at, flat = self.bound + k, self.cum.ravel()
+        start = flat.take(at)
+        return start, flat.take(at + 1) - start
 
     def slot(self, ids: np.ndarray) -> np.ndarray:
-        return self.lane * SLOTS + ((ids * 40503 >> 5) & (SLOTS - 1))
+        return self.slots + (ids * 40503 >> 5 & (SLOTS - 1))
 
     def outcome(self, ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        known = (self.tag0[slot] == ids) & (self.freq0[slot] > 0)
+        known = (self.tag0.take(slot) == ids) & (self.freq0.take(slot) > 0)
         k = 3 - known.astype(np.int64)
         k[(ids == self.y1) & (self.k1 > 0)] = 1
         k[(ids == self.y2) & (self.k2 > 0)] = 0
         return k
 
     def update(self, ids: np.ndarray, k: np.ndarray, slot: np.ndarray) -> None:
-        flat = (self.lane << 2) + k
-        hit = np.empty_like(self.w)
+        flat, ws = self.row + k, []
         for m, q in enumerate(self.q):
-            hit[:, m] = q.ravel()[flat]
-            q *= 1 - RATE
-            q.ravel()[flat] += RATE
-            self.tables[m][self.at[m]] = q
-        w = self.w * hit
-        w /= (w[:, 0] + w[:, 1] + w[:, 2])[:, None]
-        w *= np.float32(0.97)
-        w += np.float32(0.01)
-        self.w = w
+            line = q.ravel()
+            ws.append(self.w[m] * line.take(flat))
+            line *= 1 - RATE
+            line += LEAST  # no outcome ever gets impossible
+            line[flat] += RATE
+            self.tables[m][self.at[m]] = line.view(np.complex128)
+        scale = np.float32(0.97) / (ws[0] + ws[1] + ws[2])
+        self.w = [w * scale + np.float32(0.01) for w in ws]
+        small = ids.astype(np.uint16)
         for p, c, i, y, n in ((self.p1, self.c1, self.i1, self.y1, self.k1), (self.p2, self.c2, self.i2, self.y2, self.k2)):
-            right = y == ids
-            c[i] = np.where(right, np.minimum(n + 1, 7), np.maximum(n >> 1, 1)).astype(np.int8)
-            p[i] = np.where(right | (n > 2), y, ids)
-        tag, count = self.tag[slot], self.count[slot]
+            right = y == small
+            c[i] = np.where(right, np.minimum(n + np.int8(1), 7), np.maximum(n >> 1, 1))
+            p[i] = np.where(right | (n > 2), y, small)
+        tag, count = self.tag.take(slot), self.count.take(slot)
         same = tag == ids
-        fresh = ~same & (count <= 1)
+        fresh = count <= 1
+        fresh &= ~same
         self.tag[slot] = np.where(fresh, ids, tag)
-        self.count[slot] = np.where(same, count + 1, np.where(fresh, 1, count - 1))
-        self.history = ((self.history << 2) & 15) + k
+        count += np.where(same, 1, np.where(fresh, 1 - count, -1))
+        self.count[slot] = count
+        self.history = (self.history << 2 & 15) + k
         self.prev2, self.prev = self.prev, ids
 
 
@@ -205,11 +223,10 @@ def encode_lanes(ids: np.ndarray) -> list[bytes]:
         if due(t):
             model.refresh()
         x = columns[t]
-        freq, start = model.predict()
+        model.predict()
         slot = model.slot(x)
         k = model.outcome(x, slot)
-        flat = (model.lane << 2) + k
-        sink.put(start.ravel()[flat], freq.ravel()[flat])
+        sink.put(*model.bounds(k))
         raw, table = k == 3, k == 2
         sink.put(np.where(raw, x, np.where(table, model.cum0[slot], zero)), np.where(raw, one, np.where(table, model.freq0[slot], whole)))
         model.update(x, k, slot)
@@ -224,14 +241,15 @@ def decode_lanes(streams: list[bytes], steps: int) -> np.ndarray:
     for t in range(steps):
         if due(t):
             model.refresh()
-        freq, start = model.predict()
+        cum = model.predict()
         at = source.look()
-        k = (at >= start[:, 1]).astype(np.int64) + (at >= start[:, 2]) + (at >= start[:, 3])
-        flat = (model.lane << 2) + k
-        source.take(start.ravel()[flat], freq.ravel()[flat])
+        k = (at >= cum[:, 1]).astype(np.int64)
+        k += at >= cum[:, 2]
+        k += at >= cum[:, 3]
+        source.take(*model.bounds(k))
         at = source.look()
         raw, table = k == 3, k == 2
-        x = np.where(raw, at, np.where(k == 1, model.y1, model.y2))
+        x = np.where(raw, at, np.where(k == 1, model.y1, model.y2).astype(np.int64))
         if table.any():
             hit = np.flatnonzero(table)
             entry = hit * SLOTS + model.lookup[(hit << SCALE) + (at[hit] >> (16 - SCALE))].astype(np.int64)
