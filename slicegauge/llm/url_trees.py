@@ -26,6 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,6 +73,7 @@ def suffix() -> Column:
     return F.element_at(F.split("host", r"\."), -1)
 
 
+BROADCAST_SUFFIXES = 10_000
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphen_ratio", "host_entropy",
             "path_entropy", "parameters", "query_length", "has_fragment", "suffix_log_count", "suffix_block_share", "suffix_labelled"]
 
@@ -110,7 +113,9 @@ def fit(labelled: DataFrame, urls: DataFrame, limit: int = 20_000, rounds: int =
     counts = urls.groupBy(suffix().alias("suffix")).agg(F.log1p(F.count(F.lit(1))).alias("suffix_log_count"))
     known = sample.groupBy("suffix").agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("suffix_block_share"),
                                          F.log1p(F.count(F.lit(1))).alias("suffix_labelled"))
-    suffixes = counts.join(known, "suffix", "left")
+    suffixes = materialize(counts.join(known, "suffix", "left"))
+    if suffixes.count() <= BROADCAST_SUFFIXES:  # a few hot suffixes would else be the only keys of a shuffle
+        suffixes = F.broadcast(suffixes)
     classes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         return UrlModel(suffixes, None, float(next(iter(classes), 0)))
