@@ -404,9 +404,9 @@ def first_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     Rows without an id stay. Of rows equal in id and text one stays.
     """
-    kept = materialize(cluster(docs, plan).filter("kept").select(F.col("doc_id").alias("_kept")))
-    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("_kept IS NOT NULL").groupBy("_kept").count().filter("count > 1").isEmpty():
+    kept = materialize(cluster(docs, plan).filter("kept").select(F.col("doc_id").alias("_minhash_kept")))
+    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_minhash_kept")), "left_semi")
+    if kept.filter("_minhash_kept IS NOT NULL").groupBy("_minhash_kept").count().filter("count > 1").isEmpty():
         return out
     named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return named.unionByName(out.filter("doc_id IS NULL"))

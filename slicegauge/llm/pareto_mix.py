@@ -134,13 +134,13 @@ def mix(rows: DataFrame, cut: DataFrame, source: str = "source", size: str = "_m
 
     A map-side join with one row per source, as long as those are few.
     """
-    cut = cut.withColumnsRenamed({c: f"_mix_{c}" for c in CUT})
+    cut = cut.withColumnsRenamed({"_s": "_mix_source", **{c: f"_mix_{c}" for c in CUT}})
     side = F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut
     out = rows.withColumn("_mix_key", order_key(F.col(bits), F.col(size)))
-    out = out.join(side, out[source].eqNullSafe(side["_s"]), "left")
+    out = out.join(side, out[source].eqNullSafe(side["_mix_source"]), "left")
     extra = (_inside("_mix_key", bits, "_mix_") | F.coalesce(F.array_contains("_mix_closing", F.col(bits)), F.lit(False))) & (F.col(size) > 0)
     out = out.withColumn("_mix_copies", (F.coalesce("_mix_whole", F.lit(0)) + extra.cast("int")).cast("int"))
-    return out.drop("_mix_key", "_s", *[f"_mix_{c}" for c in CUT[2:]])
+    return out.drop("_mix_key", "_mix_source", *[f"_mix_{c}" for c in CUT[2:]])
 
 
 def measure(docs: DataFrame, seed: int = 1) -> DataFrame:
