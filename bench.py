@@ -23,6 +23,7 @@ HEADLINE = [
     "flat_feature_table", "safe_pearson", "safe_spearman", "run_metrics", "fairness_summary", "slice_by_key",
     "stratified_bootstrap", "slice_by_label_share", "quota_per_category", "h1_quality_accuracy",
     "h2_rights_fairness", "h4_permutation_delta_r2", "mc1_score", "mc2_score", "table_fingerprint",
+    "train_grid",
 ]
 
 

@@ -33,9 +33,10 @@ DUAL_USE_PATTERNS = {
 # A character that every match of a costly pattern contains.
 NEEDED = {PII_PATTERNS["email"]: "@"}
 
-# Categories of a toxicity classifier whose maximum is compared to the threshold.
+# Categories of a toxicity classifier whose maximum is compared to the threshold.
 TOXICITY_CATEGORIES = ("toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack")
 
+# What a url of each kind contains.
 URL_CATEGORIES = {
     "news": [r"\bnews\b", r"\.com/news/", r"reuters", r"bbc", r"nytimes",
              r"washingtonpost", r"theguardian", r"foxnews"],

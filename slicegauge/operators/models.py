@@ -13,10 +13,10 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, melt, numeric_columns
-from ..session import materialize
+from ..session import materialize, new_table
 from .fairness import PREFIX
 from .sampling import stratified_split
 
@@ -85,12 +85,12 @@ def preprocessor(train: DataFrame, nums: Sequence[str], cats: Sequence[str]) ->
     return Pipeline(stages=stages), modes
 
 
-def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, families, seeds, test_size, factories):
-    """Predictions and outcome rows of one slice."""
+def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, families, seeds, test_size, factories, path: str):
+    """Outcome rows of one slice; its predictions are appended to the table at `path`, fit by fit."""
     n = rows.count()
     if n < MIN_ROWS:
-        return [], [(name, None, None, "failed", f"slice too small: {n} rows", 0, 0)]
-    preds, outcomes = [], []
+        return [(name, None, None, "failed", f"slice too small: {n} rows", 0, 0)]
+    outcomes = []
     for seed in seeds:
         try:
             split = materialize(stratified_split(rows, "y_true", "__key", seed, test_size))
@@ -102,7 +102,7 @@ def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, fa
             n_train = train.count()
             n_test = n - n_train
             width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
-            ready.persist()
+            ready = materialize(ready)
         except Exception as e:  # one bad split must not stop the grid
             outcomes.append((name, None, seed, "failed", f"{type(e).__name__}: {e}", 0, 0))
             continue
@@ -110,15 +110,14 @@ def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, fa
             try:
                 model = factories[fam](n_train, width, seed).fit(ready)
                 score = vector_to_array("probability")[1]
-                preds.append(model.transform(held).select(
+                model.transform(held).select(
                     F.lit(name).alias("slice"), F.lit(fam).alias("model_family"), F.lit(seed).alias("seed"),
                     F.col("y_true").cast("int").alias("y_true"), (score >= 0.5).cast("int").alias("y_pred"),
-                    score.alias("y_score"), *[c for c in rows.columns if c.startswith(PREFIX)]))
+                    score.alias("y_score"), *[c for c in rows.columns if c.startswith(PREFIX)]).write.mode("append").parquet(path)
                 outcomes.append((name, fam, seed, "ok", None, n_train, n_test))
             except Exception as e:  # recorded, not raised
                 outcomes.append((name, fam, seed, "failed", f"{type(e).__name__}: {e}", n_train, n_test))
-        ready.unpersist()
-    return preds, outcomes
+    return outcomes
 
 
 OUTCOME = "slice string, model_family string, seed int, status string, error string, n_train long, n_test long"
@@ -145,18 +144,14 @@ def train_predict(slices: DataFrame, target: str, key: str, protected: Sequence[
     keep = ["slice", F.col(key).alias("__key"), F.col(target).cast("int").cast("double").alias("y_true"),
             *[F.col(p).alias(PREFIX + p) for p in protected if p in slices.columns]]
     flat, nums, cats = feature_frame(rows, features, keep)
-    flat = materialize(flat)
-    preds, outcomes = [], []
+    flat = materialize(flat, "slice")
+    path, outcomes = new_table(slices.sparkSession), []
+    prot = [flat.schema[c] for c in flat.columns if c.startswith(PREFIX)]
+    schema = T.StructType([T.StructField("slice", T.StringType()), T.StructField("model_family", T.StringType()), T.StructField("seed", T.IntegerType()),
+                           T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("y_score", T.DoubleType()), *prot])
+    slices.sparkSession.createDataFrame([], schema).write.parquet(path)
     names = sorted(r["slice"] for r in flat.select("slice").distinct().collect())
     for name in names:
-        p, o = _slice_fits(flat.where(F.col("slice") == name), nums, cats, name, families, seeds, test_size, factories)
-        preds += p
-        outcomes += o
-    out = None
-    for p in preds:
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        prot = [c for c in flat.columns if c.startswith(PREFIX)]
-        out = flat.limit(0).select("slice", F.lit("").alias("model_family"), F.lit(0).alias("seed"),
-                                   F.lit(0).alias("y_true"), F.lit(0).alias("y_pred"), F.lit(0.0).alias("y_score"), *prot)
+        outcomes += _slice_fits(flat.where(F.col("slice") == name), nums, cats, name, families, seeds, test_size, factories, path)
+    out = slices.sparkSession.read.schema(schema).parquet(path)
     return out, slices.sparkSession.createDataFrame(outcomes, OUTCOME)

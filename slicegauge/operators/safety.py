@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import sql
 from ..functions.columns import no_nan
 from ..functions.hashing import draw_key
-from ..functions.text import DUAL_USE_PATTERNS, PII_PATTERNS, TOXIC_TERMS, any_hit, is_text, matches
+from ..functions.text import DUAL_USE_PATTERNS, PII_PATTERNS, TOXIC_TERMS, TOXICITY_CATEGORIES, any_hit, is_text, matches
 from .proxy import Proxy, not_applicable, single
 from .ranking import hash_ranked
 
@@ -21,10 +21,12 @@ Toxicity = str | Sequence[str] | Callable[[Column], Column]
 def toxic_flag(text: Column, classifier: Toxicity = "lexicon", threshold: float = 0.7) -> Column:
     """Whether a text counts as toxic.
 
-    `classifier` is 'lexicon', 'none', a list of score columns (their maximum
+    `classifier` is 'lexicon', 'none', 'categories' (the usual six score columns), a list of score columns (their maximum
     is compared), or a function text column -> score column such as a
     vectorized pandas UDF.
     """
+    if classifier == "categories":
+        classifier = TOXICITY_CATEGORIES
     if callable(classifier):
         return F.coalesce(classifier(text) >= threshold, F.lit(False))
     if classifier == "lexicon":

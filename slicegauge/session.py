@@ -63,20 +63,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def new_table(spark: SparkSession) -> str:
+    """Path of a table to be written in the shared folder."""
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage of a frame that several branches or jobs read.
 
     Written to the shared checkpoint folder as a table and read back, so it
     survives lost executors and Catalyst knows its true size from then on.
+    With `partition_by`, reading one value of that column reads its files only.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append(path)
+    path = new_table(df.sparkSession)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> int:
-    """Delete the tables `materialize` has written; call it when their readers are done."""
+    """Delete the tables written to the shared folder; call it when their readers are done."""
     paths = list(_TABLES)
     _TABLES.clear()
     for path in paths:

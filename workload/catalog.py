@@ -9,7 +9,8 @@ from slicegauge.operators.composite import (
     by_application, composites, passes_threshold, scores_wide, slice_grid, uniform_quality)
 from slicegauge.operators.safety import source_counts
 from slicegauge.functions import dates, sql as S
-from slicegauge.schema import ORDER, AXIS, QUALITY_WEIGHTS, APPLICATIONS
+from slicegauge.schema import ORDER, AXIS
+from . import expected
 from .registry import AS_OF, Tables, query, rounded
 
 K = "s_suppkey"
@@ -70,29 +71,25 @@ _AGE = (f"CASE WHEN TRY_CAST({_RAW} AS TIMESTAMP) IS NOT NULL THEN greatest(0.0,
         f"- epoch_us(TRY_CAST({_RAW} AS TIMESTAMP))) / 86400e6) END")
 
 
-def _case(subject: str, table: dict, default: str) -> str:
-    return f"CASE {subject} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
-
-
 # name -> (score, applicable) in the oracle's dialect, over `cat`
 CAT_SCORES = {
-    "source_trustworthiness": (f"({_has(*md.TRUST_FIELDS)}) / 5.0", "true"),
-    "objectivity": (_case("content_type", md.OBJECTIVITY, "0.5"), "content_type IS NOT NULL"),
+    "source_trustworthiness": (f"({_has(*expected.TRUST)}) / 5.0", "true"),
+    "objectivity": (expected.OBJECTIVITY, "content_type IS NOT NULL"),
     "timeliness": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(exp(-({_AGE}) / 365.0), 0.0) END",
                    f"{_RAW} IS NOT NULL"),
-    "source_security": (f"({_has(*md.SECURITY_FIELDS)}) / 4.0", "true"),
+    "source_security": (f"({_has(*expected.SECURITY)}) / 4.0", "true"),
     "poisoning_susceptibility": (
         "greatest(0.0, least(1.0, 1.0 - CAST(write_access_controls AS INT) * 0.4 - CAST(cryptographic_provenance AS INT)"
         " * 0.3 - least(0.3, (source_count - 1) * 0.075)))", "true"),
     "adversarial_provenance_risk": (
-        "0.5 * ugc_fraction + 0.3 * " + _case("coalesce(scraping_breadth, 'narrow')", md.BREADTH, "0.5") +
+        "0.5 * ugc_fraction + 0.3 * " + expected.BREADTH +
         " + 0.2 * CAST(anonymous_contributions AS INT)", "true"),
     "factual_decay_rate": (f"CASE WHEN {_RAW} IS NULL THEN 0.5 ELSE coalesce(1 - exp(-({_AGE}) / 365.0), 1.0) END",
                            f"{_RAW} IS NOT NULL"),
     "consent_provenance": (
-        f"greatest(0.0, {_case('consent_type', md.CONSENT, '1.0')} - 0.1 * ({_has('subject_consent_documented')})"
+        f"greatest(0.0, {expected.CONSENT} - 0.1 * ({_has('subject_consent_documented')})"
         f" - 0.05 * ({_has('license_for_current_use')}) - 0.05 * ({_has('data_use_agreement')}))", "true"),
-    "contestability": (f"1 - ({_has(*md.CONTEST_FIELDS)}) / 4.0", "true"),
+    "contestability": (f"1 - ({_has(*expected.CONTEST)}) / 4.0", "true"),
 }
 
 
@@ -130,7 +127,7 @@ LONG_SQL = CAT_SQL + ", sc AS (" + " UNION ALL ".join(
 
 
 def weight_sql(app: str) -> str:
-    return _case("name", QUALITY_WEIGHTS[app], "1.0")
+    return expected.WEIGHTS[app]
 
 
 def composite_sql(app: str, keys: str, source: str = "sc") -> str:
@@ -184,7 +181,7 @@ def uniform_q(t: Tables) -> DataFrame:
 
 
 @query("q_by_application", f"WITH {LONG_SQL} SELECT dataset, application, {_QSR} FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS application, * FROM ({composite_sql(a, 'dataset')})" for a in APPLICATIONS) + ")")
+    f"SELECT '{a}' AS application, * FROM ({composite_sql(a, 'dataset')})" for a in expected.WEIGHTS) + ")")
 def q_by_application(t: Tables) -> DataFrame:
     return by_application(catalog_scores(t), ["dataset"]).selectExpr(
         "dataset", "application", *rounded("quality", "safety", "rights"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from slicegauge.functions.text import DUAL_USE_PATTERNS, PII_PATTERNS, TOXIC_TERMS
 from slicegauge.operators import duplicates as dup, nmi, quality, rights, safety, shares
 from slicegauge.operators.quantiles import exact_quantiles
+from . import expected
 from .registry import Tables, query, rounded
 from . import sqlgen as G
 
@@ -128,8 +129,8 @@ def _re(pattern: str, column: str = "text", flags: str = "") -> str:
     return f"regexp_matches({column}, '{pattern}', '{flags or 'c'}')"
 
 
-_TOX = _re(TOXIC_TERMS, flags="i")
-_PII = "(" + " OR ".join(_re(p) for p in PII_PATTERNS.values()) + ")"
+_TOX = expected.TOXIC
+_PII = "(" + " OR ".join(expected.PII.values()) + ")"
 _USABLE = r"regexp_matches(text, '\S')"
 
 
@@ -169,7 +170,7 @@ def harm_density_sampled(t: Tables) -> DataFrame:
 
 
 @query("pii_flags", "SELECT lang, count(*) AS n_texts, " + ", ".join(
-    f"count(*) FILTER ({_re(p)}) AS n_{k}" for k, p in PII_PATTERNS.items()) + f", count(*) FILTER ({_PII}) AS n_any FROM documents WHERE {_USABLE} GROUP BY lang")
+    f"count(*) FILTER ({p}) AS n_{k}" for k, p in expected.PII.items()) + f", count(*) FILTER ({_PII}) AS n_any FROM documents WHERE {_USABLE} GROUP BY lang")
 def pii_flags(t: Tables) -> DataFrame:
     return safety.text_flags(t.documents, "text", PII_PATTERNS, ["lang"])
 
@@ -211,7 +212,7 @@ def dual_use_density(t: Tables) -> DataFrame:
     return _dual(t, OWN_TERMS, "source")
 
 
-@query("dual_use_density_stock", _dual_sql(DUAL_USE_PATTERNS, "lang"))
+@query("dual_use_density_stock", _dual_sql(expected.DUAL_USE, "lang"))
 def dual_use_density_stock(t: Tables) -> DataFrame:
     return _dual(t, DUAL_USE_PATTERNS, "lang")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from slicegauge.functions.text import TOXIC_TERMS, matches
 from slicegauge.operators import fairness as fm
+from . import expected
 from .registry import Tables, query, rounded
 
 BY = ["slice", "model_family", "seed"]
@@ -35,7 +36,7 @@ _B = "slice, model_family, seed"
 _GR = f"WITH {PRED_SQL}, gr AS ({groups_sql(PROT, _B)})"
 
 # Small: labelled toxicity, predicted by the word list.
-DOC_SQL = rf"""pred AS (SELECT source AS slice, toxic AS y_true, CAST(regexp_matches(text, '{TOXIC_TERMS}', 'i') AS INT) AS y_pred,
+DOC_SQL = f"""pred AS (SELECT source AS slice, toxic AS y_true, CAST({expected.TOXIC} AS INT) AS y_pred,
   lang FROM documents JOIN labels USING (doc_id))"""
 
 
