@@ -38,9 +38,11 @@ from .base import importable, ranked, shuffle_parts
 from .tokens import encoded, encoder
 
 MAGIC = b"CMR1"
-BLOCK = 4096
+BLOCK = 2048
 LANES = 1024
 SLOTS = 1024
+# Words remembered beside the lanes' arrays: less than where tokens are all a worker holds.
+REMEMBERED = 400_000
 SCALE = 13
 RATE = np.float32(0.04)
 LEAST = np.float32(0.00004)
@@ -217,12 +219,12 @@ def encode_lanes(ids: np.ndarray) -> list[bytes]:
     """ids[lane, step] (below 2^16) as one stream a lane."""
     lanes, steps = ids.shape
     model, sink = Model(lanes), Sink(lanes, 2 * steps + 4)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
+    columns = np.ascontiguousarray(ids.T)
     zero, whole, one = np.zeros(lanes, np.int64), np.full(lanes, 65536), np.ones(lanes, np.int64)
     for t in range(steps):
         if due(t):
             model.refresh()
-        x = columns[t]
+        x = columns[t].astype(np.int64)
         model.predict()
         slot = model.slot(x)
         k = model.outcome(x, slot)
@@ -313,7 +315,7 @@ def unpack_group(payload: bytes) -> list[tuple[int | None, bytes]]:
 
 def _writer(path: str, end_id: int, group_tokens: int):
     def run(batches):
-        enc, end, part = encoder(path, False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, part = encoder(path, False, REMEMBERED), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         doc_ids, docs, held, seq = [], [], 0, 0
 
         def group():

@@ -100,10 +100,10 @@ def encoded(enc: Encoder, batch):
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, remembered: int = REMEMBERED) -> Encoder:
     """One encoder per Python worker, so that its memory serves all its tasks."""
     if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
+        _ENCODERS[path, spaces] = Encoder(path, spaces, remembered)
     return _ENCODERS[path, spaces]
 
 
