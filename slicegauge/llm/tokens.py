@@ -9,13 +9,14 @@ go to the tokenizer whole: there the pieces could hang together.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
 
-# White space the tokenizers know beyond bytes.split(), and the open bracket of special tokens.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]|<\\|")
+# White space the tokenizers know beyond bytes.split().
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 REMEMBERED = 1_000_000
 # Marks that the tokenizers always cut from the letters before them, and never join with what comes before that.
@@ -74,20 +75,20 @@ class Encoder:
         return found
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if t and ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if t and ("<|" in t or ODD.search(t))]
         alone = dict(zip(odd, self.encode([texts[i] for i in odd]))) if odd else {}
         if self.spaces:
             cut = [PIECE.findall(t) if t and i not in alone else [] for i, t in enumerate(texts)]
         else:
             cut = [t.split() if t and i not in alone else [] for i, t in enumerate(texts)]
         seen = self.seen
-        new = {p for pieces in cut for p in pieces if p not in seen}
+        new = set(itertools.chain.from_iterable(cut)).difference(seen)
         if new and len(seen) + 3 * len(new) > self.remembered:  # no room: keep the new ones for this call only
             found = self.learn(new)
             return [alone[i] if i in alone else b"".join([seen[p] if p in seen else found[p] for p in pieces]) for i, pieces in enumerate(cut)]
         if new:
             seen.update(self.learn(new))
-        return [alone[i] if i in alone else b"".join([seen[p] for p in pieces]) for i, pieces in enumerate(cut)]
+        return [alone[i] if i in alone else b"".join(map(seen.__getitem__, pieces)) for i, pieces in enumerate(cut)]
 
 
 def encoded(enc: Encoder, batch):
