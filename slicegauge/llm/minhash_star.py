@@ -8,8 +8,8 @@ bucket only stars are drawn, from one centre to the members, never all pairs; a
 of its centres only.
 
 Stars alone could miss a link between two members that both differ from the
-centre. So several rounds of stars with other centres merge what belongs
-together, and in buckets that still hold several components all members outside
+centre. So the likeliest stars first merge what plainly belongs together (more
+rounds with other centres may follow), and in buckets that still hold several components all members outside
 the largest one are compared with the rest: blocks of them against blocks of
 members, by the sketches, with pairs emitted only where the sketch estimate
 allows the threshold. Every pair that comes out is confirmed on full sets.
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .base import importable, word_bytes
 
+BROADCAST_LINKS = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -50,7 +51,7 @@ class Plan:
     bins: int = 128
     rows: int = 4
     percent: int = 75
-    rounds: int = 3
+    rounds: int = 1
     block: int = 100_000
     slack: float = 0.17
 
@@ -187,13 +188,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
     before = None
+    # never more rows than before in any round, so one count bounds the sides of all joins
+    side = F.broadcast if now.count() <= BROADCAST_LINKS else (lambda d: d)
     while True:
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        big = both.join(low, "u").filter("v > u").selectExpr("v AS u", "least(m, u) AS v").distinct()
+        big = both.join(side(low), "u").filter("v > u").selectExpr("v AS u", "least(m, u) AS v").distinct()
         big = materialize(big)
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u").selectExpr("v AS u", "m AS v").filter("u <> v").unionByName(least.selectExpr("u", "m AS v"))
+        small = big.join(side(least), "u").selectExpr("v AS u", "m AS v").filter("u <> v").unionByName(least.selectExpr("u", "m AS v"))
         now = materialize(small.distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
