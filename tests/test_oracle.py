@@ -22,8 +22,10 @@ def test_matches_sql(spark, data, con, name):
     assert rows == rows2
 
 
-@pytest.mark.parametrize("name", ["exact_quantiles", "safe_spearman", "hash_sample", "slice_by_cohort", "stratified_bootstrap",
-                                  "slice_by_label_share", "quota_per_category", "stratified_split"])
+@pytest.mark.parametrize("name", [
+    "exact_quantiles", "safe_spearman", "hash_sample", "slice_by_key", "slice_by_cohort", "stratified_bootstrap", "slice_by_label_share",
+    "slice_manifest", "quota_per_category", "quota_per_category_capped", "stratified_split", "nmi_pairs", "inferential_harm", "free_of_error",
+    "free_of_error_lineitem", "iqr_outlier_rate", "harm_density_sampled", "bootstrap_corr_ci", "assess_scorecard"])
 def test_bounded_forms_match_sql(spark, data, con, name, monkeypatch):
     """The forms for inputs of any size give the same rows."""
     monkeypatch.setattr("slicegauge.session.SMALL_BYTES", 0)
