@@ -145,8 +145,13 @@ def _sketcher(plan: Plan):
 def _sets(k: int):
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+            nodes, sets = [], []
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = shingle_set(text, k).tobytes()
+                if xxhash.xxh3_128_digest(raw) == node:  # not another text under the same id
+                    nodes.append(node)
+                    sets.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "hashes"])
     return run
 
 
@@ -369,7 +374,7 @@ def _set_table(texts: DataFrame, sources: DataFrame, plan: Plan) -> DataFrame:
     """(node, hashes) of every node in a bucket with others; rows of one id but several texts are told apart by their set."""
     hit = texts.join(sources.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(sources["doc_id"])).select("node", "text")
     made = hit.mapInArrow(_sets(plan.shingle), "node binary, hashes binary")
-    return materialize(made)
+    return materialize(made.dropDuplicates(["node"]))
 
 
 def _with_comp(entries: DataFrame, comp: DataFrame) -> DataFrame:

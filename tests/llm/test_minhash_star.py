@@ -73,6 +73,14 @@ def test_sample_table(spark, data):
     assert sorted(rows_of(m.cluster(docs))) == sorted(truth(rows))
 
 
+def test_one_id_with_several_texts(spark):
+    """Sets are told apart by their content, and repeated rows do not multiply."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a), (7, b), (7, a), (7, a), (8, a + " tail"), (9, b + " tail"), (10, "c " * 9)]
+    got = sorted(rows_of(m.cluster(frame(spark, [(i, t, "a") for i, t in rows]))))
+    assert got == sorted(truth(rows))
+
+
 def test_empty_table(nothing):
     assert m.cluster(nothing).collect() == []
     assert m.first_of_each(nothing).columns == nothing.columns
