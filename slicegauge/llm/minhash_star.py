@@ -194,15 +194,16 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
     before = None
     # never more rows than before in any round, so one count bounds the sides of all joins
-    side = F.broadcast if now.count() <= BROADCAST_LINKS else (lambda d: d)
+    few = now.count() <= BROADCAST_LINKS
+    side, packed = (F.broadcast, lambda d: d.coalesce(8)) if few else (lambda d: d, lambda d: d)
     while True:
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         big = both.join(side(low), "u").filter("v > u").selectExpr("v AS u", "least(m, u) AS v").distinct()
-        big = materialize(big)
+        big = materialize(packed(big))
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(side(least), "u").selectExpr("v AS u", "m AS v").filter("u <> v").unionByName(least.selectExpr("u", "m AS v"))
-        now = materialize(small.distinct())
+        now = materialize(packed(small.distinct()))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
