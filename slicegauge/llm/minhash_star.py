@@ -193,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").filter("u <> v").distinct())
     before = None
-    # never more rows than before in any round, so one count bounds the sides of all joins
+    # rounds only shorten or drop links, so one count bounds the sides of all joins
     few = now.count() <= BROADCAST_LINKS
     side, packed = (F.broadcast, lambda d: d.coalesce(8)) if few else (lambda d: d, lambda d: d)
     while True:
@@ -414,7 +414,8 @@ def first_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Rows without an id stay. Of rows equal in id and text one stays.
     """
     kept = materialize(cluster(docs, plan).filter("kept").select(F.col("doc_id").alias("_minhash_kept")))
-    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_minhash_kept")), "left_semi")
+    # the same plan at every size: ids are the hashed side, texts stream by
+    out = docs.join(kept.distinct().hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_minhash_kept")), "left_semi")
     if kept.filter("_minhash_kept IS NOT NULL").groupBy("_minhash_kept").count().filter("count > 1").isEmpty():
         return out
     named = out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
