@@ -1,7 +1,9 @@
 """Document fingerprints: I-Match over an inverse-document-frequency band (operator 9).
 
 Terms (lower-cased words) whose document frequency lies inside a band make the
-lexicon; too common and too rare ones are dropped. The lexicon is cut into
+lexicon; too common and too rare ones are dropped. Equal texts count once in the
+frequencies. Terms that are too common only by texts made up of too common terms
+(a large group of near copies) stay in the lexicon. The lexicon is cut into
 randomised subsets at three densities. Of every subset a text keeps its
 distinct terms, sorted, and hashes them; the hashes together are the
 fingerprint. Two texts are alike as far as their subsets agree, judged at the
@@ -9,10 +11,12 @@ sparsest density at which enough subsets of either hold a term.
 
 All of it is DataFrame functions. The lexicon has at most 1 / `least` times the
 mean number of distinct terms of a document, whatever the corpus, because every
-one of its terms is in at least that share of the documents; so it is broadcast.
+one of its terms is in at least that share of the distinct texts; so it is broadcast.
 
-Equal texts have equal fingerprints. A text without lexicon terms has an empty
-fingerprint, and two such texts have likeness 1. Null texts are empty texts.
+Equal texts have equal fingerprints. A text with words, none of them in the
+lexicon, has the hash of all its words in place of the subsets' hashes. A text
+without words has an empty fingerprint, and two such texts have likeness 1. Null
+texts are empty texts.
 Rows without an id come last; rows with equal id and text are one behind the
 other. In a table of one row the next document is the row itself. Only the id
 and the text are read.
@@ -29,6 +33,8 @@ from .base import shuffle_parts
 # (bits of the subset number, subsets used): shares of the lexicon 1/8, 1/64, 1/512
 SCALES = ((3, 8), (6, 32), (9, 32))
 LEAST_FILLED = 8
+COPY_CLASSES = 1 << 20
+MOST_COMMON = 0.75  # share of a text's terms above the band, beyond which it does not make terms common
 
 
 def terms(text: Column) -> Column:
@@ -37,11 +43,56 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, most: float = 0.05, least: float = 0.0005) -> DataFrame:
-    """The terms inside the band, by document frequency over all documents (at least 2)."""
-    df = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def each_text(texts: DataFrame) -> DataFrame:
+    """text, copies: every distinct text once.
+
+    Texts are put into `COPY_CLASSES` classes by a hash. Those of a class without a
+    repeated hash stay where they are; the others are grouped, combined on the map side.
+    """
+    code = F.xxhash64("text")
+    marks = materialize(texts.groupBy(code.alias("h")).count().filter("count > 1").select(F.pmod("h", F.lit(COPY_CLASSES)).alias("mark")).distinct())
+    at = F.pmod(code, F.lit(COPY_CLASSES)) == F.col("mark")
+    again = texts.join(F.broadcast(marks), at, "left_semi").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    once = texts.join(F.broadcast(marks), at, "left_anti").select("text", F.lit(1).cast("long").alias("copies"))
+    return once.unionByName(materialize(again))
+
+
+def frequent(texts: DataFrame, most: float, least: float) -> DataFrame:
+    """term, common: the terms in at least two rows that are not too rare; common ones are above the band."""
+    copies = F.col("copies") if "copies" in texts.columns else F.lit(1)
+    df = texts.select(copies.alias("c"), F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("c").alias("rows"))
     n = texts.count()
-    return df.filter(F.col("df").between(max(2, n * least), max(2, n * most))).select("term")
+    return df.filter((F.col("rows") >= 2) & (F.col("df") >= n * least)).select("term", (F.col("df") > max(2, n * most)).alias("common"))
+
+
+def lexicon(texts: DataFrame, most: float = 0.05, least: float = 0.0005) -> DataFrame:
+    """The terms inside the band, by document frequency over all rows of `texts` (at least 2)."""
+    return frequent(texts, most, least).filter("NOT common").select("term")
+
+
+def common_elsewhere(texts: DataFrame, common: DataFrame, most: float) -> DataFrame:
+    """The common terms that stay above the band when only texts with enough other terms are counted.
+
+    There are at most 1 / `most` times the mean number of distinct terms of a text, so every
+    row can have them as an array. What is left out of the count are near copies in great
+    number and texts of common words only; the latter's words are common elsewhere too.
+    """
+    all_common = common.agg(F.collect_list("term").alias("a"))
+    rows = texts.select(terms(F.col("text")).alias("t")).crossJoin(F.broadcast(all_common)).select(
+        F.size("t").alias("n"), F.array_intersect("t", "a").alias("c"))
+    others = rows.filter(F.size("c") <= MOST_COMMON * F.col("n"))
+    # term 0 counts the texts themselves
+    df = materialize(others.select(F.explode(F.concat("c", F.array(F.lit(0).cast("long")))).alias("term")).groupBy("term").count())
+    n = (df.filter("term = 0").first() or {"count": 0})["count"]
+    return df.filter((F.col("term") != 0) & (F.col("count") > max(2, n * most))).select("term")
+
+
+def full_lexicon(texts: DataFrame, most: float, least: float) -> DataFrame:
+    """The band over distinct texts, and the common terms that are so by near copies only."""
+    distinct = each_text(texts)
+    found = materialize(frequent(distinct, most, least))
+    return found.join(F.broadcast(common_elsewhere(distinct, found.filter("common"), most)), "term", "left_anti").select("term")
 
 
 def order_buckets(texts: DataFrame, parts: int) -> Column:
@@ -88,6 +139,17 @@ def entries(subset_rows: str) -> Column:
         F.shiftrightunsigned(F.xxhash64(F.concat_ws(",", F.col(subset_rows))), 12)))))
 
 
+def whole(found: str) -> Column:
+    """Hash of all terms of a text in any order, NULL without terms."""
+    return F.when(F.size(found) > 0, F.xxhash64(F.sort_array(found)))
+
+
+def filled(marks: str, code: str) -> Column:
+    """The entries of a text; if no subset holds a term, those of its hash as a whole in the first subsets."""
+    stand_in = F.array(*[F.lit(s << 52).cast("long").bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(code), F.lit(s)), 12)) for s in range(SCALES[0][1])])
+    return F.when((F.size(marks) == 0) & F.col(code).isNotNull(), stand_in).otherwise(F.col(marks))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of agreeing subsets among those either text fills, at the sparsest density with enough of them."""
     out = None
@@ -107,16 +169,17 @@ def hexes(e: Column) -> Column:
 def fingerprints(docs: DataFrame, most: float = 0.05, least: float = 0.0005) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints and both likenesses of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lex = lexicon(texts, most, least)
+    lex = full_lexicon(texts, most, least)
     rows = in_order(texts)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    base = ["bucket", "at", "doc_id", "n_chars", "edited_sha256", "ghost"]
+    base = ["bucket", "at", "doc_id", "n_chars", "edited_sha256", "ghost", "whole1", "whole2"]
     # one row per term, with the text it is in: 1 the document's, 2 the edited one's, 3 both; term 0 keeps texts without terms
     rows = rows.select("bucket", "at", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "ghost",
                        terms(F.col("text")).alias("t1"), terms(F.col("edited")).alias("t2"))
+    rows = rows.withColumn("whole1", whole("t1")).withColumn("whole2", whole("t2"))
     tagged = F.concat(F.transform("t1", lambda t: F.struct(t.alias("term"), F.lit(1).alias("where"))),
                       F.transform("t2", lambda t: F.struct(t.alias("term"), F.lit(2).alias("where"))),
                       F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("where"))))
@@ -132,6 +195,7 @@ def fingerprints(docs: DataFrame, most: float = 0.05, least: float = 0.0005) ->
     full = lambda c: F.when((F.size(c) > 0) & (F.col("subset") >= 0), F.col(c))
     per = per.select(*base, "subset", full("own").alias("own"), full("other").alias("other"))
     marks = per.groupBy(*base).agg(entries("own").alias("f"), entries("other").alias("g"))
+    marks = marks.withColumn("f", filled("f", "whole1")).withColumn("g", filled("g", "whole2"))
     ahead = F.coalesce(F.lead("f").over(Window.partitionBy("bucket").orderBy("at")), F.col("f"))
     out = marks.withColumn("next", ahead).filter(~F.col("ghost"))
     return out.select("doc_id", "n_chars", "edited_sha256", hexes(F.col("f")).alias("fingerprint"), hexes(F.col("g")).alias("edited_fingerprint"),

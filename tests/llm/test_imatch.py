@@ -1,6 +1,7 @@
 """Fingerprints against plain sets of terms; edited texts; edges."""
 
 import hashlib
+import random
 from collections import Counter
 
 from llm_helpers import edge_rows, frame, words_of
@@ -67,3 +68,44 @@ def test_buckets_follow_the_ids(spark):
     rows = docs.withColumn("b", m.order_buckets(docs, shuffle_parts(spark))).collect()
     rows.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) > 3
+
+
+def ordinary(rnd, n):
+    """Texts of common words and of words each in a few hundredths of the texts."""
+    common, rare = [f"the{i}" for i in range(40)], [f"w{i}" for i in range(1500)]
+    return [" ".join(rnd.sample(common, 30) + rnd.sample(rare, 40)) for _ in range(n)]
+
+
+def test_hot_copies_and_near_copies_keep_their_terms(spark):
+    """A third of the rows are copies, or near copies, of one text; the rest are ordinary."""
+    rnd = random.Random(9)
+    rest, hot = ordinary(rnd, 400), ordinary(rnd, 1)[0].split() + [f"hot{i}" for i in range(60)]
+    near = [" ".join(w if rnd.random() > 0.05 else f"w{rnd.randrange(1500)}" for w in hot) for _ in range(200)]
+    for copies in ([" ".join(hot)] * 200, near):
+        # 0-199 hot, 200-399 hot in turn with ordinary ones, 400-599 ordinary
+        rows = [(i, t, "s") for i, t in enumerate(copies[:100] + [x for p in zip(copies[100:], rest) for x in p] + rest[100:])]
+        out = {r.doc_id: r for r in m.fingerprints(frame(spark, rows), most=0.05, least=0.0005).collect()}
+        alone = [i for i in range(100, 300) if (i - 100) % 2 == 0][1:]
+        assert all(r.fingerprint for r in out.values())
+        assert min(out[i].near_next for i in range(1, 100)) > 0.4
+        assert max(out[i].near_next for i in alone) < 0.2
+        assert sum(out[i].near_edited for i in alone) / len(alone) > 0.15  # half of the text is unchanged
+
+
+def test_terms_of_two_hot_groups_differ(spark):
+    """Two groups of copies side by side are not alike, and hot copies leave the others' band as it is."""
+    rnd = random.Random(4)
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rest = ordinary(rnd, 200)
+    plain = {t: r for t, r in zip(rest, sorted(m.fingerprints(frame(spark, [(i, t, "s") for i, t in enumerate(rest)])).collect(), key=lambda r: r.doc_id))}
+    rows = [(i, t, "s") for i, t in enumerate([a, b] * 50 + rest)]
+    out = {r.doc_id: r for r in m.fingerprints(frame(spark, rows)).collect()}
+    assert max(out[i].near_next for i in range(1, 100)) == 0.0
+    assert sum(out[100 + i].fingerprint == plain[t].fingerprint for i, t in enumerate(rest)) > 0.5 * len(rest)
+
+
+def test_texts_outside_the_lexicon_differ(spark):
+    rows = [(i, f"only{i} here{i}", "s") for i in range(20)] + [(20, "  ", "s"), (21, "", "s")]
+    out = {r.doc_id: r for r in m.fingerprints(frame(spark, rows)).collect()}
+    assert all(out[i].near_next == 0.0 and out[i].fingerprint for i in range(1, 20))
+    assert out[21].near_next == 1.0 and out[21].fingerprint == "" == out[20].fingerprint
