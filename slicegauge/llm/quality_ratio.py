@@ -3,8 +3,12 @@
 Two multinomials over hashed word n-grams are counted: one over a trusted
 target (a bounded sample of the labelled good documents), one over every
 document of the raw corpus. A document's score is its mean log ratio per
-n-gram, so length does not matter, and one fixed threshold decides every
-document alike: no sampling, no resampling.
+n-gram, so length does not matter: no sampling, no resampling.
+
+The verdict takes the same mean with the target smoothed towards the corpus. One
+cut decides every document alike: the threshold, or what trusted documents reach
+when they are left out of the target, if that is lower. With few labels many
+n-grams of good texts are not in the target, and the cut follows.
 
 Null or empty texts: all statistics 0, score NULL, base_failed, not kept.
 Repeated rows are judged alike. Without trusted documents every score is 0.
@@ -28,8 +32,10 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class RatioModel:
-    """Per bucket: log target probability less log corpus probability."""
+    """Per bucket: log target probability less log corpus probability, for the score and for the verdict."""
     log_ratio: np.ndarray
+    verdict: np.ndarray
+    left_out: float = float("inf")  # low quantile of the trusted documents' verdict ratio, each left out of the target
 
     @property
     def buckets(self) -> int:
@@ -67,8 +73,38 @@ def _counter(buckets: int):
     return run
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 1.0) -> RatioModel:
-    """Count both multinomials. Only `buckets` sums reach the driver, whatever the corpus."""
+def pulled(target, total, mass, p_raw):
+    """Log ratio with `mass` pseudo counts dealt as the corpus is."""
+    return np.log((target + mass * p_raw) / (total + mass)) - np.log(p_raw)
+
+
+def base_passed(n: int, repeat: int, min_words: int) -> bool:
+    return n >= min_words and 100 * repeat <= 50 * n
+
+
+def _left_out(shared, mass: float, min_words: int):
+    """The verdict ratio of trusted texts that pass the base rules, each against a target without it."""
+    def run(batches):
+        target, p_raw = shared.value
+        total = target.sum()
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                n, _, _, _, repeat = statistics(text)
+                if n and base_passed(n, repeat, min_words):
+                    at, c = np.unique(gram_buckets(word_bytes(text.lower()), len(target)).astype(np.int64), return_counts=True)
+                    out.append(float((pulled(target[at] - c, total - c.sum(), mass, p_raw[at]) * c).sum() / c.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["ratio"])
+    return run
+
+
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing: float = 1.0, lost: float = 0.005,
+        min_words: int = 50) -> RatioModel:
+    """Count both multinomials, then score the trusted documents, each left out of the target.
+
+    Only `buckets` sums and one number reach the driver, whatever the corpus. `lost`
+    is the share of trusted documents that may fall below the cut.
+    """
     importable(docs.sparkSession)
     marked = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select(F.col("doc_id").alias("_t"))), F.col("doc_id") == F.col("_t"), "left")
@@ -79,9 +115,13 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, smoothing:
     for r in counts:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
-        return RatioModel(np.zeros(buckets))
+        return RatioModel(np.zeros(buckets), np.zeros(buckets))
     logp = lambda c: np.log(c + smoothing) - np.log(c.sum() + smoothing * buckets)
-    return RatioModel(logp(target) - logp(raw))
+    p_raw, mass = (raw + smoothing) / (raw.sum() + smoothing * buckets), smoothing * buckets
+    own = marked.filter("_t IS NOT NULL").select("text").mapInArrow(
+        _left_out(docs.sparkSession.sparkContext.broadcast((target, p_raw)), mass, min_words), "ratio double")
+    low = own.agg(F.percentile("ratio", F.lit(lost))).first()[0]
+    return RatioModel(logp(target) - logp(raw), pulled(target, target.sum(), mass, p_raw), float("inf") if low is None else low)
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -117,19 +157,20 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
 
 def _judge(model):
     def run(batches):
-        ratio = model.value.log_ratio
+        ratio, verdict = model.value.log_ratio, model.value.verdict
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
                 n, chars, symbols, dup, repeat = statistics(text)
-                score = None
+                score = judged = None
                 if n:
-                    score = float(ratio[gram_buckets(word_bytes(text.lower()), len(ratio)).astype(np.int64)].mean())
-                rows.append((n, chars, symbols, dup, repeat, score))
-            cols = list(zip(*rows)) or [()] * 6
+                    at = gram_buckets(word_bytes(text.lower()), len(ratio)).astype(np.int64)
+                    score, judged = float(ratio[at].mean()), float(verdict[at].mean())
+                rows.append((n, chars, symbols, dup, repeat, score, judged))
+            cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.float64())],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
+                [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.float64()) for c in cols[5:]]],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "_judged"])
     return run
 
 
@@ -140,21 +181,21 @@ def judge(docs: DataFrame, model: RatioModel, threshold: float = -0.17, min_word
     shared = spark.sparkContext.broadcast(model)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _judge(shared), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                        "n_repeat_words long, score double")
+                        "n_repeat_words long, score double, _judged double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+        "kept", ~failed & F.coalesce(F.col("_judged") >= min(threshold, model.left_out), F.lit(False))).drop("_judged")
 
 
 def _passes(model, threshold: float, min_words: int, column: int):
     def run(batches):
-        ratio = model.value.log_ratio
+        ratio, cut = model.value.verdict, min(threshold, model.value.left_out)
         for b in batches:
             keep = []
             for text in b.column(column).to_pylist():
                 n, _, _, _, repeat = statistics(text)
-                ok = n >= min_words and 100 * repeat <= 50 * n
-                keep.append(ok and float(ratio[gram_buckets(word_bytes(text.lower()), len(ratio)).astype(np.int64)].mean()) >= threshold)
+                keep.append(base_passed(n, repeat, min_words) and
+                            float(ratio[gram_buckets(word_bytes(text.lower()), len(ratio)).astype(np.int64)].mean()) >= cut)
             yield b.filter(pa.array(keep, pa.bool_()))
     return run
 

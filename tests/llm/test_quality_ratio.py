@@ -76,3 +76,19 @@ def test_labelled_documents(spark, data):
     out = QUERIES["op5_quality_ratio"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     good, bad = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+@pytest.mark.parametrize("size, trusted, lost, junk", [("sf0.001", 35, 0.2, 0.5), ("sf0.01", 160, 0.1, 0.1), ("sf0.1", 300, 0.02, 0.1)])
+def test_good_documents_left_out_of_the_target(spark, size, trusted, lost, junk):
+    """With few labels good documents the target has not seen are kept, in every language, and bad ones are not."""
+    folder = f"/root/testdata/{size}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    seen = q.trusted_sample(labels, trusted)
+    ids = {r.doc_id for r in seen.collect()}
+    out = q.judge(docs, q.fit(docs, seen)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("NOT base_failed").collect()
+    bad = [r.kept for r in out if r.quality == 0]
+    good = [(r.lang, r.kept) for r in out if r.quality == 1 and r.doc_id not in ids]
+    assert sum(not k for _, k in good) <= lost * len(good) and sum(bad) <= junk * len(bad)
+    for lang, n in Counter(x for x, _ in good).items():
+        if n >= 20:
+            assert sum(k for x, k in good if x == lang) >= 0.75 * n
