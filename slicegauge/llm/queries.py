@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import (imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst,
+from . import (collocations, imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst,
                url_trees, warc_derive)
 from .base import table
 
@@ -95,3 +95,35 @@ def op3_mixing_coder(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_warc_derive(spark: SparkSession, folder: str) -> DataFrame:
     return warc_derive.derive(warc_derive.responses(table(spark, folder, "pages")))
+
+
+_PHRASES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\x0C\r]')), '[^ \t]+') AS w FROM d),
+     g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+     x AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS size FROM g),
+     f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 100),
+     words AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+     cand AS (SELECT * FROM f WHERE size > 1),
+     inner_ AS (SELECT lang, array_to_string(string_split(phrase, ' ')[b:b + m - 1], ' ') AS phrase, n
+        FROM (SELECT *, unnest(range(1, size - m + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS m FROM cand))),
+     open_ AS (SELECT c.* FROM cand c LEFT JOIN (SELECT lang, phrase, max(n) AS longer FROM inner_ GROUP BY ALL) i
+        ON c.lang = i.lang AND c.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 100 * c.n),
+     cut AS (SELECT *, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM open_)),
+     s AS (SELECT c.lang, c.phrase, c.n AS a, c.k, h.n AS l, t.n AS r, w.n,
+        (1000 * CAST(c.n AS HUGEINT) * CAST(w.n AS HUGEINT)) // (CAST(h.n AS HUGEINT) * CAST(t.n AS HUGEINT)) AS score
+        FROM cut c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail JOIN words w ON w.lang = c.lang),
+     best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+    CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000"""
+
+
+@query
+def op11_son_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_son_collocations"] = _PHRASES_SQL
