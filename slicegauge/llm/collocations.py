@@ -13,7 +13,7 @@ size; a hash collision only adds a candidate. The second pass counts every phras
 in the union, in all shards, exactly, and only counts that reach the support stay.
 
 Bounds: a shard is at most `shard_words` words, held as numpy ids, whatever the
-size of a task; the bit set is 8 MB; hot phrases leave a shard as one row. Small
+size of a task; the bit set is 2 MB; hot phrases leave a shard as one row. Small
 input partitions are first joined (without a shuffle) into shards of
 `shard_bytes`, because many small shards lower the local support to 1: from there
 on every phrase of a shard is a candidate, results are the same, and the work is
@@ -41,7 +41,7 @@ from .base import importable
 
 # Cuts become a lone '.', which is in no word as it is a cut itself; tabs become blanks.
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"." * 10 + b" ")
-SLOT_BITS = 26
+SLOT_BITS = 24
 SHARD_WORDS = 6_000_000
 SHARD_BYTES = 32 << 20
 SALTS = 16
