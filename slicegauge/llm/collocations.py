@@ -12,7 +12,7 @@ in one shard at least. The union of what was found travels as a bit set of fixed
 size; a hash collision only adds a candidate. The second pass counts every phrase
 in the union, in all shards, exactly, and only counts that reach the support stay.
 
-Bounds: a shard is at most `shard_words` words, held as numpy ids, whatever the
+Bounds: a shard is at most one and a half times `shard_words` words and a text, held as numpy ids, whatever the
 size of a task; the bit set is 2 MB; hot phrases leave a shard as one row. Small
 input partitions are first joined (without a shuffle) into shards of
 `shard_bytes`, because many small shards lower the local support to 1: from there
@@ -42,7 +42,7 @@ from .base import importable
 # Cuts become a lone '.', which is in no word as it is a cut itself; tabs become blanks.
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"." * 10 + b" ")
 SLOT_BITS = 24
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 5_000_000
 SHARD_BYTES = 32 << 20
 SALTS = 16
 
@@ -156,13 +156,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _shards(batches, shard_words: int) -> Iterator[Shard]:
-    shard = Shard()
+    """Shards of `shard_words` words, or half as many more: a task's rest is never a tiny shard, whose local support would be 1."""
+    shard, waiting, more = Shard(), [], 0
     for b in batches:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            shard.add(text, lang)
-            if shard.size >= shard_words:
+            if shard.size < shard_words:
+                shard.add(text, lang)
+                continue
+            waiting.append((text, lang))
+            more += len(text.split()) if text else 0
+            if 2 * more >= shard_words:
                 yield shard
                 shard = Shard()
+                for pair in waiting:
+                    shard.add(*pair)
+                waiting, more = [], 0
+    for pair in waiting:
+        shard.add(*pair)
     if shard.ids:
         yield shard
 
