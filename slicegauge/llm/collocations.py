@@ -45,6 +45,8 @@ SLOT_BITS = 24
 SHARD_WORDS = 5_000_000
 SHARD_BYTES = 32 << 20
 SALTS = 16
+# Positions that are sorted at once.
+BLOCK = 1_000_000
 
 
 def lang_column() -> Column:
@@ -111,27 +113,34 @@ class Shard:
         n = np.bincount(w, minlength=len(word))
         stay = keep(n, own, lang) & (n > 0)
         stay[0] = False
-        first = np.zeros(len(word), np.int64)
-        first[w[::-1]] = np.arange(len(w) - 1, -1, -1)
+        first = np.zeros(len(word), np.int32)
+        first[w[::-1]] = np.arange(len(w) - 1, -1, -1, dtype=np.int32)
         yield w, first[stay], n[stay], lang[stay]
-        ids, h, at = w, own, None
+        # `at`: where a kept phrase of the level starts; `ids`: its number; `h`, `lang_of`: by number
+        at = np.flatnonzero(stay[w]).astype(np.int32)
+        ids, h, lang_of = w[at], own, lang
+        del n, first
         for size in range(2, longest + 1):
-            good = stay[ids]  # per position: the phrase of size - 1 that starts here stayed
-            here = np.flatnonzero(good[:-1] & good[1:]) if at is None else at[:-1][good[:-1] & good[1:] & (at[1:] == at[:-1] + 1)]
-            if not len(here):
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)  # its neighbour one word on stayed too
+            if not len(pair):
                 return
-            here = here.astype(np.int32)
-            key = (ids[here] if at is None else ids[np.searchsorted(at, here)]).astype(np.int64)
-            key *= len(word)
-            key += w[here + (size - 1)]
-            uniq, first, ids, n = numbered(key)
-            last = uniq % len(word)
-            with np.errstate(over="ignore"):
-                h = mixed(h[uniq // len(word)] * np.uint64(0x9E3779B97F4A7C15) + own[last])
-            lang_of = lang[last]
-            stay = keep(n, h, lang_of)
-            yield w, here[first[stay]], n[stay], lang_of[stay]
-            at = here
+            before, here = ids[pair], at[pair]
+            ids, found = np.full(len(here), -1, np.int32), []
+            blocks, known = -(-len(here) // BLOCK), 0
+            for b in range(blocks):  # by the phrase one word shorter, so that equal phrases meet
+                rows = np.flatnonzero(before % blocks == b).astype(np.int32)
+                uniq, first, same, n = numbered(before[rows].astype(np.int64) * len(word) + w[here[rows] + (size - 1)])
+                head, last = uniq // len(word), uniq % len(word)
+                with np.errstate(over="ignore"):
+                    code = mixed(h[head] * np.uint64(0x9E3779B97F4A7C15) + own[last])
+                stay = keep(n, code, lang_of[head])
+                number = np.where(stay, np.cumsum(stay) - 1 + known, -1).astype(np.int32)
+                ids[rows] = number[same]
+                known += int(stay.sum())
+                found.append((here[rows[first[stay]]], n[stay], code[stay], lang_of[head[stay]]))
+            first, n, h, lang_of = (np.concatenate(x) for x in zip(*found))
+            yield w, first, n, lang_of
+            at, ids = here[ids >= 0], ids[ids >= 0]
 
 
 def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
