@@ -5,19 +5,23 @@ words; A-Z are lowered. A phrase is a run of 1 to `longest` words of a piece,
 and everything is counted per language (null: `und`).
 
 Two passes over the texts (Savasere, Omiecinski, Navathe). In the first, every
-shard of a task mines its own texts completely, level by level, for phrases that
-reach the support scaled down by the shard's share of the language's bytes. The
-shares add up to one, so a phrase that reaches the support everywhere reaches it
-in one shard at least. The union of what was found travels as a bit set of fixed
-size; a hash collision only adds a candidate. The second pass counts every phrase
-in the union, in all shards, exactly, and only counts that reach the support stay.
-
-Bounds: a shard is at most one and a half times `shard_words` words and a text, held as numpy ids, whatever the
-size of a task; the bit set is 2 MB; hot phrases leave a shard as one row. Small
-input partitions are first joined (without a shuffle) into shards of
-`shard_bytes`, because many small shards lower the local support to 1: from there
-on every phrase of a shard is a candidate, results are the same, and the work is
-that of counting all phrases. Raise `support` with the corpus.
+shard of a task mines its own texts completely, level by level, for phrases above
+the support scaled down by the shard's share of the language's bytes (and never
+above `local`, so that a shard costs the same in a corpus of any size). Shards tell
+by how much a phrase exceeds that. The shares add up to one, so a phrase that
+reaches the support everywhere is told by one shard at least; and it is in the union
+only if what was told and all that may be untold reach the support together. The
+union travels as a bit set of fixed size; a collision of hashes only adds a candidate. The
+second pass counts every phrase in the union, in all shards, exactly, and only
+counts that reach the support stay.
+
+Bounds: a shard is at most one and a half times `shard_words` words and a text, held
+as numpy ids, whatever the size of a task; the bit set is 2 MB; a task holds at most
+some 400,000 counts more than one shard finds, and tells a hot phrase once. Small
+input partitions are first joined, without a shuffle, into tasks of `shard_bytes`.
+With more shards than the support is high, the local support is 1: shards then tell
+every phrase (as hash and count), the union is exact, and the first pass costs what
+counting all hashes costs. Raise `support` with the corpus to avoid that.
 
 Null, empty or blank texts have no words; repeated rows count as often as they
 occur; ties go by phrase in byte order; an empty table gives no rows. Columns
@@ -43,8 +47,9 @@ from .base import importable
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"." * 10 + b" ")
 SLOT_BITS = 24
 SHARD_WORDS = 5_000_000
-SHARD_BYTES = 32 << 20
-SALTS = 16
+SHARD_BYTES = 64 << 20
+LOCAL = 2
+SALTS = 4
 # Positions that are sorted at once.
 BLOCK = 1_000_000
 
@@ -186,64 +191,89 @@ def _shards(batches, shard_words: int) -> Iterator[Shard]:
         yield shard
 
 
-def _mine(totals, support: int, longest: int, shard_words: int):
-    """First pass: per shard, the bit set words of its locally frequent phrases."""
+def _mine(totals, support: int, longest: int, shard_words: int, local: int):
+    """First pass: (lang, hash, excess) of every locally frequent phrase, and per language what a shard has not told (no hash)."""
     def run(batches):
         for shard in _shards(batches, shard_words):
             word, lang, langs = shard.words()
-            # the least integer not below support * own bytes / all bytes
-            least = np.array([max(1, -(-support * shard.bytes[x] // max(1, totals.value[x]))) for x in langs], np.int64)
-            found = []
+            # counts up to this stay untold; all shards together leave at most `support` untold
+            untold = np.array([min(local, support * shard.bytes[x] // max(1, totals.value[x])) for x in langs], np.int64)
+            found = [(np.arange(len(langs)), None, untold)]
 
             def keep(n, h, k):
-                stay = n >= least[k]
-                found.append(h[stay])
+                stay = n > untold[k]
+                found.append((k[stay], h[stay], (n - untold[k])[stay]))
                 return stay
 
             for _ in shard.levels(word, lang, langs, longest, keep):
                 pass
-            slots = np.concatenate([s for h in found for s in slots_of(h)]) if found else np.zeros(0, np.int64)
-            at = np.unique(slots)
-            place, start = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(bits.view(np.int64))], ["place", "bits"])
+            names = pa.array(langs, pa.string())
+            for k, h, n in found:
+                code = pa.nulls(len(k), pa.int64()) if h is None else pa.array(h.view(np.int64))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(k)), code, pa.array(n.astype(np.int64))], ["lang", "hash", "excess"])
     return run
 
 
-def _count(union, longest: int, shard_words: int, rows: int = 20_000):
-    """Second pass: exact counts of the union's phrases, and the number of words as the phrase ''."""
+def _count(union, longest: int, shard_words: int, held: int = 400_000, rows: int = 20_000):
+    """Second pass: counts of the union's phrases, added up over a task's shards, and the number of words as the phrase ''."""
+    def told(sums):
+        cells = [(lang, p, n) for lang, d in sums.items() for p, n in d.items()]
+        for i in range(0, len(cells), rows):
+            lang, phrase, n = zip(*cells[i:i + rows])
+            size = [p.count(b" ") + 1 if p else 0 for p in phrase]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array([p.decode("utf-8", "surrogatepass") for p in phrase], pa.string()),
+                 pa.array(size, pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "size", "n"])
+
     def run(batches):
+        bits, sums = union.value, defaultdict(lambda: defaultdict(int))
         for shard in _shards(batches, shard_words):
             word, lang, langs = shard.words()
-            bits, size = union.value, 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array([""] * len(langs), pa.string()), pa.array([0] * len(langs), pa.int32()),
-                 pa.array([shard.n_words[x] for x in langs], pa.int64())], ["lang", "phrase", "size", "n"])
+            for x in langs:
+                sums[x][b""] += shard.n_words[x]
+            size = 0
             for w, first, n, k in shard.levels(word, lang, langs, longest, lambda n, h, k: in_set(bits, h)):
                 size += 1
                 for i in range(0, len(first), rows):
                     cells = w[first[i:i + rows, None] + np.arange(size)].tolist()
-                    text = [b" ".join([word[x] for x in c]).decode("utf-8", "surrogatepass") for c in cells]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[x] for x in k[i:i + rows]], pa.string()), pa.array(text, pa.string()),
-                         pa.array([size] * len(text), pa.int32()), pa.array(n[i:i + rows].astype(np.int64))], ["lang", "phrase", "size", "n"])
+                    for c, x, m in zip(cells, k[i:i + rows].tolist(), n[i:i + rows].tolist()):
+                        sums[langs[x]][b" ".join([word[y] for y in c])] += m
+            if sum(map(len, sums.values())) >= held:
+                yield from told(sums)
+                sums.clear()
+        yield from told(sums)
     return run
 
 
-def frequent(docs: DataFrame, support: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def candidates(texts: DataFrame, totals: dict[str, int], support: int, longest: int, shard_words: int, local: int) -> DataFrame:
+    """The union as 64-bit phrase codes: what shards tell, and all they may not have told, reaches the support."""
+    shared = texts.sparkSession.sparkContext.broadcast(totals)
+    found = texts.mapInArrow(_mine(shared, support, longest, shard_words, local), "lang string, hash long, excess long")
+    found = materialize(found.groupBy("lang", "hash").agg(F.sum("excess").alias("excess")))
+    untold = found.filter("hash IS NULL").select("lang", F.col("excess").alias("untold"))  # one row per language
+    return found.filter("hash IS NOT NULL").join(F.broadcast(untold), "lang").filter(F.col("excess") + F.col("untold") >= support).select("hash")
+
+
+def bit_set(codes: DataFrame) -> np.ndarray:
+    """The codes as a bit set: packed on the executors, so at most 2**(SLOT_BITS - 6) rows reach the driver."""
+    slot = F.explode(F.array(F.shiftrightunsigned("hash", 64 - SLOT_BITS), F.col("hash").bitwiseAND((1 << SLOT_BITS) - 1)))
+    packed = codes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("place")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).toPandas()
+    out = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    out[packed["place"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def frequent(docs: DataFrame, support: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS, shard_bytes: int = SHARD_BYTES,
+             local: int = LOCAL) -> DataFrame:
     """(lang, phrase, size, n) of all phrases with n >= support; size 0 has the language's number of words."""
     spark = docs.sparkSession
     importable(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"), lang_column().alias("lang"))
     totals = {r.lang: r.n or 0 for r in texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    shards = max(spark.sparkContext.defaultParallelism, -(-sum(totals.values()) // shard_bytes))
-    texts = texts.coalesce(shards)
-    shared = spark.sparkContext.broadcast(totals)
-    found = texts.mapInArrow(_mine(shared, support, longest, shard_words), "place int, bits long")
-    found = found.groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
-    union = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
-    union[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    counts = texts.mapInArrow(_count(spark.sparkContext.broadcast(union), longest, shard_words), "lang string, phrase string, size int, n long")
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-sum(totals.values()) // shard_bytes)))
+    union = spark.sparkContext.broadcast(bit_set(candidates(texts, totals, support, longest, shard_words, local)))
+    counts = texts.mapInArrow(_count(union, longest, shard_words), "lang string, phrase string, size int, n long")
     return counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | (F.col("size") == 0))
 
 

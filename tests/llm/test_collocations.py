@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from compare import connect, oracle_rows, spark_rows, type_gaps
 from llm_helpers import DOCS, edge_rows, local_frame, lower_az
 from slicegauge.llm import collocations
@@ -53,6 +54,17 @@ def test_against_counting_everything(spark, data, covered):
     assert len(want) > 100 and result(got) == want
 
 
+def test_union_holds_every_frequent_phrase(spark, data):
+    """Lowered support in any number of shards loses nothing, and many candidates are ruled out by what may be untold."""
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("text", "lang").repartition(6).cache()
+    totals = {r.lang: r.n for r in texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    exact = {r.hash for r in collocations.candidates(texts.coalesce(1), totals, 60, 3, 10**7, 0).collect()}
+    for local, words in ((2, 20_000), (0, 20_000), (9, 5_000)):
+        got = {r.hash for r in collocations.candidates(texts, totals, 60, 3, words, local).collect()}
+        assert exact <= got and len(got) < 8 * len(exact)
+    assert len(exact) > 200
+
+
 def test_shards_never_change_counts(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     one, many = [{(r.lang, r.phrase): r.n for r in collocations.frequent(docs.repartition(k), 40, 3, words, 1 << 14).collect()}
