@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import (collocations, imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, toxicity_fst,
-               url_trees, warc_derive)
+from . import (collocations, imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, token_align,
+               toxicity_fst, url_trees, warc_derive)
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op11_son_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_son_collocations"] = _PHRASES_SQL
+
+
+@query
+def op12_lockstep_align(spark: SparkSession, folder: str) -> DataFrame:
+    return token_align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
