@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import (collocations, imatch, minhash_star, mixing_coder, pareto_mix, quality_ratio, slot_shards, square_pack, token_align,
+from . import (collocations, imatch, minhash_star, mixing_coder, pareto_mix, pii_crf, quality_ratio, slot_shards, square_pack, token_align,
                toxicity_fst, url_trees, warc_derive)
 from .base import table
 
@@ -133,3 +133,9 @@ ORACLES["op11_son_collocations"] = _PHRASES_SQL
 def op12_lockstep_align(spark: SparkSession, folder: str) -> DataFrame:
     return token_align.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                              public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_skip_chain_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii_crf.find(docs, pii_crf.fit(docs))
