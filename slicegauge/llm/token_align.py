@@ -11,12 +11,12 @@ state matrix, a column each: the next A token, the next B token, the next place
 in the output, the end. A step emits one link per column, a cut where both tokens
 end, and moves the pointers of what ended; finished columns are compacted away.
 
-Counts of linked id pairs (how many rows hold one) need the whole corpus. Pass one
-aligns and adds the pairs up per task; Spark adds them up over all. At most
-`hot_pairs` of the most frequent pairs, a fixed bound whatever the input, are
-broadcast; pass two aligns again (cheaper than storing all links), sums a text's links
-over them, and leaves the rarer ones to a shuffled join, where no key is hot any
-more. The highest count of each A id is a table of at most one row per A id.
+Each text is encoded and aligned once; its distinct linked id pairs are written, packed,
+to the shared folder. Counts of pairs (how many rows hold one) are added up per
+task, then by Spark over all. At most `hot_pairs` of the most frequent pairs, a
+fixed bound whatever the input, are broadcast to sum a text's links over them; the
+rarer ones go through a shuffled join, where no key is hot any more. The highest count of
+each A id is a table of at most one row per A id.
 
 Null or empty texts, and texts that do not round-trip, have no tokens and zeros.
 Repeated rows count as rows of their own and get equal results; rows without an id
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .base import importable
-from .tokens import ODD, PIECE, Encoder
 
 BLOCK_BYTES = 4 << 20
 HOT_PAIRS = 400_000
-REMEMBERED = 300_000
 SHIFT = 32
+# Fixed value: how the byte-level vocabulary cuts a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = re.compile(r"\S{4000}|\s{400}")
 
 
 def byte_level() -> dict[str, int]:
@@ -55,64 +57,50 @@ def byte_level() -> dict[str, int]:
 
 
 class Bytes:
-    """Ids and bytes of texts under both tokenizers, remembered per piece of white space and word.
+    """Ids and bytes of texts under both tokenizers.
 
-    No entry of either vocabulary joins a word to white space behind it, so a
-    text's ids are those of its pieces. Texts for which the first tokenizer is
-    not sure of that are encoded whole.
+    A's merges run in tiktoken, several times faster than in the tokenizers library,
+    with the vocabulary of the given file, whose ids are in the order of its merges.
+    Texts with very long runs, where its pattern search would recurse too deep, go to
+    the tokenizers library. The ids are the same.
     """
 
-    def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED):
+    def __init__(self, path_a: str, path_b: str):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        self.a = Encoder(path_a, True, remembered)
-        self.a.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            given = json.load(f)
+        vocab, special = given["model"]["vocab"], {t["content"] for t in given.get("added_tokens", [])}
         back = byte_level()
         self.bytes_a = [b""] * (1 + max(vocab.values()))
         for token, i in vocab.items():
-            self.bytes_a[i] = bytes(map(back.get, token)) if all(c in back for c in token) else token.encode()
+            self.bytes_a[i] = token.encode() if token in special else bytes(map(back.__getitem__, token))
+        ranks = {self.bytes_a[i]: i for token, i in vocab.items() if token not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.slow_a = Tokenizer.from_file(path_a)
+        self.slow_a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.blank, self.line = self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")
-        self.seen: dict[str, bytes] = {}
-        self.remembered = remembered
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def pieces_b(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces inside a text. The model puts a blank before what it is given: that is the piece's own first
-        blank, or it and a line end stand in front and are cut off."""
-        own = [p[0] == " " for p in pieces]
-        found = self.b.encode([p[1:] if x else "\n" + p for p, x in zip(pieces, own)], num_threads=1)
-        return [np.array((ids or [self.blank]) if x else ids[2:], "<u4").tobytes() for ids, x in zip(found, own)]
-
-    def ids_b(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if ODD.search(t)}
-        cut = [PIECE.findall(" " + t) if i not in whole else [] for i, t in enumerate(texts)]
-        new = list({p for c in cut for p in c if p not in self.seen})
-        found = dict(zip(new, self.pieces_b(new))) if new else {}
-        if len(self.seen) + len(found) <= self.remembered:
-            self.seen.update(found)
-            found = self.seen
-        else:
-            found = {**{p: self.seen[p] for c in cut for p in c if p in self.seen}, **found}
-        alone = dict(zip(sorted(whole), self.b.encode([texts[i] for i in sorted(whole)], num_threads=1))) if whole else {}
-        return [np.array(alone[i], "<u4").tobytes() if i in alone else b"".join(map(found.__getitem__, c)) for i, c in enumerate(cut)]
+    def ids_a(self, text: str) -> list[int]:
+        return self.slow_a.encode(text, add_special_tokens=False).ids if LONG.search(text) else self.a.encode_ordinary(text)
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
         """(A ids, B ids) of each text, None where there are no tokens."""
         real = [i for i, t in enumerate(texts) if t]
-        a = self.a.ids([" " + texts[i] for i in real])
-        b = self.ids_b([texts[i] for i in real])
         out: list = [None] * len(texts)
-        for i, x, y in zip(real, a, b):
-            x, y = np.frombuffer(x, "<u4").tolist(), np.frombuffer(y, "<u4").tolist()
-            raw = (" " + texts[i]).encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)):
-                out[i] = x, y
+        for i, y in zip(real, self.b.encode([texts[i] for i in real], num_threads=1)):
+            text = " " + texts[i]
+            raw = text.encode("utf-8", "surrogatepass")
+            if b"".join(map(self.bytes_b.__getitem__, y)) == raw:
+                x = self.ids_a(text)
+                if b"".join(map(self.bytes_a.__getitem__, x)) == raw:
+                    out[i] = x, y
         return out
 
 
@@ -229,29 +217,69 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pairs, np.bincount(at, n, len(pairs)).astype(np.int64)
 
 
-def _count(path_a: str, path_b: str, held: int = 500_000):
+OUT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, links binary"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _align(path_a: str, path_b: str):
     def run(batches):
-        one, parts, size = aligner(path_a, path_b), [], 0
-        for _, texts in _blocks(batches):
-            parts.append(np.unique(one.pairs(one.align(texts))[1], return_counts=True))
-            size += len(parts[-1][0])
-            if size >= held:
-                parts = [_added(parts)]
-                size = len(parts[0][0])
-                if 2 * size >= held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["pair", "n"])
-                    parts, size = [], 0
+        one = aligner(path_a, path_b)
+        row = TaskContext.get().partitionId() << 40
+        for ids, texts in _blocks(batches):
+            x = one.align(texts)
+            text, pair, links = one.pairs(x)
+            at = np.searchsorted(text, np.arange(len(ids) + 1)).tolist()
+            cuts = np.concatenate([[0], np.cumsum(x.cut)])[x.starts_link]
+            digest = [hashlib.sha256(g).hexdigest() if g else "" for g in one.groups(x)]
+            packed = [[v[i:j].astype(kind).tobytes() for i, j in zip(at, at[1:])] for v, kind in ((pair, "<i8"), (links, "<u4"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row + np.arange(len(ids))), pa.array(ids, pa.int64()), *[pa.array(np.diff(s).astype(np.int64)) for s in (
+                    x.starts_a, x.starts_b, cuts, x.starts_link)], pa.array(digest, pa.string()), *[pa.array(p, pa.binary()) for p in packed]], COLUMNS)
+            row += len(ids)
+    return run
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """One row per document with its numbers, digest and packed pairs; to be written once."""
+    importable(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_align(path_a, path_b), OUT)
+
+
+def _unpacked(batch, held: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, row of each pair, pair, links) of some rows at a time."""
+    pairs, links = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pairs", "links"))
+    i = 0
+    while i < len(pairs):
+        j, n = i, 0
+        while j < len(pairs) and (n == 0 or n + len(pairs[j]) // 8 <= held):
+            n += len(pairs[j]) // 8
+            j += 1
+        text = np.repeat(np.arange(j - i), [len(p) // 8 for p in pairs[i:j]])
+        yield i, j, text, np.frombuffer(b"".join(pairs[i:j]), "<i8"), np.frombuffer(b"".join(links[i:j]), "<u4").astype(np.int64)
+        i = j
+
+
+def _count(held: int = 500_000):
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for _, _, _, pair, _ in _unpacked(batch):
+                parts.append(np.unique(pair, return_counts=True))
+                size += len(parts[-1][0])
+                if size >= held:
+                    parts = [_added(parts)]
+                    size = len(parts[0][0])
+                    if 2 * size >= held:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], ["pair", "n"])
+                        parts, size = [], 0
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _added(parts)], ["pair", "n"])
     return run
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, n, best) of all linked id pairs: in how many rows, and whether no pair of its A id is in more. Written once."""
-    importable(docs.sparkSession)
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _count(path_a, path_b), "pair long, n long")
-    counts = materialize(counts.groupBy("pair").agg(F.sum("n").alias("n")))
+    counts = materialize(rows.select("pairs", "links").mapInArrow(_count(), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     a = F.shiftright("pair", SHIFT).alias("a")
     most = counts.groupBy(a).agg(F.max("n").alias("most"))  # one row per A id at most: the vocabulary bounds it
     return counts.select("pair", "n", a).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -269,45 +297,36 @@ def hottest(counts: DataFrame, limit: int):
     return level, least, (hot["pair"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), hot["best"].to_numpy(bool))
 
 
-OUT = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, "
-       "rare array<struct<pair:long,links:long>>")
 RARE = pa.list_(pa.struct([("pair", pa.int64()), ("links", pa.int64())]))
 
 
-def _judge(path_a: str, path_b: str, hot):
+def _judge(hot):
     def run(batches):
-        one, (key, count, best) = aligner(path_a, path_b), hot.value
-        row = TaskContext.get().partitionId() << 40
-        for ids, texts in _blocks(batches):
-            x = one.align(texts)
-            text, pair, links = one.pairs(x)
-            at = np.minimum(np.searchsorted(key, pair), max(0, len(key) - 1))
-            known = key[at] == pair if len(key) else np.zeros(len(pair), bool)
-            n_best = np.bincount(text[known], links[known] * best[at[known]], len(ids)).astype(np.int64)
-            # whole numbers: float sums would round beyond 2**53
-            count_sum = np.zeros(len(ids), np.int64)
-            np.add.at(count_sum, text[known], links[known] * count[at[known]])
-            cuts = np.concatenate([[0], np.cumsum(x.cut)])[x.starts_link]
-            digest = [hashlib.sha256(g).hexdigest() if g else "" for g in one.groups(x)]
-            rare = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(text[~known], np.arange(len(ids) + 1)).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(pair[~known]), pa.array(links[~known].astype(np.int64))], ["pair", "links"])).cast(RARE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(len(ids))), pa.array(ids, pa.int64()), *[pa.array(np.diff(s).astype(np.int64)) for s in (
-                    x.starts_a, x.starts_b, cuts, x.starts_link)], pa.array(n_best), pa.array(count_sum), pa.array(digest, pa.string()), rare],
-                ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rare"])
-            row += len(ids)
+        key, count, best = hot.value
+        for batch in batches:
+            for i, j, text, pair, links in _unpacked(batch):
+                at = np.minimum(np.searchsorted(key, pair), max(0, len(key) - 1))
+                known = key[at] == pair if len(key) else np.zeros(len(pair), bool)
+                sums = np.zeros((2, j - i), np.int64)
+                np.add.at(sums[0], text[known], links[known] * best[at[known]])
+                np.add.at(sums[1], text[known], links[known] * count[at[known]])
+                rare = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(text[~known], np.arange(j - i + 1)).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(pair[~known]), pa.array(links[~known])], ["pair", "links"])).cast(RARE)
+                kept = batch.select([c for c in COLUMNS if c not in ("pairs", "links")]).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sums[0]), pa.array(sums[1]), rare],
+                                                 [*kept.schema.names, "n_best", "count_sum", "rare"])
     return run
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """One row per document: numbers of tokens, groups and links, what its links count corpus-wide, digest of its groups."""
     spark = docs.sparkSession
-    counts = pair_counts(docs, path_a, path_b)
+    once = materialize(aligned(docs, path_a, path_b))
+    counts = pair_counts(once)
     level, least, hot = hottest(counts, hot_pairs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _judge(path_a, path_b, spark.sparkContext.broadcast(hot)), OUT)
-    rows = materialize(rows)
+    rows = materialize(once.mapInArrow(_judge(spark.sparkContext.broadcast(hot)),
+                                       OUT.replace("pairs binary, links binary", "n_best long, count_sum long, rare array<struct<pair:long,links:long>>")))
     rare = rows.select("row", F.inline("rare")).join(counts.filter(level < least), "pair").select(
         "row", F.when(F.col("best"), F.col("links")).otherwise(0).alias("n_best"), (F.col("links") * F.col("n")).alias("count_sum"))
     rare = rare.groupBy("row").agg(F.sum("n_best").alias("rare_best"), F.sum("count_sum").alias("rare_sum"))
