@@ -111,13 +111,15 @@ def with_value_bucket(df: DataFrame, by: Sequence[str], value: str, name: str =
 
 def first_rows(df: DataFrame, n: int, order: str, by: Sequence[str] = (),
                small_bytes: int | None = None) -> DataFrame:
-    """The first n rows per group (or overall) by a numeric arrival column."""
+    """The first n rows per group (or overall) by a numeric arrival column; rows without one come first."""
     if is_small(df, small_bytes):
         return ranked(df, by, [order], F.lit(0), "__rank", n).drop("__rank")
     # two levels: a far outlier leaves all other rows in one cell of the first, which the second spreads
     outer = with_value_bucket(df.withColumn("__v", F.col(order).cast("double")), by, "__v", "__v1", ROW_CELLS)
     cut = with_value_bucket(outer, [*by, "__v1"], "__v", "__v2", ROW_CELLS, linear=True)
-    out = ranked(cut, by, [order], F.col("__v1") * ROW_CELLS + F.col("__v2"), "__rank", n, small_bytes)
+    # a missing value has a bucket before all others, as it sorts before them
+    cell = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(F.col("__v1") * ROW_CELLS + F.col("__v2"))
+    out = ranked(cut, by, [order], cell, "__rank", n, small_bytes)
     return out.drop("__rank", "__v", "__v1", "__v2")
 
 

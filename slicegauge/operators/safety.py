@@ -130,11 +130,40 @@ def physical_harm_enablement_density(df: DataFrame, text: str, by: Sequence[str]
     return single(df, physical_harm_proxy(df, text, by, **options), by)
 
 
+LITERAL = r"'(?:[^'\\]|\\.|'')*'"
+WHOLE = ("tinyint", "smallint", "int", "integer", "bigint", "long")
+# lower-cased texts that are certainly no whole number, no floating one
+NO_NUMBER = {**dict.fromkeys(WHOLE, "[a-z]|^[^0-9]*$"), **dict.fromkeys(("float", "double"), "[bcghj-mo-su-xz]|^[^0-9in]*$")}
+
+
+def _try_casts(predicate: str) -> str:
+    """CAST as TRY_CAST; a text that cannot be a number is told by a pattern, as an exception per row costs far more than the scan."""
+    out, i = "", 0
+    for m in re.finditer(LITERAL + r"|\bcast\s*\(", predicate, flags=re.I):
+        if m.start() < i or m.group().startswith("'"):
+            continue
+        depth, end = 1, m.end()
+        for t in re.compile(LITERAL + r"|[()]").finditer(predicate, m.end()):
+            depth += {"(": 1, ")": -1}.get(t.group(), 0)
+            if not depth:
+                end = t.start()
+                break
+        found = re.fullmatch(r"(.*)\sas\s+(.*?)\s*", predicate[m.end():end], flags=re.I | re.S)
+        if not found:
+            continue
+        x, kind = _try_casts(found.group(1)), found.group(2)
+        cast = f"TRY_CAST({x} AS {kind})"
+        if kind.lower() in NO_NUMBER:
+            cast = f"IF(typeof({x}) = 'string' AND lower({x}) RLIKE '{NO_NUMBER[kind.lower()]}', NULL, {cast})"
+        out += predicate[i:m.start()] + cast
+        i = end + 1
+    return out + predicate[i:]
+
+
 def _lenient(predicate: str) -> str:
     """A SQL predicate whose casts and divisions give NULL where they would fail; text literals stay as they are."""
-    parts = re.split(r"('(?:[^'\\]|\\.|'')*')", predicate)
+    parts = re.split(f"({LITERAL})", _try_casts(predicate))
     for i in range(0, len(parts), 2):
-        parts[i] = re.sub(r"\bcast\s*\(", "TRY_CAST(", parts[i], flags=re.I)
         # the divisor: a name, a number, a call or a bracket without brackets inside
         parts[i] = re.sub(r"([/%])\s*([\w.`]+(?:\([^()]*\))?|\([^()]*\))", r"\1 nullif(\2, 0)", parts[i])
     return "".join(parts)
