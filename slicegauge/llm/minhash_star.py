@@ -38,6 +38,8 @@ from .base import importable, word_bytes
 
 BROADCAST_LINKS = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# Sets of so few shingles are told apart exactly: their bins depend on each other, and a sketch may miss a link.
+SMALL_SET = 64
 
 
 @dataclass(frozen=True)
@@ -219,7 +221,7 @@ def _likely(plan: Plan):
         for b in batches:
             left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, plan.bins) for i in (2, 3))
             same = (left == right).sum(axis=1)
-            keep = pa.array(same >= lowest, pa.bool_())
+            keep = pa.array((same >= lowest) | (b.column(4).to_numpy() < SMALL_SET), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).filter(keep), b.column(1).filter(keep), pa.array(same.astype(np.int32)).filter(keep)], ["node", "centre", "same"])
     return run
@@ -245,7 +247,7 @@ class Block:
         n, comp, band = self.col("n").to_numpy(), np.array(self.col("comp").to_pylist(), object), int(self.col("band")[0].as_py())
         lowest = (plan.percent / 100 - plan.slack) * plan.bins
         for o in self.outer:
-            near = (marks[rest] == marks[o]).sum(axis=1) >= lowest
+            near = ((marks[rest] == marks[o]).sum(axis=1) >= lowest) | (np.minimum(n[rest], n[o]) < SMALL_SET)
             near &= 100 * np.minimum(n[rest], n[o]) >= plan.percent * np.maximum(n[rest], n[o])
             found = rest[near]
             if len(found):
@@ -346,7 +348,7 @@ def cluster(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         centre = at.groupBy("bucket").agg(F.min(order).alias("c"))
         star = (at.join(centre, "bucket").filter("c.comp <> comp")
                 .filter(100 * F.least("n", "c.n") >= plan.percent * F.greatest("n", "c.n"))
-                .select("node", F.col("c.node").alias("centre"), "mark", F.col("c.mark").alias("other")))
+                .select("node", F.col("c.node").alias("centre"), "mark", F.col("c.mark").alias("other"), F.least("n", "c.n").alias("n")))
         # of all its stars a node goes with the likeliest centre; the others wait for later rounds
         star = (star.mapInArrow(_likely(plan), "node binary, centre binary, same int")
                 .groupBy("node").agg(F.max(F.struct("same", "centre")).alias("x"))

@@ -44,8 +44,22 @@ def test_run_applies_the_stages_in_order(spark, data, monkeypatch):
 
 
 def test_edges(spark, data, edge, nothing):
+    """Stage by stage, which rows stay; then every id of what is mixed lies in one piece."""
+    n = len(edge_rows())
     for table in (edge, nothing):
-        docs = table
-        for _, stage in corpus_pipeline.STAGES:
+        docs, sizes = table, []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = Counter(r.doc_id for r in docs.select("doc_id").collect())
             docs = materialize(stage(spark, docs, data))
-        assert docs.count() <= 3 * len(edge_rows())
+            after = Counter(r.doc_id for r in docs.select("doc_id").collect())
+            assert set(after) <= set(before) and docs.columns == table.columns
+            sizes.append(sum(after.values()))
+        assert sizes[0] <= n and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= 3 * sizes[2]
+        mixed = Counter(r.doc_id for r in docs.select("doc_id").collect())
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+        assert Counter(r.doc_id for r in pieces if r.start == 0) == mixed
+        length = Counter()
+        for r in pieces:
+            assert 0 < r.length <= 2048
+            length[r.doc_id] += r.length
+        assert length == {r.doc_id: r.doc_tokens * mixed[r.doc_id] for r in pieces}
