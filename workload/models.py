@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from slicegauge.operators import fairness as fm
 from slicegauge.operators.models import train_predict
+from slicegauge.operators.slice_logreg import logreg_slices
 from .registry import Tables, query
 from .sqlgen import draw
 
@@ -57,3 +58,32 @@ def grid(t: Tables) -> DataFrame:
     return pred.groupBy("slice", "model_family", "seed").agg(
         F.count(F.lit(1)).alias("n_test"), F.sum("y_true").alias("n_positive"),
         (F.avg((F.col("y_true") == F.col("y_pred")).cast("int")) >= 0.75).alias("above_floor"))
+
+
+_SEEDS = (42, 43, 44, 45, 46)
+
+
+def _many_sql() -> str:
+    """Test rows of 21 slices and five seeds by the md5 split; every model must beat the majority class by 0.1."""
+    rows = """(SELECT concat_ws('-', o_orderstatus, l_linenumber) AS slice, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key,
+      CAST(l_extendedprice / 1000 + l_quantity > 75 AS INT) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+    split = " UNION ALL ".join(f"""SELECT slice, {seed} AS seed, target FROM (SELECT *, count(*) OVER (PARTITION BY slice, target) AS n,
+      row_number() OVER (PARTITION BY slice, target ORDER BY {draw(f"'{seed}'", "'split'", "key")}, key) AS r FROM {rows})
+      WHERE r <= round_even(n * 0.2, 0)""" for seed in _SEEDS)
+    return f"""SELECT slice, 'logreg' AS model_family, CAST(seed AS INT) AS seed, count(*) AS n_test, CAST(sum(target) AS BIGINT) AS n_positive,
+      true AS beats_majority FROM ({split}) GROUP BY ALL"""
+
+
+@query("logreg_many_slices", _many_sql())
+def many_slices(t: Tables) -> DataFrame:
+    """21 slices x 5 seeds of logistic regression in one job per Newton step."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "concat_ws('-', o_orderstatus, l_linenumber) AS slice", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key",
+        "CAST(l_extendedprice / 1000 + l_quantity > 75 AS INT) AS target", "l_quantity", "l_extendedprice", "l_discount",
+        "nullif(l_tax, 0) AS l_tax", "l_linestatus", "nullif(o_orderpriority, '5-LOW') AS o_orderpriority")
+    pred, _, _ = logreg_slices(rows, "target", "key", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "o_orderpriority"],
+                               ["o_orderpriority"], _SEEDS)
+    share = F.avg("y_true")
+    return pred.groupBy("slice", "model_family", "seed").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("y_true").alias("n_positive"),
+        (F.avg((F.col("y_true") == F.col("y_pred")).cast("int")) >= F.greatest(share, 1 - share) + 0.1).alias("beats_majority"))
