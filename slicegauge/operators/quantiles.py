@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import as_double, join_on, melt
+from ..functions.columns import as_double, attach, join_on, melt
 from ..session import is_small
 from .ranking import buckets_before, with_value_bucket
 
@@ -34,6 +35,40 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return _by_buckets(df, columns, probs, list(by))
 
 
+def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                          rank_error: float = 0.001) -> DataFrame:
+    """(by, column, n, q array) within `rank_error` * n ranks: one pass, one mergeable sketch per group and column.
+
+    The sketch (Greenwald and Khanna, as in `percentile_approx`) holds about 1 / `rank_error`
+    values, is built in the map tasks and merged, so neither hot groups nor hot values
+    matter. The values are members of the column, not interpolated; missing ones are left out.
+    """
+    if not 0 < rank_error < 1:
+        raise ValueError("rank_error must lie between 0 and 1")
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    aggs, cells = [], []
+    for i, c in enumerate(columns):
+        v = as_double(df, c) + F.lit(0.0)
+        aggs += [F.count(v).alias(f"__n{i}"), F.percentile_approx(v, ps, math.ceil(1 / rank_error)).alias(f"__q{i}")]
+        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"__n{i}").alias("n"), F.col(f"__q{i}").alias("q")))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells))).where("n > 0")
+
+
+def rank_errors(df: DataFrame, quantiles: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, n, prob, error): how far each value's ranks miss prob * n, as a share of n; for judging a sketch."""
+    wide = quantiles.groupBy(*by).agg(*[F.first(F.when(F.col("column") == c, F.col("q")), ignorenulls=True).alias(f"__q{i}") for i, c in enumerate(columns)])
+    rows, aggs, cells = attach(df.select(*by, *[as_double(df, c).alias(f"__v{i}") for i, c in enumerate(columns)]), wide, by), [], []
+    for i, c in enumerate(columns):
+        aggs.append(F.count(f"__v{i}").alias(f"__n{i}"))
+        for j, p in enumerate(probs):
+            q = F.col(f"__q{i}")[j]
+            aggs += [F.count_if(F.col(f"__v{i}") < q).alias(f"__lt{i}_{j}"), F.count_if(F.col(f"__v{i}") <= q).alias(f"__le{i}_{j}")]
+            n, want = F.col(f"__n{i}"), F.lit(float(p)) * F.col(f"__n{i}")
+            miss = F.greatest(F.lit(0.0), F.col(f"__lt{i}_{j}") - want, want - F.col(f"__le{i}_{j}"))
+            cells.append(F.struct(F.lit(c).alias("column"), n.alias("n"), F.lit(float(p)).alias("prob"), F.try_divide(miss, n).alias("error")))
+    return rows.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells))).where("n > 0")
+
+
 def _keep_wanted(cut: DataFrame, g: list[str], bucket: str) -> DataFrame:
     """Rows of the buckets that hold a wanted rank, with the rank base and the ranks left.
 

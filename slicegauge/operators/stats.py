@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import gather, join_on, no_nan
+from ..functions.columns import attach, gather, join_on, no_nan
 from ..functions.hashing import draw_int, draw_key
+from ..session import materialize
 from .ranking import average_ranks, hash_ranked
 
 MIN_PAIRS = 3
@@ -118,6 +119,42 @@ def bootstrap(pairs: DataFrame, g: Sequence[str], key: str, n_boot: int = 1000,
                       F.coalesce("n_resamples", F.lit(0)).alias("n_resamples"))
 
 
+def bootstrap_blocks(pairs: DataFrame, g: Sequence[str], key: str, n_blocks: int = 200, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """(g, n_rows, n_blocks, pearson_r, r_mean, ci_low, ci_high, n_resamples) for tables of many rows.
+
+    Rows are dealt by a hash of their key into `n_blocks` blocks, each kept as its six
+    sums (n, x, y, xx, yy, xy). A replicate adds up as many blocks as there are, drawn
+    with replacement, so its cost is blocks x replicates whatever the number of rows.
+    Sums are taken about the group's means. Rows without x or y are left out. For few
+    rows `bootstrap`, which draws single rows, is the better choice.
+    """
+    rows = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    centre = rows.groupBy(*g).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
+    at = attach(rows, centre, g).withColumns({"__x": F.col("x") - F.col("__mx"), "__y": F.col("y") - F.col("__my")})
+    at = at.withColumn("__block", draw_int(draw_key(seed, "block", F.col(key))) % n_blocks)
+    sums = {"__n": F.count(F.lit(1)), "__sx": F.sum("__x"), "__sy": F.sum("__y"), "__sxx": F.sum(F.col("__x") * F.col("__x")),
+            "__syy": F.sum(F.col("__y") * F.col("__y")), "__sxy": F.sum(F.col("__x") * F.col("__y"))}
+    # from here on at most n_blocks rows per group; written, as draws and point estimates both start from them
+    blocks = materialize(at.groupBy(*g, "__block").agg(*[v.alias(k) for k, v in sums.items()]))
+    w = Window.partitionBy(*g) if g else Window.partitionBy()
+    blocks = blocks.withColumns({"__pos": F.row_number().over(w.orderBy("__block")), "__size": F.count(F.lit(1)).over(w)})
+    draws = blocks.select(*g, "__size", "__pos", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("__rep"))
+    pick = draw_int(draw_key(seed, "draw", F.col("__rep"), F.col("__pos"))) % F.col("__size") + 1
+    draws = draws.select(*g, "__rep", pick.alias("__pos"))
+    total = [F.sum(k).alias(k) for k in sums]
+    cov, vx, vy = (f"(__n * {a} - {b})" for a, b in (("__sxy", "__sx * __sy"), ("__sxx", "__sx * __sx"), ("__syy", "__sy * __sy")))
+    # shares of variance below rounding are a constant column
+    r = F.expr(f"CASE WHEN __n >= {MIN_PAIRS} AND {vx} > 1e-12 * __n * __sxx AND {vy} > 1e-12 * __n * __syy "
+               f"THEN {unit_interval(f'{cov} / sqrt({vx}) / sqrt({vy})')} END")
+    reps = join_on(draws, blocks.drop("__size", "__block"), [*g, "__pos"]).groupBy(*g, "__rep").agg(*total).withColumn("__r", r)
+    ci = F.percentile("__r", F.array(F.lit(0.025), F.lit(0.975)))
+    done = reps.groupBy(*g).agg(F.avg("__r").alias("r_mean"), ci.alias("__ci"), F.count("__r").alias("n_resamples"))
+    point = blocks.groupBy(*g).agg(*total, F.count(F.lit(1)).alias("n_blocks")).withColumn("pearson_r", r)
+    out = gather([point.select(*g, F.col("__n").alias("n_rows"), "n_blocks", "pearson_r"), done], g)
+    return out.select(*g, "n_rows", "n_blocks", "pearson_r", "r_mean", F.get("__ci", F.lit(0)).alias("ci_low"),
+                      F.get("__ci", F.lit(1)).alias("ci_high"), "n_resamples")
+
+
 def correlate(df: DataFrame, by: Sequence[str], key: str, pairs: Sequence[tuple[str, str]],
               n_boot: int = 1000, seed: int = 42, small_bytes: int | None = None) -> DataFrame:
     """Point estimates and bootstrap of every (by, x, y) test in one plan."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from slicegauge.functions.text import DUAL_USE_PATTERNS, PII_PATTERNS, TOXIC_TERMS
 from slicegauge.operators import duplicates as dup, nmi, quality, rights, safety, shares
-from slicegauge.operators.quantiles import exact_quantiles
+from slicegauge.operators.quantiles import approximate_quantiles, exact_quantiles, rank_errors
 from . import expected
 from .registry import Tables, query, rounded
 from . import sqlgen as G
@@ -123,6 +123,18 @@ def quantiles(t: Tables) -> DataFrame:
     return q.selectExpr("l_returnflag", "column", "n", *[f"round(q[{i}], 6) AS q{i}" for i in range(7)])
 
 
+_PROBS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+@query("approximate_quantiles", "SELECT l_returnflag, c AS \"column\", count(*) AS n, CAST(p AS DOUBLE) AS prob, true AS within FROM lineitem, "
+       f"(VALUES ('l_extendedprice'), ('l_quantity')) a(c), (VALUES {', '.join(f'({p})' for p in _PROBS)}) b(p) GROUP BY ALL")
+def sketched_quantiles(t: Tables) -> DataFrame:
+    """Sketches of every group and column; their true rank errors are measured and must keep to the stated bound."""
+    columns = ["l_extendedprice", "l_quantity"]
+    q = approximate_quantiles(t.lineitem, columns, _PROBS, ["l_returnflag"], 0.002)
+    return rank_errors(t.lineitem, q, columns, _PROBS, ["l_returnflag"]).selectExpr("l_returnflag", "column", "n", "prob", "error <= 0.002 AS within")
+
+
 # --- texts -------------------------------------------------------------------
 
 def _re(pattern: str, column: str = "text", flags: str = "") -> str:

@@ -203,6 +203,29 @@ def bootstrap_corr_ci(t: Tables) -> DataFrame:
         "dataset", "status", "n_slices", "n_resamples", *rounded("r_mean", "ci_low", "ci_high", digits=6))
 
 
+_ROWS = """(SELECT l_returnflag, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, CAST(l_quantity AS DOUBLE) AS x,
+    CAST(l_quantity * (1 + l_tax * 10) + l_extendedprice / 5000 AS DOUBLE) AS y FROM lineitem)"""
+
+
+@query("bootstrap_rows_ci", f"""WITH m AS (SELECT *, x - avg(x) OVER (PARTITION BY l_returnflag) AS cx, y - avg(y) OVER (PARTITION BY l_returnflag) AS cy FROM {_ROWS}),
+  b AS (SELECT l_returnflag, {draw_int(draw("'42'", "'block'", "key"))} % 100 AS block, count(*) AS n, sum(cx) AS sx, sum(cy) AS sy, sum(cx * cx) AS sxx,
+      sum(cy * cy) AS syy, sum(cx * cy) AS sxy FROM m GROUP BY ALL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY block) AS pos, count(*) OVER (PARTITION BY l_returnflag) AS size FROM b),
+  d AS (SELECT l_returnflag, rep, {draw_int(draw("'42'", "'draw'", "CAST(rep AS VARCHAR)", "CAST(pos AS VARCHAR)"))} % size + 1 AS pos FROM p, range(1, 301) t(rep)),
+  r AS (SELECT l_returnflag, rep, (sum(n) * sum(sxy) - sum(sx) * sum(sy)) / sqrt(sum(n) * sum(sxx) - sum(sx) * sum(sx)) / sqrt(sum(n) * sum(syy) - sum(sy) * sum(sy)) AS r
+      FROM d JOIN p USING (l_returnflag, pos) GROUP BY ALL)
+  SELECT l_returnflag, any_value(c.n_rows) AS n_rows, any_value(c.n_blocks) AS n_blocks, round(any_value(c.r), 6) AS pearson_r, round(avg(r.r), 6) AS r_mean,
+      round(quantile_cont(r.r, 0.025), 6) AS ci_low, round(quantile_cont(r.r, 0.975), 6) AS ci_high, count(r.r) AS n_resamples
+  FROM r JOIN (SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_blocks,
+      sum(sxy) / sqrt(sum(sxx)) / sqrt(sum(syy)) AS r FROM b GROUP BY ALL) c USING (l_returnflag) GROUP BY l_returnflag""")
+def bootstrap_rows_ci(t: Tables) -> DataFrame:
+    """Confidence interval over all rows of lineitem from sums of hashed blocks."""
+    pairs = t.lineitem.selectExpr("l_returnflag", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key", "CAST(l_quantity AS DOUBLE) AS x",
+                                  "CAST(l_quantity * (1 + l_tax * 10) + l_extendedprice / 5000 AS DOUBLE) AS y")
+    return stats.bootstrap_blocks(pairs, ["l_returnflag"], "key", 100, 300).selectExpr(
+        "l_returnflag", "n_rows", "n_blocks", "n_resamples", *rounded("pearson_r", "r_mean", "ci_low", "ci_high", digits=6))
+
+
 @query("h1_quality_accuracy", f"WITH {RUNS_SQL}, {_AGG}, pr AS ({pairs_sql('dataset', [('Q', 'accuracy')], 'agg')}), "
                               f"{tests_sql('dataset')} SELECT *, {_READ} FROM tests")
 def h1_quality_accuracy(t: Tables) -> DataFrame:
