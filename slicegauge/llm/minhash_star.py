@@ -40,6 +40,8 @@ BROADCAST_LINKS = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # Sets of so few shingles are told apart exactly: their bins depend on each other, and a sketch may miss a link.
 SMALL_SET = 64
+# Sets up to this size also meet by shingle: two that are alike share one of the first few of each in hash order, for certain.
+PREFIX_SET = 20
 
 
 @dataclass(frozen=True)
@@ -122,6 +124,13 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def prefix_keys(s: np.ndarray, percent: int) -> list[int]:
+    """Buckets of a small set's leading shingles: one more than may be missing in a set that is alike."""
+    if len(s) > PREFIX_SET:
+        return []
+    return mixed(s[:len(s) + percent * len(s) // -100 + 1] ^ np.uint64(0x5DEECE66D)).view(np.int64).tolist()
+
+
 def _sketcher(plan: Plan):
     def run(batches):
         table = borrow_table(plan.bins)
@@ -139,8 +148,9 @@ def _sketcher(plan: Plan):
                 pick = lambda it: [next(it) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(pick(nodes), pa.binary()),
-                     pa.array(pick(marks), pa.binary()), pa.array(pick(keys), pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "node", "mark", "keys"])
+                     pa.array(pick(marks), pa.binary()), pa.array(pick(keys), pa.list_(pa.int64())),
+                     pa.array([prefix_keys(s, plan.percent) for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "node", "mark", "keys", "small"])
     return run
 
 
@@ -250,8 +260,8 @@ class Block:
             near = ((marks[rest] == marks[o]).sum(axis=1) >= lowest) | (np.minimum(n[rest], n[o]) < SMALL_SET)
             near &= 100 * np.minimum(n[rest], n[o]) >= plan.percent * np.maximum(n[rest], n[o])
             found = rest[near]
-            if len(found):
-                first = (keys[found] == keys[o]).argmax(axis=1) == band
+            if len(found):  # a pair that shares bands is judged in the first of them
+                first = (keys[found] == keys[o]).argmax(axis=1) == band if band < plan.bands else True
                 found = found[first & (comp[found] != comp[o])]
             if len(found):
                 yield int(o), found
@@ -320,11 +330,12 @@ def cluster(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     importable(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(texts.mapInArrow(
-        _sketcher(plan), "doc_id long, n_shingles long, node binary, mark binary, keys array<long>"))
+        _sketcher(plan), "doc_id long, n_shingles long, node binary, mark binary, keys array<long>, small array<long>"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("mark").alias("mark"), F.first("keys").alias("keys"))
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("mark").alias("mark"), F.first("keys").alias("keys"),
+        F.first("small").alias("small"))
     nodes = materialize(nodes)
-    entries = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
+    entries = nodes.select("node", "n", F.posexplode(F.concat("keys", "small")).alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # buckets of one node, by far the most, go no further
     entries = materialize(entries.join(shared, "bucket"))

@@ -8,7 +8,8 @@ logistic layer over the summed matches of a document gives the score, so a word
 counts by the clause it stands in, not alone.
 
 Learned from labels: the insult words and word beginnings of the lexicon with
-their weights (log odds), and the logistic layer. Both come from a bounded
+their weights (log odds), and the logistic layer, which is fitted on a fold kept from
+the lexicon (on all rows of the sample where that fold lacks a class). Both come from a bounded
 sample of labelled rows (`per_class` of each label in the order of a hash of the
 id); rows with crc32(doc_id) mod 5 = 0 are never in it. Everything else is
 scored whole, in one pass without a shuffle.
@@ -262,8 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4_000, min_docs: in
         for r in top:
             (model.stems if r.term.endswith("*") else model.words)[r.term.rstrip("*")] = float(r.odds)
     shared = spark.sparkContext.broadcast(model)
-    rows = (text.filter("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 4")
-            .mapInArrow(_features(shared), "doc_id long, toxic int, x array<double>").collect())
+    apart = text.filter("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 4")
+    # a fold of one class says nothing of how matches weigh: then all sampled rows fit the layer
+    both = len(apart.select("toxic").distinct().collect()) == 2
+    rows = (apart if both else text).mapInArrow(_features(shared), "doc_id long, toxic int, x array<double>").collect()
     y = np.array([r.toxic for r in rows], float)
     if len(set(y)) == 2:
         model.coef, model.bias = logistic(np.array([r.x for r in rows]), y)

@@ -109,3 +109,11 @@ def test_densified_sketches_estimate_similarity():
 def test_confirm_uses_the_exact_border():
     a = np.arange(100, dtype=np.uint64)
     assert m.linked(a, np.arange(25, 100, dtype=np.uint64), 75) and not m.linked(a, np.arange(26, 100, dtype=np.uint64), 75)
+
+
+def test_no_link_between_short_texts_is_lost(spark):
+    """7 against 8 words: 3 of 4 shingles, exactly at the threshold, where bins depend on each other."""
+    pairs = [" ".join(f"a{i}w{j}" for j in range(7)) for i in range(2_000)]
+    rows = [(2 * i, x, "s") for i, x in enumerate(pairs)] + [(2 * i + 1, x + " more", "s") for i, x in enumerate(pairs)]
+    out = {r.doc_id: r.component_id for r in m.cluster(frame(spark, rows)).collect()}
+    assert sum(out[2 * i + 1] != 2 * i for i in range(len(pairs))) == 0

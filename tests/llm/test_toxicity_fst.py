@@ -59,3 +59,15 @@ def test_held_out_accuracy(spark):
         spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
     toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_a_fold_of_one_class(spark, data):
+    """Whichever class the fold for the layer lacks, toxic and clean rows are still told apart."""
+    docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.1/labels.parquet")
+    fold = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 4"
+    for lacking in (1, 0):
+        some = labels.filter(f"NOT ({fold}) OR toxic <> {lacking}")
+        out = t.judge(docs, t.fit(docs, some)).join(labels, "doc_id").filter("held_out")
+        r = out.selectExpr("avg(IF(toxic = 1, predicted, NULL))", "avg(IF(toxic = 0, predicted, NULL))").first()
+        assert r[0] > 0.8 and r[1] < 0.05
