@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import as_double, attach, join_on, melt
-from ..session import is_small
-from .ranking import buckets_before, with_value_bucket
+from ..session import is_small, materialize
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -17,10 +16,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """(by, column, n, q array): linear interpolation between order statistics.
 
     Small inputs use `percentile`, which keeps a value map per group. Larger
-    ones find the value range that holds each wanted rank from bucket counts
-    and sort only the distinct values of those ranges, so neither a map nor a
-    task ever holds a column. Both give the same rows: missing values are left
-    out, a group without values has no row, zero has no sign.
+    ones find the value range that holds each wanted rank from two levels of
+    bucket counts (two jobs that run at once) and sort only the distinct values
+    of those ranges, so neither a map nor a task ever holds a column. Both give
+    the same rows: missing values are left out, a group without values has no
+    row, zero has no sign.
     """
     probs = [float(p) for p in probs]
     if is_small(df, small_bytes):
@@ -69,48 +69,70 @@ def rank_errors(df: DataFrame, quantiles: DataFrame, columns: Sequence[str], pro
     return rows.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells))).where("n > 0")
 
 
-def _keep_wanted(cut: DataFrame, g: list[str], bucket: str) -> DataFrame:
-    """Rows of the buckets that hold a wanted rank, with the rank base and the ranks left.
+# Buckets per factor e of magnitude, and cells into which a wanted bucket is cut.
+PER_E = 40
+CELLS = 4096
 
-    `__want` are zero-based ranks still looked for, `__base` the rows in front
-    of the rows at hand. The bucket table that survives has at most one row
-    per wanted rank and group.
+
+def _magnitude(v: Column) -> Column:
+    """Bucket of a double by sign and logarithm: never falls as the value rises, under 120,002 buckets, no range needed."""
+    # ln of the smallest double is above -746; the infinities get buckets of their own
+    m = F.coalesce(F.ln(F.abs(v)) + 746.0, F.lit(0.0)) * F.signum(v) * PER_E
+    return F.floor(F.greatest(F.lit(-60000.0), F.least(F.lit(60000.0), m))).cast("int")
+
+
+def _ranks(n: Column, probs: Sequence[float]) -> Column:
+    """Zero-based ranks on both sides of each quantile position."""
+    pos = [(n - 1) * F.lit(p) for p in probs]
+    return F.array_distinct(F.array(*[f(x).cast("bigint") for x in pos for f in (F.floor, F.ceil)]))
+
+
+def _holding(counts: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """The buckets that hold a wanted rank, with the rows in front of them (`__base`) and the ranks they hold (`__want`).
+
+    At most one row per wanted rank and group is left; written once, so that Spark
+    knows how small it is when the rows are joined with it.
     """
-    keys = [*g, "__base", "__want"]
-    before = buckets_before(cut, keys, bucket)
-    start = F.col("__base") + F.col("__before")
-    left = F.filter("__want", lambda i: (i >= start) & (i < start + F.col("__in")))
-    need = before.select(*g, bucket, start.alias("__start"), left.alias("__left")).where(F.size("__left") > 0)
-    rows = join_on(cut.drop("__base", "__want"), need, [*g, bucket])
-    return rows.withColumnsRenamed({"__start": "__base", "__left": "__want"})
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("__base") + F.coalesce(F.sum("__in").over(before), F.lit(0))
+    held = F.filter("__want", lambda i: (i >= F.col("__start")) & (i < F.col("__start") + F.col("__in")))
+    out = counts.withColumn("__start", start).withColumn("__want", held).where(F.size("__want") > 0)
+    return materialize(out.drop("__base", "__in").withColumnRenamed("__start", "__base"))
 
 
 def _by_buckets(df: DataFrame, columns: Sequence[str], probs: list[float], by: list[str]) -> DataFrame:
+    """Three passes over the rows: bucket counts, cell counts inside the wanted buckets, the values of the wanted cells.
+
+    The first two run when called and leave one small table each.
+    """
     g = [*by, "column"]
     long = melt(df, by, {c: as_double(df, c) + F.lit(0.0) for c in columns}).where(F.col("value").isNotNull())
-    cut = with_value_bucket(long, g, "value", "__b1", stats=[F.count(F.lit(1)).alias("n")])
-    # zero-based ranks on both sides of each quantile position
-    pos = [(F.col("n") - 1) * F.lit(p) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(x).cast("bigint") for x in pos for f in (F.floor, F.ceil)]))
-    cut = cut.withColumns({"__base": F.lit(0).cast("bigint"), "__want": ranks})
-    # narrowed twice: by the column's range, then by the range of what is left
-    once = _keep_wanted(cut, [*g, "n"], "__b1")
-    again = with_value_bucket(once, [*g, "__b1"], "value", "__b2", linear=True)
-    twice = _keep_wanted(again, [*g, "n", "__b1"], "__b2")
+    long = long.withColumn("__b", _magnitude(F.col("value")))
+    sums = [F.count(F.lit(1)).alias("__in"), F.min("value").alias("__lo"), F.max("value").alias("__hi")]
+    top = long.groupBy(*g, "__b").agg(*sums).withColumn("n", F.sum("__in").over(Window.partitionBy(*g)))
+    top = top.withColumns({"__base": F.lit(0).cast("bigint"), "__want": _ranks(F.col("n"), probs)})
+    top = _holding(top, g, "__b")
+    width = F.col("__hi") - F.col("__lo")
+    cell = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("value") - F.col("__lo")) / width * CELLS).cast("int")).otherwise(0)
+    # what a bucket carries is the same in all its rows
+    carried = [F.first(c).alias(c) for c in ("n", "__base", "__want")]
+    cells = join_on(long, top, [*g, "__b"]).withColumn("__c", cell).groupBy(*g, "__b", "__c").agg(*sums, *carried)
+    cells = _holding(cells, [*g, "__b"], "__c")
+    inside = join_on(long, cells, [*g, "__b"]).where(F.col("value").between(F.col("__lo"), F.col("__hi")))
     # equal values collapse map-side, so a hot value is one row in the window
-    keys = [*g, "n", "__b1", "__b2", "__base", "__want"]
-    counts = twice.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__c"))
+    keys = [*g, "__b", "__c"]
+    counts = inside.groupBy(*keys, "n", "__base", "__want", "value").agg(F.count(F.lit(1)).alias("__k"))
     w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__base") + F.coalesce(F.sum("__c").over(w), F.lit(0))
+    start = F.col("__base") + F.coalesce(F.sum("__k").over(w), F.lit(0))
     hits = (counts.withColumn("__start", start)
             .withColumn("__hit", F.filter("__want", lambda i: (i >= F.col("__start"))
-                                          & (i < F.col("__start") + F.col("__c"))))
+                                          & (i < F.col("__start") + F.col("__k"))))
             .where(F.size("__hit") > 0)
             .select(*g, "n", F.explode("__hit").alias("i"), "value"))
     # at most two order statistics per probability and group
     found = hits.groupBy(*g, "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("__m"))
     q = []
-    for x in pos:
+    for x in [(F.col("n") - 1) * F.lit(p) for p in probs]:
         lo, hi = F.floor(x).cast("bigint"), F.ceil(x).cast("bigint")
         a, b = F.col("__m")[lo], F.col("__m")[hi]
         q.append(F.when(a == b, a).otherwise((hi - x) * a + (x - lo) * b))

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from slicegauge import AssessmentConfig, assess
-from slicegauge.operators import duplicates, nmi, ranking, sampling, stats
+from slicegauge.operators import duplicates, nmi, quantiles, ranking, sampling, stats
 from slicegauge.operators.quantiles import exact_quantiles
+from slicegauge.session import materialize
 
 
 def rows_of(df):
@@ -51,6 +52,35 @@ def test_quantiles_with_infinity_and_constants(spark):
         assert got == {"x": [1.0, 2.0, 3.0], "c": [1.0, 1.0, 1.0]}
 
 
+@pytest.mark.parametrize("values", [
+    [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1e-300, float("inf"), float("-inf"), 1.0],
+    [1e9 + i / 7 for i in range(500)] + [1e9] * 900,
+    [1e-12 * i for i in range(300)] + [0.015],
+    [-3.0 - i * 1e-7 for i in range(400)] + [2.0 ** i for i in range(-40, 40)],
+])
+def test_quantiles_of_clustered_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    probs = [i / 20 for i in range(21)]
+    small, large = [exact_quantiles(df, ["x"], probs, (), limit).first() for limit in (None, 0)]
+    assert small.n == large.n == len(values) and small.q == large.q
+
+
+def test_bounded_quantiles_read_the_rows_three_times(spark, data, monkeypatch):
+    """Two jobs with one scan each, then a plan with one scan, whatever the number of columns and ranks."""
+    plans = []
+
+    def kept(df):
+        plans.append(df)
+        return materialize(df)
+
+    monkeypatch.setattr(quantiles, "materialize", kept)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    plans.append(exact_quantiles(lines, ["l_quantity", "l_extendedprice", "l_tax"], [0, 0.3, 0.5, 1], ["l_returnflag"], 0))
+    scans = [p._jdf.queryExecution().optimizedPlan().toString().count("l_extendedprice#") > 0 and
+             p._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet") for p in plans]
+    assert scans == [1, 1, 1]
+
+
 def test_ranks_and_limits(skewed):
     _, df = skewed
     keyed = df.select("id", "g").withColumn("k", F.md5(F.col("id").cast("string")))
