@@ -4,33 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from .tables import before_batch, read_table, write_batch
+from .tables import read_table
 
 RUN_KEYS = ("slice", "model_family", "seed")
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _first_of_run(key, frames, state):
+    best = None
+    for f in frames:
+        for pair in zip(f["__late"], f["__row"]):
+            best = pair if best is None else min(best, pair)
+    if not state.exists:
+        state.update((True,))
+        yield pd.DataFrame({"__row": [best[1]]})
 
 
 def record_runs(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = RUN_KEYS) -> StreamingQuery:
     """Start a query that appends the runs that the ledger does not hold yet.
 
-    Within a batch the first finished record of a run wins over failed ones.
-    Run it again at any time: the checkpoint skips files already read, the
-    anti join skips runs already recorded.
+    Within a batch a finished record of a run wins over failed ones, then the
+    smallest as JSON. Which runs are recorded is keyed state, one flag per run,
+    kept by Spark's state store: a batch reads its own rows only, however long
+    the ledger has grown. Run it again at any time with the same checkpoint,
+    which skips files already read and holds the state; the sink commits each
+    batch once.
     """
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = batch.withColumn("batch", F.lit(0)).schema
-        known = before_batch(spark, path, number, schema).select(*keys)
-        fresh = batch.join(known, list(keys), "left_anti")
-        rest = [c for c in batch.columns if c not in keys]
-        rank = F.struct(F.coalesce(F.col("status") != "ok", F.lit(True)), *[F.col(c) for c in rest])
-        once = fresh.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(*keys, "r.*")
-        write_batch(once.select(*batch.columns), path, number)
-
-    return (stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    row = F.to_json(F.struct(*stream.columns), _EXACT).alias("__row")
+    late = F.coalesce(F.col("status") != "ok", F.lit(True)).alias("__late")
+    first = (stream.select(*keys, late, row).groupBy(*keys)
+             .applyInPandasWithState(_first_of_run, "__row string", "seen boolean", "append", GroupStateTimeout.NoTimeout))
+    back = first.select(F.from_json("__row", stream.schema, _EXACT).alias("r")).select("r.*")
+    return (back.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 __all__ = ["RUN_KEYS", "read_table", "record_runs"]

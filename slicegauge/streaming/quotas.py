@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import sql
 from ..operators.ranking import first_rows, ranked, with_value_bucket
-from .tables import before_batch, read_table, write_batch
+from .tables import last_state, read_table, write_batch
 
 
 def fill_quotas(stream: DataFrame, category: Column, order: str, categories: Sequence[str], n: int,
@@ -17,7 +17,9 @@ def fill_quotas(stream: DataFrame, category: Column, order: str, categories: Seq
     """Start a query that tops up a quota table from each micro-batch.
 
     Every batch sees how many rows each category already has and how many
-    rows were read before it, and adds only the missing first rows. Drained,
+    rows were read before it, and adds only the missing first rows. These
+    counters are handed from batch to batch beside the table (`_counts`), so a
+    batch reads one small file and never the rows taken earlier. Drained,
     the table equals `quota_per_category` of the same rows. All rows are read
     unless the caller sets a cap.
     """
@@ -27,22 +29,24 @@ def fill_quotas(stream: DataFrame, category: Column, order: str, categories: Seq
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            seen = before_batch(spark, path + "_seen", number, "n long, batch int").agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+            counts = {r["category"]: r["n"] for r in last_state(spark, path + "_counts", number, "category string, n long")}
+            seen = counts.pop(None, 0)
             size = batch.count()
             left = size if read_cap is None else max(0, read_cap + 1 - seen)
             rows = first_rows(batch, left, order) if size > left else batch
-            schema = rows.withColumn("category", category).select(*names).withColumn("batch", F.lit(0)).schema
-            have = {r["category"]: r["n"] for r in before_batch(spark, path, number, schema)
-                    .groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
             # one number per listed category
-            open_ = {c: n - have.get(c, 0) for c in categories if have.get(c, 0) < n}
+            open_ = {c: n - counts.get(c, 0) for c in categories if counts.get(c, 0) < n}
             rows = rows.withColumn("category", category).where(F.col("category").isin(*open_))
             limit = F.expr(sql.choose("category", open_, "0"))
             keyed = with_value_bucket(rows.withColumn("__v", F.col(order).cast("double")), ["category"], "__v", "__vb")
             fresh = ranked(keyed, ["category"], [order], F.col("__vb"), "__r", limit).select(*names)
             write_batch(fresh, path, number)
-            write_batch(spark.range(1).select(F.lit(min(size, left)).cast("long").alias("n")), path + "_seen", number)
+            taken = spark.read.schema(fresh.schema).parquet(f"{path}/batch={number}").groupBy("category").count().collect()
+            for r in taken:
+                counts[r["category"]] = counts.get(r["category"], 0) + r["count"]
+            state = [(None, seen + min(size, left)), *sorted(counts.items())]
+            write_batch(sql.local_table(spark, state, ["category", "n"]).selectExpr("CAST(category AS STRING) AS category", "CAST(n AS BIGINT) AS n").coalesce(1),
+                        path + "_counts", number)
         finally:
             batch.unpersist()
 

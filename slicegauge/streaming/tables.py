@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from ..sources.readers import exists
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
@@ -12,12 +10,9 @@ def write_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def before_batch(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
-    """Rows of all earlier batches."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    table = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return table.where(F.col("batch") < batch).drop("batch") if "batch" in table.columns else table
+def last_state(spark: SparkSession, path: str, batch: int, schema: str) -> list:
+    """Rows that the batch before this one left; batches are numbered without gaps from 0."""
+    return spark.read.schema(schema).parquet(f"{path}/batch={batch - 1}").collect() if batch else []
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
