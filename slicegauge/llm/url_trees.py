@@ -8,7 +8,8 @@ block. The query takes the urls that a rule decides as its labels.
 
 Training uses at most `limit` labelled urls, in the order of a hash of the url;
 suffix statistics of the labels come from the same sample, suffix counts from
-all urls. Every url is scored. With labels of one class only, that class is the
+all urls. A suffix without a labelled url tells nothing, so its urls are judged
+by a second model that sees the lexical form only. Every url is scored. With labels of one class only, that class is the
 verdict; without any, allow.
 
 Null urls and urls without :// have an empty host and path and fit no rule.
@@ -74,8 +75,9 @@ def suffix() -> Column:
 
 
 BROADCAST_SUFFIXES = 10_000
-FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphen_ratio", "host_entropy",
-            "path_entropy", "parameters", "query_length", "has_fragment", "suffix_log_count", "suffix_block_share", "suffix_labelled"]
+FORM = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphen_ratio", "host_entropy",
+            "path_entropy", "parameters", "query_length", "has_fragment"]
+SUFFIX_FEATURES = ["suffix_log_count", "suffix_block_share", "suffix_labelled"]
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -98,6 +100,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 class UrlModel:
     suffixes: DataFrame  # suffix, suffix_log_count, suffix_block_share, suffix_labelled
     trees: GBTClassificationModel | None
+    form_trees: GBTClassificationModel | None = None  # for suffixes without labels
     constant: float = 0.0
 
 
@@ -118,10 +121,21 @@ def fit(labelled: DataFrame, urls: DataFrame, limit: int = 20_000, rounds: int =
         suffixes = F.broadcast(suffixes)
     classes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
-        return UrlModel(suffixes, None, float(next(iter(classes), 0)))
-    train = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(with_suffix(sample, suffixes)).select("x", F.col("label").cast("double").alias("label"))
-    trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed, minInstancesPerNode=5)
-    return UrlModel(suffixes, trees.fit(train.coalesce(4)))
+        return UrlModel(suffixes, None, constant=float(next(iter(classes), 0)))
+    train = with_vectors(with_suffix(sample, suffixes)).select("x", "x_form", F.col("label").cast("double").alias("label")).coalesce(4)
+    models = [GBTClassifier(featuresCol=x, labelCol="label", maxIter=rounds, maxDepth=depth, seed=seed, minInstancesPerNode=5).fit(train)
+              for x in ("x", "x_form")]
+    return UrlModel(suffixes, *models)
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    rows = VectorAssembler(inputCols=FORM + SUFFIX_FEATURES, outputCol="x").transform(rows)
+    return VectorAssembler(inputCols=FORM, outputCol="x_form").transform(rows)
+
+
+def block_probability(rows: DataFrame, trees: GBTClassificationModel, name: str) -> DataFrame:
+    trees = trees.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_p")
+    return trees.transform(rows).withColumn(name, F.get(vector_to_array("_p"), 1)).drop("_p")
 
 
 def judge(urls: DataFrame, model: UrlModel) -> DataFrame:
@@ -129,7 +143,8 @@ def judge(urls: DataFrame, model: UrlModel) -> DataFrame:
     if model.trees is None:
         out = urls.withColumn("block_score", F.lit(model.constant))
     else:
-        x = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(with_suffix(lexical(urls), model.suffixes))
-        out = model.trees.transform(x).withColumn("block_score", F.get(vector_to_array("probability"), 1))
+        x = with_vectors(with_suffix(lexical(urls), model.suffixes))
+        out = block_probability(block_probability(x, model.trees, "_known"), model.form_trees, "_form")
+        out = out.withColumn("block_score", F.when(F.col("suffix_labelled") > 0, F.col("_known")).otherwise(F.col("_form")))
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return out.withColumn("verdict", verdict)

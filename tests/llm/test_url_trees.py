@@ -83,3 +83,14 @@ def test_trees_learn_the_form(spark):
     urls = u.with_rule(local_frame(spark, rows, "page_id long, url string, label int"), [])
     out = u.judge(urls.filter("page_id >= 300"), u.fit(urls.filter("page_id < 300"), urls)).collect()
     assert sum((r.verdict == "block") == bool(r.label) for r in out) >= 98
+
+
+def test_unlabelled_suffix_is_judged_by_form(spark):
+    """A suffix that only blocked urls have says nothing of one that no label has."""
+    def url(i, suffix, bad):
+        return i, f"http://{'cheap-win%d' % (i * 37 % 91) if bad else 'news'}.{suffix}/{'x' * (i % 5)}", int(bad)
+
+    rows = [url(i, "net" if i % 4 == 0 else "com", i % 4 < 2) for i in range(400)] + [url(i, "org", i % 2) for i in range(400, 600)]
+    urls = u.with_rule(local_frame(spark, rows, "page_id long, url string, label int"), [])
+    out = u.judge(urls.filter("page_id >= 400"), u.fit(urls.filter("page_id < 400"), urls)).collect()
+    assert sum((r.verdict == "block") == bool(r.label) for r in out) >= 196
