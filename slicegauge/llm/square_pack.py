@@ -6,6 +6,9 @@ level, or to a new window, that makes the sum of squared counts least. Documents
 longer than a window are cut into full windows first and their rest is placed.
 At the end of a task the windows still open are merged, the fullest filled up
 from the emptiest by cutting, so at most one window a task stays partly filled.
+A task leaves some 100 to 200 windows to that merge however much it has read, so
+small partitions are put together until a task has `task_rows` documents; the
+column `closed` tells how a window was closed: whole (a cut of one long document), rule or merge.
 
 A task holds its open windows only, which the window size bounds. Every id,
 with the end id of each document, lies in exactly one piece. Null texts are
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .base import importable
 from .tokens import encoded, encoder
 
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, closed string"
 
 
 class Packer:
@@ -98,12 +101,12 @@ def _pack(path: str, spaces: bool, end_id: int, size: int):
         base = TaskContext.get().partitionId() << 40
         made, rows, held = 0, [], 0
 
-        def emit(window):
+        def emit(window, closed):
             nonlocal made, held
             at = 0
             for (doc_id, n, ids, first), start, length in window:
                 cut = ids[4 * (start - first):4 * (start - first + length)]
-                rows.append((doc_id, start, length, n, base + made, at, cut))
+                rows.append((doc_id, start, length, n, base + made, at, cut, closed))
                 at += length
             made, held = made + 1, held + at
 
@@ -113,32 +116,38 @@ def _pack(path: str, spaces: bool, end_id: int, size: int):
                 n = len(ids) // 4
                 whole = n - n % size
                 for start in range(0, whole, size):
-                    emit([((doc_id, n, ids, 0), start, size)])
+                    emit([((doc_id, n, ids, 0), start, size)], "whole")
                 if whole < n:
                     filled = packer.place(((doc_id, n, ids[4 * whole:], whole), whole, n - whole))
                     if filled:
-                        emit(filled)
+                        emit(filled, "rule")
                 if held > 500_000:
                     yield _rows(rows)
                     rows, held = [], 0
         for window in packer.finish():
-            emit(window)
+            emit(window, "merge")
         yield _rows(rows)
     return run
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 7
+    cols = list(zip(*rows)) or [()] * 8
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], names)
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary()), pa.array(cols[7], pa.string())], names)
 
 
-def pack(docs: DataFrame, path: str, end_id: int, size: int = 2048, spaces: bool = True) -> DataFrame:
-    """One row per piece with its ids as little-endian 32-bit words. One pass, no shuffle."""
+def pack(docs: DataFrame, path: str, end_id: int, size: int = 2048, spaces: bool = True,
+         task_rows: int = 10_000) -> DataFrame:
+    """One row per piece with its ids as little-endian 32-bit words. One pass, no shuffle.
+
+    The rows are counted first, so hand over a table or something cheap to
+    derive. Partitions are put together, never split.
+    """
     importable(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.coalesce(max(1, docs.count() // task_rows))
     return texts.mapInArrow(_pack(path, spaces, end_id, size), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "closed")

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm_helpers import edge_rows, frame
@@ -131,6 +132,59 @@ def test_packing_edges(spark, edge, nothing):
     assert sorted(r.start for r in s.pack(repeated, BYTE_BPE, 1).collect()) == [0] * 9
 
 
+def slow_windows(lengths, size):
+    """The windows that one task closes by the rule, and all left open: every option tried, the sum of squares counted anew."""
+    counts, windows, done = [0] * size, [], []
+    for doc, n in lengths:
+        start, need = n - n % size, n % size
+        if not need:
+            continue
+        best = None
+        for at in [0] + [h for h in range(1, size - need + 1) if counts[h]]:
+            after = counts.copy()
+            if at:
+                after[at] -= 1
+            if at + need < size:
+                after[at + need] += 1
+            option = (sum(c * c for c in after[1:]), -at, after)
+            best = option if best is None or option[:2] < best[:2] else best
+        at, counts = -best[1], best[2]
+        window = next((w for w in reversed(windows) if sum(p[2] for p in w) == at), [])
+        windows = [w for w in windows if w is not window]
+        window.append((doc, start, need))
+        (done if at + need == size else windows).append(window)
+    return done, windows
+
+
+def test_packing_in_several_tasks_follows_the_rule(spark):
+    rnd, size = random.Random(3), 48
+    texts = {i: " ".join(rnd.choice(("alpha", "beta", "gamma")) for _ in range(rnd.randrange(0, 70))) for i in range(900)}
+    docs = frame(spark, [(i, t, "a") for i, t in texts.items()]).repartition(3, "doc_id").cache()
+    parts = defaultdict(list)
+    for r in docs.select("doc_id", F.spark_partition_id().alias("part")).collect():
+        parts[r.part].append(r.doc_id)
+    n_ids = dict(zip(texts, map(len, slow_ids(BYTE_BPE, texts.values(), 1))))
+    windows = defaultdict(list)
+    for r in s.pack(docs, BYTE_BPE, 1, size, task_rows=100).orderBy("sequence_id", "offset").collect():
+        windows[r.closed, r.sequence_id].append((r.doc_id, r.start, r.length))
+    done, left = [], 0
+    for ids in parts.values():
+        rule, rest = slow_windows([(i, n_ids[i]) for i in ids], size)
+        done += rule
+        left += sum(p[2] for w in rest for p in w)
+    assert sorted(w for (how, _), w in windows.items() if how == "rule") == sorted(done)
+    assert sum(p[2] for (how, _), w in windows.items() if how == "merge" for p in w) == left
+    assert sum(how == "whole" for how, _ in windows) == sum(n // size for n in n_ids.values())
+    docs.unpersist()
+
+
+def test_small_partitions_are_put_together(spark):
+    docs = frame(spark, [(i, f"text number {i}", "a") for i in range(400)]).repartition(16)
+    pieces = s.pack(docs, BYTE_BPE, 1, 256, task_rows=200)
+    assert pieces.select(F.shiftright("sequence_id", 40)).distinct().count() <= 2
+    assert pieces.agg(F.sum("length")).first()[0] == sum(map(len, slow_ids(BYTE_BPE, [f"text number {i}" for i in range(400)], 1)))
+
+
 def test_placement_minimises_the_sum_of_squares():
     rnd = random.Random(8)
     packer = s.Packer(64)
