@@ -1,26 +1,36 @@
 """Tabular models per slice on Spark ML: preprocessing, families, fit grid.
 
 Fitting is distributed inside Spark ML; the driver only walks the list of
-slices, seeds and families, each of which is configuration-sized.
+slices, seeds and families, each of which is configuration-sized, a few at a time.
 """
 
 from __future__ import annotations
 
+import math
+import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, melt, numeric_columns
+from ..functions.hashing import draw_int, draw_key
 from ..session import materialize, new_table
 from .fairness import PREFIX
 from .sampling import stratified_split
 
 MIN_ROWS = 50
+# Share of the training rows that early stopping validates on, by the md5 order of their keys.
+VALIDATION_SHARE = 0.15
+# Training rows that make a partition of their own.
+PARTITION_ROWS = 50_000
 
 
 def logreg(n_train: int, width: int, seed: int) -> Estimator:
@@ -34,9 +44,63 @@ def gbt(n_train: int, width: int, seed: int) -> Estimator:
                          seed=seed, cacheNodeIds=True, checkpointInterval=10)
 
 
+class EarlyStopped(Estimator):
+    """A perceptron fitted in rounds of `step` iterations, each starting from the weights of the one before.
+
+    After every round the mean log loss of the validation rows (`is_valid`) is
+    taken; the fit ends when it has not fallen by `tol` for `patience` rounds,
+    when the optimiser converges, or at `max_iter`. The weights of the best
+    round stay. Without rows on both sides it is a plain fit.
+    """
+
+    def __init__(self, layers: Sequence[int], seed: int, max_iter: int = 500, step: int = 20, patience: int = 2, tol: float = 1e-4):
+        super().__init__()
+        self.layers, self.seed, self.max_iter, self.step, self.patience, self.tol = list(layers), seed, max_iter, step, patience, tol
+
+    def setMaxIter(self, value: int) -> EarlyStopped:
+        self.max_iter = value
+        return self
+
+    def _round(self, train: DataFrame, iterations: int, weights) -> Model:
+        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y_true", layers=self.layers, maxIter=iterations, seed=self.seed)
+        return (net if weights is None else net.setInitialWeights(weights)).fit(train)
+
+    def _fit(self, ready: DataFrame) -> Model:
+        train, valid = ready.where(~F.col("is_valid")), ready.where("is_valid")
+        if train.isEmpty() or valid.isEmpty():
+            model = self._round(ready, self.max_iter, None)
+            model.iterations = model.summary().totalIterations
+            return model
+        p = F.greatest(F.lit(1e-15), vector_to_array("probability")[F.col("y_true").cast("int")])
+        best, least, waited, done, weights = None, math.inf, 0, 0, None
+        while done < self.max_iter and waited < self.patience:
+            ask = min(self.step, self.max_iter - done)
+            model = self._round(train, ask, weights)
+            ran, weights = model.summary().totalIterations, model.weights
+            done += ran
+            loss = model.transform(valid).agg(F.avg(-F.log(p))).first()[0]
+            if not math.isfinite(loss):
+                raise ArithmeticError("the optimiser left the finite range")
+            waited = 0 if loss < least - self.tol else waited + 1
+            if loss < least:
+                best, least = model, loss
+            if ran < ask:
+                break
+        best.iterations = done
+        return best
+
+
 def mlp(n_train: int, width: int, seed: int) -> Estimator:
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y_true", layers=[width, 64, 32, 16, 2],
-                                          maxIter=500, seed=seed)
+    return EarlyStopped([width, 64, 32, 16, 2], seed)
+
+
+def iterations_of(model: Model) -> int | None:
+    """Iterations, or trees, that a fitted model took; None where it does not tell."""
+    if hasattr(model, "iterations"):
+        return model.iterations
+    if hasattr(model, "getNumTrees"):
+        return model.getNumTrees
+    return model.summary.totalIterations if getattr(model, "hasSummary", False) else None
 
 
 FAMILIES: dict[str, Callable[[int, int, int], Estimator]] = {"logreg": logreg, "gbt": gbt, "mlp": mlp}
@@ -85,54 +149,55 @@ def preprocessor(train: DataFrame, nums: Sequence[str], cats: Sequence[str]) ->
     return Pipeline(stages=stages), modes
 
 
-def _slice_fits(rows: DataFrame, nums: list[str], cats: list[str], name: str, families, seeds, test_size, factories, path: str):
-    """Outcome rows of one slice; its predictions are appended to the table at `path`, fit by fit."""
-    n = rows.count()
-    if n < MIN_ROWS:
-        return [(name, None, None, "failed", f"slice too small: {n} rows", 0, 0)]
+def _split_fits(rows: DataFrame, n: int, nums: list[str], cats: list[str], name: str, seed: int, families, test_size, factories, path: str):
+    """Outcome rows of one slice and seed; every fit's predictions are a folder of their own under `path`."""
+    try:
+        split = materialize(stratified_split(rows, "y_true", "__key", seed, test_size))
+        train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+        pipe, modes = preprocessor(train, nums, cats)
+        prepared = pipe.fit(train.fillna(modes))
+        # the md5 of the key picks the validation rows, so that they need no shuffle and never change
+        valid = draw_int(draw_key(seed, "valid", F.col("__key"))) % 10_000 < int(VALIDATION_SHARE * 10_000)
+        ready = prepared.transform(train.fillna(modes)).select("features", "y_true", valid.alias("is_valid"))
+        held = prepared.transform(test.fillna(modes))
+        n_train = train.count()
+        n_test = n - n_train
+        width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
+        # every iteration is a job over these partitions: small ones are put together
+        ready = materialize(ready.coalesce(max(1, n_train // PARTITION_ROWS)))
+    except Exception as e:  # one bad split must not stop the grid
+        return [(name, None, seed, "failed", f"{type(e).__name__}: {e}", 0, 0, None, None)]
     outcomes = []
-    for seed in seeds:
+    for fam in families:
         try:
-            split = materialize(stratified_split(rows, "y_true", "__key", seed, test_size))
-            train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-            pipe, modes = preprocessor(train, nums, cats)
-            prepared = pipe.fit(train.fillna(modes))
-            ready = prepared.transform(train.fillna(modes)).select("features", "y_true")
-            held = prepared.transform(test.fillna(modes))
-            n_train = train.count()
-            n_test = n - n_train
-            width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
-            ready = materialize(ready)
-        except Exception as e:  # one bad split must not stop the grid
-            outcomes.append((name, None, seed, "failed", f"{type(e).__name__}: {e}", 0, 0))
-            continue
-        for fam in families:
-            try:
-                model = factories[fam](n_train, width, seed).fit(ready)
-                score = vector_to_array("probability")[1]
-                model.transform(held).select(
-                    F.lit(name).alias("slice"), F.lit(fam).alias("model_family"), F.lit(seed).alias("seed"),
-                    F.col("y_true").cast("int").alias("y_true"), (score >= 0.5).cast("int").alias("y_pred"),
-                    score.alias("y_score"), *[c for c in rows.columns if c.startswith(PREFIX)]).write.mode("append").parquet(path)
-                outcomes.append((name, fam, seed, "ok", None, n_train, n_test))
-            except Exception as e:  # recorded, not raised
-                outcomes.append((name, fam, seed, "failed", f"{type(e).__name__}: {e}", n_train, n_test))
+            start = time.perf_counter()
+            model = factories[fam](n_train, width, seed).fit(ready)
+            took = time.perf_counter() - start
+            score = vector_to_array("probability")[1]
+            model.transform(held).select(
+                F.lit(name).alias("slice"), F.lit(fam).alias("model_family"), F.lit(seed).alias("seed"),
+                F.col("y_true").cast("int").alias("y_true"), (score >= 0.5).cast("int").alias("y_pred"),
+                score.alias("y_score"), *[c for c in rows.columns if c.startswith(PREFIX)]).write.parquet(f"{path}/{uuid.uuid4().hex}")
+            outcomes.append((name, fam, seed, "ok", None, n_train, n_test, iterations_of(model), took))
+        except Exception as e:  # recorded, not raised
+            outcomes.append((name, fam, seed, "failed", f"{type(e).__name__}: {e}", n_train, n_test, None, None))
     return outcomes
 
 
-OUTCOME = "slice string, model_family string, seed int, status string, error string, n_train long, n_test long"
+OUTCOME = "slice string, model_family string, seed int, status string, error string, n_train long, n_test long, iterations int, fit_time_seconds double"
 
 
 def train_predict(slices: DataFrame, target: str, key: str, protected: Sequence[str] = (),
                   features: Sequence[str] | None = None, families: Sequence[str] = ("logreg", "gbt", "mlp"),
                   seeds: Sequence[int] = (42, 43, 44, 45, 46), test_size: float = 0.2,
-                  factories: Mapping[str, Callable[[int, int, int], Estimator]] | None = None
+                  factories: Mapping[str, Callable[[int, int, int], Estimator]] | None = None, parallelism: int = 4
                   ) -> tuple[DataFrame, DataFrame]:
     """(predictions, outcomes) of every slice x seed x family.
 
     Rows without a target are dropped. Declared protected columns stay among
     the features; undeclared features are all columns but target, key, slice
-    and protected ones. Failures become outcome rows.
+    and protected ones. Failures become outcome rows. `parallelism` splits are
+    in work at a time, as the jobs of one fit of a small slice leave a cluster idle.
     """
     factories = dict(FAMILIES if factories is None else factories)
     unknown = [f for f in families if f not in factories]
@@ -145,13 +210,19 @@ def train_predict(slices: DataFrame, target: str, key: str, protected: Sequence[
             *[F.col(p).alias(PREFIX + p) for p in protected if p in slices.columns]]
     flat, nums, cats = feature_frame(rows, features, keep)
     flat = materialize(flat, "slice")
-    path, outcomes = new_table(slices.sparkSession), []
+    path = new_table(slices.sparkSession)
     prot = [flat.schema[c] for c in flat.columns if c.startswith(PREFIX)]
     schema = T.StructType([T.StructField("slice", T.StringType()), T.StructField("model_family", T.StringType()), T.StructField("seed", T.IntegerType()),
                            T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("y_score", T.DoubleType()), *prot])
     slices.sparkSession.createDataFrame([], schema).write.parquet(path)
-    names = sorted(r["slice"] for r in flat.select("slice").distinct().collect())
-    for name in names:
-        outcomes += _slice_fits(flat.where(F.col("slice") == name), nums, cats, name, families, seeds, test_size, factories, path)
-    out = slices.sparkSession.read.schema(schema).parquet(path)
+    counts = {r["slice"]: r["n"] for r in flat.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(n for n in counts if n is not None)
+    outcomes = [(name, None, None, "failed", f"slice too small: {counts[name]} rows", 0, 0, None, None) for name in names if counts[name] < MIN_ROWS]
+    fit = inheritable_thread_target(slices.sparkSession)(lambda name, seed: _split_fits(
+        flat.where(F.col("slice") == name), counts[name], nums, cats, name, seed, families, test_size, factories, path))
+    with ThreadPoolExecutor(parallelism) as pool:
+        runs = [pool.submit(fit, name, seed) for name in names if counts[name] >= MIN_ROWS for seed in seeds]
+        for run in runs:
+            outcomes += run.result()
+    out = slices.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return out, slices.sparkSession.createDataFrame(outcomes, OUTCOME)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import attach, join_on
-from ..functions.hashing import hash_bucket
+from ..functions.hashing import HASH_BUCKETS, hash_bucket
 from ..session import is_small
 
 # A group is cut into at most this many ordered value ranges.
@@ -86,6 +86,60 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, tie: Sequence[str] =
     return ranked(df, by, [key, *tie], hash_bucket(F.col(key)), name, limit, small_bytes)
 
 
+def hash_flagged(df: DataFrame, by: Sequence[str], key: str, limit: Column, tie: Sequence[str] = (), name: str = "flag",
+                 small_bytes: int | None = None) -> DataFrame:
+    """Flag the rows whose rank in the order of a draw key is at most `limit`, an expression over the group's size `__n`.
+
+    Beyond the small size the bucket counts of a group name its border bucket,
+    the one in which the limit falls. All other buckets are flagged as they are
+    read, without a sort or shuffle of the rows; only border rows are ranked.
+    """
+    if is_small(df, small_bytes):
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        return attach(hash_ranked(df, by, key, tie, "__r", small_bytes=small_bytes), sizes, by).withColumn(name, F.col("__r") <= limit).drop("__r", "__n")
+    cut = df.withColumn("__bucket", hash_bucket(F.col(key)))
+    before = buckets_before(cut, by, "__bucket")
+    sizes = before.groupBy(*by).agg(F.sum("__in").alias("__n"))
+    left = (limit - F.col("__before")).alias("__left")
+    border = attach(before, sizes, by).select(*by, "__bucket", "__in", left).where("__left >= 0")
+    # the last bucket that begins before the limit; its rows up to `__left` are flagged, those of all before it wholly
+    last = border.groupBy(*by).agg(F.max_by(F.struct("__bucket", "__left"), "__bucket").alias("__at"))
+    seen = attach(cut, last, by, "left").withColumns({"__edge": F.col("__at.__bucket"), "__left": F.col("__at.__left")}).drop("__at")
+    inside = F.coalesce(F.col("__bucket") == F.col("__edge"), F.lit(False))
+    plain = seen.where(~inside).withColumn(name, F.coalesce(F.col("__bucket") < F.col("__edge"), F.lit(False)))
+    w = Window.partitionBy(*by).orderBy(key, *tie)
+    edge = seen.where(inside).withColumn(name, F.row_number().over(w) <= F.col("__left"))
+    return plain.unionByName(edge).drop("__bucket", "__edge", "__left")
+
+
+def hash_picked(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, position: str, tie: Sequence[str] = (),
+                small_bytes: int | None = None) -> DataFrame:
+    """The rows at the wanted positions (per group, from 1) of the order of a draw key, each as often as it is wanted.
+
+    `wanted` has the columns of `by`, the position and any more. Beyond the small
+    size a position is looked up in the bucket counts first; only rows of buckets
+    that some position hits are ranked and shuffled.
+    """
+    if is_small(df, small_bytes):
+        rows = hash_ranked(df, by, key, tie, "__pos", small_bytes=small_bytes)
+        return join_on(wanted.withColumnRenamed(position, "__pos"), rows, [*by, "__pos"]).drop("__pos")
+    cut = df.withColumn("__bucket", hash_bucket(F.col(key)))
+    before = buckets_before(cut, by, "__bucket")
+    sizes = before.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.sum("__in") / F.lit(HASH_BUCKETS))).alias("__width"))
+    # positions are cut into cells as wide as an average bucket, so that bucket and position meet by equality
+    spans = attach(before, sizes, by)
+    cells = F.sequence(F.floor((F.col("__before") + 1) / F.col("__width")), F.floor((F.col("__before") + F.col("__in")) / F.col("__width")))
+    index = spans.select(*by, "__bucket", "__before", "__in", F.explode(cells).alias("__cell"))
+    asked = attach(wanted, sizes, by).withColumn("__cell", F.floor(F.col(position) / F.col("__width"))).drop("__width")
+    found = join_on(asked, index, [*by, "__cell"]).where(
+        (F.col(position) > F.col("__before")) & (F.col(position) <= F.col("__before") + F.col("__in")))
+    found = found.withColumn("__r", (F.col(position) - F.col("__before")).cast("int")).drop(position, "__before", "__in", "__cell")
+    hit = found.select(*by, "__bucket").distinct()
+    w = Window.partitionBy(*by, "__bucket").orderBy(key, *tie)
+    rows = join_on(cut, hit, [*by, "__bucket"], "left_semi").withColumn("__r", F.row_number().over(w))
+    return join_on(found, rows, [*by, "__bucket", "__r"]).drop("__bucket", "__r")
+
+
 def squash(v: Column) -> Column:
     """Order-keeping signed logarithm, finite for infinities: spreads long tails."""
     t = F.signum(v) * F.ln(F.lit(1.0) + F.abs(v))

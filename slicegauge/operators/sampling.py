@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import join_on
 from ..functions.hashing import draw_int, draw_key
-from .ranking import first_rows, hash_ranked
+from .ranking import first_rows, hash_flagged, hash_picked, hash_ranked
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42, by: Sequence[str] = (),
@@ -76,11 +76,10 @@ def _with_replacement(df: DataFrame, label: str, key: str, plan: Sequence[tuple[
     """Draws of `plan` entries (slice, label value, number of draws, pool size).
 
     Draw numbers come from a distributed range; each draw's hash names a
-    position in its pool and an equi-join fetches the row.
+    position in its pool, which `hash_picked` looks up.
     """
     spark = df.sparkSession
-    pos = hash_ranked(df.withColumn("__k", draw_key(seed, "position", F.col(key))), [label], "__k", [key],
-                      "__pos", small_bytes=small_bytes).drop("__k")
+    keyed = df.withColumn("__k", draw_key(seed, "position", F.col(key)))
     start, parts = 0, []
     name, lab, size, first = [F.lit(None)] * 4
     for sl, value, n, pool in plan:
@@ -94,9 +93,8 @@ def _with_replacement(df: DataFrame, label: str, key: str, plan: Sequence[tuple[
     draws = spark.range(start).select(name.alias("slice"), lab.cast("int").alias("__lab"),
                                       size.alias("__size"), (F.col("id") - first + 1).alias("draw"))
     hit = draw_int(draw_key(seed, "draw", F.col("slice"), F.col("__lab"), F.col("draw"))) % F.col("__size") + 1
-    draws = draws.select("slice", "draw", "__lab", hit.alias("__hit"))
-    on = (pos[label] == draws["__lab"]) & (pos["__pos"] == draws["__hit"])
-    return draws.join(pos, on).drop("__lab", "__hit", "__pos")
+    draws = draws.select("slice", "draw", F.col("__lab").cast(df.schema[label].dataType).alias(label), hit.alias("__hit"))
+    return hash_picked(keyed, [label], "__k", draws, "__hit", [key], small_bytes).drop("__k")
 
 
 def stratified_bootstrap(df: DataFrame, label: str, key: str, sizes: Sequence[int], seed: int = 42,
@@ -163,13 +161,9 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int, test_size:
                      by: Sequence[str] = (), name: str = "is_test",
                      small_bytes: int | None = None) -> DataFrame:
     """Flag the test rows: the first share of every (group, class) in md5 order."""
-    g = [*by, label]
     keyed = df.withColumn("__k", draw_key(seed, "split", F.col(key)))
-    rows = hash_ranked(keyed, g, "__k", [key], "__r", small_bytes=small_bytes)
-    size = df.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-    both = join_on(rows, size, g)
-    return both.withColumn(name, F.col("__r") <= F.bround(F.col("__n") * F.lit(float(test_size)), 0)).drop(
-        "__k", "__r", "__n")
+    n_test = F.bround(F.col("__n") * F.lit(float(test_size)), 0)
+    return hash_flagged(keyed, [*by, label], "__k", n_test, [key], name, small_bytes).drop("__k")
 
 
 def quota_per_category(df: DataFrame, category: Column, order: str, categories: Sequence[str], n: int,

@@ -1,9 +1,13 @@
 """The model grid: learns, records failures, keeps unseen labels and missing values."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from slicegauge.operators import fairness as fm
-from slicegauge.operators.models import FAMILIES, gbt, most_frequent, preprocessor, feature_frame, train_predict
+from slicegauge.session import materialize
+from slicegauge.operators.models import EarlyStopped, FAMILIES, iterations_of, gbt, most_frequent, preprocessor, feature_frame, train_predict
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +23,8 @@ def test_grid(rows):
              "broken": lambda n, w, s: (_ for _ in ()).throw(RuntimeError("no"))}
     pred, out = train_predict(rows, "target", "key", ["sex"], ["x", "c", "void", "sex"], list(small), [42], factories=small)
     o = {(r.slice, r.model_family): (r.status, r.error) for r in out.collect()}
+    told = {(r.slice, r.model_family): (r.iterations, r.fit_time_seconds) for r in out.collect()}
+    assert told["a", "gbt"][0] == 3 and 0 < told["b", "mlp"][0] <= 30 and told["a", "logreg"][1] > 0 and told["a", "broken"] == (None, None)
     assert o["small", None] == ("failed", "slice too small: 40 rows")
     assert o["a", "broken"] == ("failed", "RuntimeError: no") and o["b", "gbt"][0] == "ok"
     assert pred.columns == ["slice", "model_family", "seed", "y_true", "y_pred", "y_score", "prot__sex"]
@@ -29,6 +35,23 @@ def test_grid(rows):
         train_predict(rows, "target", "key", families=["nope"])
 
 
+def test_early_stopping(spark):
+    """Noise is not learned for long, the best round stays, warm starts go on where the round before ended."""
+    ready = spark.range(600).selectExpr("id", "rand(1) AS a", "rand(2) AS b", "id % 7 = 0 AS is_valid").selectExpr(
+        "a", "b", "CAST(IF(rand(3) < 0.3, rand(4) < 0.5, a > 0.5) AS DOUBLE) AS y_true", "is_valid")
+    ready = materialize(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(ready))
+    stopped = EarlyStopped([2, 64, 32, 16, 2], 1, step=10).fit(ready)
+    plain = EarlyStopped([2, 64, 32, 16, 2], 1, max_iter=200, step=200).fit(ready)  # one round, on the same training rows
+    assert stopped.iterations < plain.iterations == iterations_of(plain)
+
+    def loss(model):
+        p = vector_to_array("probability")[F.col("y_true").cast("int")]
+        return model.transform(ready.where("is_valid")).agg(F.avg(-F.log(F.greatest(F.lit(1e-15), p)))).first()[0]
+    assert loss(stopped) <= loss(plain)
+    first = EarlyStopped([2, 8, 2], 1, max_iter=10, step=10).fit(ready)
+    assert loss(EarlyStopped([2, 8, 2], 1, max_iter=40, step=10, patience=9).fit(ready)) <= loss(first)
+
+
 def test_unseen_labels_and_modes(spark, rows):
     flat, nums, cats = feature_frame(rows, ["x", "c"], ["key"])
     assert most_frequent(flat, cats) == {"x__c": "u"}

@@ -1,11 +1,14 @@
 """The bounded-task forms give the results of the one-shuffle forms, also under skew."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from slicegauge import AssessmentConfig, assess
+from slicegauge.functions.hashing import draw_key
 from slicegauge.operators import duplicates, nmi, quantiles, ranking, sampling, stats
 from slicegauge.operators.quantiles import exact_quantiles
 from slicegauge.session import materialize
@@ -151,6 +154,40 @@ def test_samples_do_not_depend_on_partitioning(skewed):
         assert rows_of(f(lab.coalesce(1), None)) == rows_of(f(lab.repartition(16), 0))
 
 
+@pytest.mark.parametrize("small", [None, 0])
+def test_bucket_lookups_equal_full_ranking(skewed, small):
+    """Flags and picked positions against a full sort of every group, the missing group included."""
+    pdf, df = skewed
+    keyed = df.select("id", "g", "x").withColumn("k", draw_key(1, "t", F.col("id"))).repartition(7)
+    order = {}
+    for i, g in zip(pdf["id"], pdf["g"]):
+        order.setdefault(None if pd.isna(g) else g, []).append((hashlib.md5(f"1:t:{i}".encode()).hexdigest(), i))
+    order = {g: [i for _, i in sorted(v)] for g, v in order.items()}
+    for share in (0.0, 0.2, 1.0, 3.0):
+        got = ranking.hash_flagged(keyed, ["g"], "k", F.floor(F.col("__n") * share), ["id"], "in", small)
+        assert got.columns[-1] == "in" and got.count() == len(pdf)
+        hits = {r["id"] for r in got.where("`in`").collect()}
+        assert hits == {i for v in order.values() for i in v[:int(len(v) * share)]}
+    asked = [(g, p, t) for g, v in order.items() for t, p in enumerate([1, 2, 2, len(v) // 2, len(v), len(v) + 5])]
+    wanted = df.sparkSession.createDataFrame(asked, "g string, at long, t int")
+    got = {(r.g, r.t): r.id for r in ranking.hash_picked(keyed, ["g"], "k", wanted, "at", ["id"], small).collect()}
+    assert got == {(g, t): order[g][p - 1] for g, p, t in asked if p <= len(order[g])}
+    none = keyed.where("false")
+    assert ranking.hash_flagged(none, ["g"], "k", F.col("__n"), ["id"], "in", small).collect() == []
+    assert ranking.hash_picked(none, ["g"], "k", wanted, "at", ["id"], small).collect() == []
+
+
+def test_split_sorts_border_buckets_only(skewed):
+    """In the bounded form no row outside a border bucket meets the window."""
+    _, df = skewed
+    split = sampling.stratified_split(df.select("id", (F.col("id") % 5 == 0).alias("label"), "x"), "label", "id", 42, small_bytes=0)
+    rows = materialize(split)
+    assert rows.where("is_test").count() == 1200
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "row_number" in line]
+    assert len(ranks) == 1 and plan.count("Union") == 1
+
+
 def test_label_shares_and_replacement(skewed):
     _, df = skewed
     lab = df.select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))

@@ -34,33 +34,34 @@ def metrics(t: Tables) -> DataFrame:
                       F.round("dpd_worst", 4).alias("dpd_worst"), F.round("eod_worst", 4).alias("eod_worst"))
 
 
+_SEEDS = (42, 43, 44, 45, 46)
+
 _GRID = "(SELECT doc_id, quality, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS slice FROM documents JOIN labels USING (doc_id))"
 
 
 def _grid_sql() -> str:
-    """Test rows of each slice and seed by the md5 split; every family must see them and beat the floor."""
+    """Test rows of each slice and seed by the md5 split; every family must see them and reach a balanced accuracy of 0.9."""
     split = " UNION ALL ".join(f"""SELECT slice, {seed} AS seed, quality FROM (SELECT *, count(*) OVER (PARTITION BY slice, quality) AS n,
       row_number() OVER (PARTITION BY slice, quality ORDER BY {draw(f"'{seed}'", "'split'", "CAST(doc_id AS VARCHAR)")}, doc_id) AS r FROM {_GRID})
-      WHERE r <= round_even(n * 0.2, 0)""" for seed in (42, 43))
+      WHERE r <= round_even(n * 0.2, 0)""" for seed in _SEEDS)
     return f"""SELECT slice, model_family, CAST(seed AS INT) AS seed, count(*) AS n_test, CAST(sum(quality) AS BIGINT) AS n_positive, true AS above_floor
       FROM ({split}), (VALUES ('logreg'), ('gbt'), ('mlp')) f(model_family) GROUP BY ALL"""
 
 
 @query("train_grid", _grid_sql())
 def grid(t: Tables) -> DataFrame:
-    """All three families, two seeds: text quality from simple counts, per language group."""
+    """All three families, five seeds: text quality from simple counts, per language group. Saying 1 always gets a balanced accuracy of 0.5."""
     words = F.size(F.split(F.trim("text"), r"\s+"))
     rows = t.documents.join(t.labels, "doc_id").select(
         F.expr("IF(lang = 'en', 'en', 'other')").alias("slice"), "doc_id", "quality", "n_chars", words.alias("n_words"),
         (F.regexp_count("text", F.lit(r"[#*$%&|<>!]")) / F.greatest(F.lit(1), F.length("text"))).alias("symbols"),
         (F.size(F.array_distinct(F.split("text", r"\s+"))) / words).alias("distinct"), "lang")
-    pred, _ = train_predict(rows, "quality", "doc_id", ["lang"], ["n_chars", "n_words", "symbols", "distinct", "lang"], seeds=(42, 43))
+    pred, _ = train_predict(rows, "quality", "doc_id", ["lang"], ["n_chars", "n_words", "symbols", "distinct", "lang"], seeds=_SEEDS)
+    right, t1 = F.col("y_true") == F.col("y_pred"), F.col("y_true") == 1
+    balanced = (F.count_if(right & t1) / F.count_if(t1) + F.count_if(right & ~t1) / F.count_if(~t1)) / 2
     return pred.groupBy("slice", "model_family", "seed").agg(
         F.count(F.lit(1)).alias("n_test"), F.sum("y_true").alias("n_positive"),
-        (F.avg((F.col("y_true") == F.col("y_pred")).cast("int")) >= 0.75).alias("above_floor"))
-
-
-_SEEDS = (42, 43, 44, 45, 46)
+        (balanced >= 0.9).alias("above_floor"))
 
 
 def _many_sql() -> str:
