@@ -53,7 +53,7 @@ def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_square_pack(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return square_pack.digest(square_pack.pack(table(spark, folder, "documents"), path, end_id=1))
+    return square_pack.digest(square_pack.pack(table(spark, folder, "documents"), path, end_id=1), "closed")
 
 
 @query

@@ -149,5 +149,5 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 2048, spaces: bool
     return texts.mapInArrow(_pack(path, spaces, end_id, size), SCHEMA)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "closed")
+def digest(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
