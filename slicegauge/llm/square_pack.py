@@ -6,8 +6,9 @@ level, or to a new window, that makes the sum of squared counts least. Documents
 longer than a window are cut into full windows first and their rest is placed.
 At the end of a task the windows still open are merged, the fullest filled up
 from the emptiest by cutting, so at most one window a task stays partly filled.
-A task leaves some 100 to 200 windows to that merge however much it has read, so
-small partitions are put together until a task has `task_rows` documents; the
+The windows left to that merge grow far slower than what a task reads (96 a task after
+300 documents of the test texts, 509 after 10,000), so small partitions are put
+together until a task has about `task_rows` documents; the
 column `closed` tells how a window was closed: whole (a cut of one long document), rule or merge.
 
 A task holds its open windows only, which the window size bounds. Every id,
