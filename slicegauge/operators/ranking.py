@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import attach, join_on
 from ..functions.hashing import HASH_BUCKETS, hash_bucket
-from ..session import is_small
+from ..session import is_small, materialize
 
 # A group is cut into at most this many ordered value ranges.
 RANGE_BUCKETS = 65536
@@ -112,6 +112,44 @@ def hash_flagged(df: DataFrame, by: Sequence[str], key: str, limit: Column, tie:
     return plain.unionByName(edge).drop("__bucket", "__edge", "__left")
 
 
+def hash_marked(df: DataFrame, by: Sequence[str], key: str, limit: Column, tie: Sequence[str] = (), name: str = "flag",
+                small_bytes: int | None = None) -> DataFrame:
+    """`hash_flagged` for frames that are flagged several times.
+
+    Beyond the small size the bucket counts of a group name its border bucket,
+    the one in which the limit falls, and the rows of that bucket the last row
+    to be flagged. Both are found when called and leave one row per group, so
+    that all rows are flagged as they are read, without a sort or shuffle, and
+    a frame that is flagged several times is still read once.
+    """
+    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    if is_small(df, small_bytes):
+        sized = df.withColumns({"__n": F.count(F.lit(1)).over(group), "__r": F.row_number().over(group.orderBy(key, *tie))})
+        return sized.withColumn(name, F.col("__r") <= limit).drop("__r", "__n")
+    cut = df.select(*by, F.struct(key, *tie).alias("__at"), hash_bucket(F.col(key)).alias("__bucket"))
+    before = materialize(buckets_before(cut, by, "__bucket"))
+    sizes = before.groupBy(*by).agg(F.sum("__in").alias("__n"))
+    left = (limit - F.col("__before")).alias("__left")
+    border = attach(before, sizes, by).select(*by, "__bucket", "__in", left).where("__left > 0")
+    # the last bucket that begins before the limit: its rows up to `__left` are flagged, those of all before it wholly
+    border = border.groupBy(*by).agg(F.max_by(F.struct("__bucket", "__left"), "__bucket").alias("__b")).select(*by, "__b.*")
+    inside = materialize(join_on(cut, materialize(border), [*by, "__bucket"]).withColumn("__r", F.row_number().over(group.orderBy("__at"))))
+    last = inside.where(F.col("__r") <= F.col("__left")).groupBy(*by).agg(F.max("__at").alias("__last"), F.max("__r").alias("__in"))
+    # rows that equal the last one in key and tie and lie behind the limit
+    equal = join_on(inside, last, by).where((F.col("__at") == F.col("__last")) & (F.col("__r") > F.col("__in")))
+    beyond = equal.groupBy(*by).agg(F.count(F.lit(1)).alias("__beyond"))
+    last = materialize(join_on(last, beyond, by, "left").drop("__in"))
+    at = F.struct(key, *tie)
+    seen = join_on(df, last, by, "left") if by else df.crossJoin(F.broadcast(last))
+    ahead = F.coalesce(at <= F.col("__last"), F.lit(False))
+    if last.where("__beyond > 0").isEmpty():
+        return seen.withColumn(name, ahead).drop("__last", "__beyond")
+    tied = F.coalesce((at == F.col("__last")) & (F.col("__beyond") > 0), F.lit(False))
+    some = seen.where(tied).withColumns({"__k": F.count(F.lit(1)).over(group), "__r": F.row_number().over(group.orderBy(key))})
+    some = some.withColumn(name, F.col("__r") <= F.col("__k") - F.col("__beyond")).drop("__k", "__r")
+    return seen.where(~tied).withColumn(name, ahead).unionByName(some).drop("__last", "__beyond")
+
+
 def hash_picked(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, position: str, tie: Sequence[str] = (),
                 small_bytes: int | None = None) -> DataFrame:
     """The rows at the wanted positions (per group, from 1) of the order of a draw key, each as often as it is wanted.

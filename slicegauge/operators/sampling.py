@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import join_on
 from ..functions.hashing import draw_int, draw_key
-from .ranking import first_rows, hash_flagged, hash_picked, hash_ranked
+from .ranking import first_rows, hash_flagged, hash_marked, hash_picked, hash_ranked
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42, by: Sequence[str] = (),
@@ -166,6 +166,17 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int, test_size:
     return hash_flagged(keyed, [*by, label], "__k", n_test, [key], name, small_bytes).drop("__k")
 
 
+def stratified_splits(df: DataFrame, label: str, key: str, seeds: Sequence[int], names: Sequence[str], test_size: float = 0.2,
+                      by: Sequence[str] = (), small_bytes: int | None = None) -> DataFrame:
+    """The flags of `stratified_split` for several seeds, each under its name: the rows are read once, however many seeds."""
+    n_test = F.bround(F.col("__n") * F.lit(float(test_size)), 0)
+    out = df
+    for seed, name in zip(seeds, names):
+        keyed = out.withColumn("__k", draw_key(seed, "split", F.col(key)))
+        out = hash_marked(keyed, [*by, label], "__k", n_test, [key], name, small_bytes).drop("__k")
+    return out
+
+
 def quota_per_category(df: DataFrame, category: Column, order: str, categories: Sequence[str], n: int,
                        read_cap: int | None = None, small_bytes: int | None = None) -> DataFrame:
     """First n rows of each listed category by arrival.

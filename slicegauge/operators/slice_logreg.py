@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import melt
+from ..functions.columns import attach, melt
 from ..session import materialize
 from .fairness import PREFIX
 from .models import MIN_ROWS, feature_frame
-from .sampling import stratified_split
+from .sampling import stratified_splits
 
 BLOCK_ROWS = 4096
 MAX_WIDTH = 512
@@ -72,14 +72,13 @@ def blocks(slices: DataFrame, target: str, key: str, features: Sequence[str], se
     nan = F.lit(float("nan"))
     cells = [F.coalesce(F.col(c), nan) if level is None else F.when(F.col(c).isNull(), nan).otherwise((F.col(c) == level).cast("double"))
              for c, level in columns]
-    split = flat.select("slice", "__row", "y_true")
+    size = flat.groupBy("slice").agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") >= MIN_ROWS)
     tests = [f"__t{i}" for i in range(len(seeds))]
-    for t, seed in zip(tests, seeds):
-        split = stratified_split(split, "y_true", "__row", seed, test_size, ["slice"], t)
-    size = flat.groupBy("slice").agg(F.count(F.lit(1)).alias("__n"))
-    rows = flat.withColumn("x", F.array(*cells)).join(split.drop("y_true"), ["slice", "__row"]).join(size, "slice").where(F.col("__n") >= MIN_ROWS)
+    # the flags are columns of the rows themselves, so that all seeds share one scan and need no join
+    rows = stratified_splits(attach(flat, size, ["slice"]), "y_true", "__row", seeds, tests, test_size, ["slice"])
+    rows = rows.withColumn("x", F.array(*cells))
     # a block gets BLOCK_ROWS rows on average, whatever the size of its slice
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row"), F.ceil(F.col("__n") / BLOCK_ROWS)))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row"), F.ceil(F.col("__rows") / BLOCK_ROWS)))
     prot = [PREFIX + p for p in protected]
     out = rows.select("slice", "__part", "__row", "y_true", "x", *tests, *prot).groupBy("slice", "__part").applyInArrow(
         _pack(tests, prot), "slice string, rows int, x binary, y binary, test binary, keys array<string>" + "".join(f", `{p}` array<string>" for p in prot))
