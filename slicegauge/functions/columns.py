@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import sql
+from ..session import is_small, materialize
 
 FLOATS = (T.FloatType, T.DoubleType)
 # Texts up to this length are compared as they are, longer ones by digest.
@@ -84,10 +85,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 def attach(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Add a one-row-per-group result to the rows of the groups.
 
-    Without group keys the single row is a scalar subquery, not a join.
+    Without group keys the single row is a scalar subquery, not a join. For
+    rows beyond the small size the result is written first: Spark then knows
+    how small it is and broadcasts it, where it would otherwise shuffle and
+    sort the rows by group before it knows, a whole group in one task.
     """
     if by:
-        return join_on(df, right, by, how)
+        return join_on(df, right if is_small(df) else materialize(right), by, how)
     one = right.select(F.struct(*right.columns)).scalar()
     return df.select("*", one.alias("__one")).select(*df.columns, "__one.*")
 
