@@ -21,7 +21,8 @@ SECURITY_FIELDS = ("checksum_published", "signed_releases", "access_logging", "c
 CONTEST_FIELDS = ("subject_access_process", "correction_process", "deletion_process",
                   "contact_for_subject_rights")
 
-# What each documented category is worth.
+# What each documented category is worth. Sums of them are taken as decimals:
+# 0.8 - 0.1 in doubles lies above 0.7, and a composite then fails a gate that it meets.
 OBJECTIVITY = {"measurement": 1.0, "transactional": 1.0, "reference": 1.0, "mixed": 0.5,
                "opinion": 0.1, "review": 0.1, "subjective_survey": 0.1}
 BREADTH = {"narrow": 0.0, "medium": 0.3, "broad": 0.7, "web_scale": 1.0}
@@ -127,8 +128,8 @@ def factual_decay_rate(meta: Metadata, as_of: str, half_life_days: float = 365.0
 
 def poisoning_risk(write_controls: str, crypto: str, source_count: str) -> str:
     """Risk left after access control, signatures and up to five independent sources."""
-    return (f"(1.0D - CAST({write_controls} AS INT) * 0.4D - CAST({crypto} AS INT) * 0.3D"
-            f" - least(0.3D, ({source_count} - 1) * 0.075D))")
+    return (f"CAST(1.0 - CAST({write_controls} AS INT) * 0.4 - CAST({crypto} AS INT) * 0.3"
+            f" - least(0.3, ({source_count} - 1) * 0.075) AS DOUBLE)")
 
 
 def poisoning_susceptibility(meta: Metadata) -> Proxy:
@@ -143,7 +144,8 @@ def adversarial_provenance_risk(meta: Metadata) -> Proxy:
     """User-generated share, scraping breadth and anonymity as one weighted sum."""
     ugc, anon = meta.number("ugc_fraction", 0.0), meta.truthy("anonymous_contributions")
     breadth = f"coalesce({meta.text('scraping_breadth')}, 'narrow')"
-    risk = f"({ugc} * 0.5D + {sql.choose(breadth, BREADTH, '0.5D')} * 0.3D + CAST({anon} AS INT) * 0.2D)"
+    known = f"CAST({sql.choose(breadth, BREADTH, '0.5D')} AS DECIMAL(4, 2))"
+    risk = f"({ugc} * 0.5D + CAST({known} * 0.3 AS DOUBLE) + CAST(CAST({anon} AS INT) * 0.2 AS DOUBLE))"
     return Proxy("adversarial_provenance_risk", risk, raw_value=risk, details={
         "ugc_fraction": ugc, "anonymous_contributions": anon, "scraping_breadth": breadth})
 
@@ -153,8 +155,9 @@ def consent_provenance(meta: Metadata) -> Proxy:
     kind = f"coalesce({meta.text('consent_type')}, 'none')"
     documented = meta.truthy("subject_consent_documented")
     licensed, dua = meta.truthy("license_for_current_use"), meta.truthy("data_use_agreement")
-    risk = (f"({sql.choose(kind, CONSENT, '1.0D')} - CAST({documented} AS INT) * 0.1D"
-            f" - CAST({licensed} AS INT) * 0.05D - CAST({dua} AS INT) * 0.05D)")
+    basis = f"CAST({sql.choose(kind, CONSENT, '1.0D')} AS DECIMAL(4, 2))"
+    risk = (f"CAST({basis} - CAST({documented} AS INT) * 0.1"
+            f" - CAST({licensed} AS INT) * 0.05 - CAST({dua} AS INT) * 0.05 AS DOUBLE)")
     return Proxy("consent_provenance", risk, raw_value=risk, details={
         "consent_type": kind, "subject_consent_documented": documented,
         "license_present": licensed, "data_use_agreement_present": dua})
