@@ -220,7 +220,8 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
     """(by, value, avg_rank): rank of each distinct value, ties sharing their mean rank.
 
     Equal values are counted first, so a value held by a third of all rows is
-    one row from the first shuffle on.
+    one row from the first shuffle on. Beyond the small size the counts are
+    written, as both levels of ranges start from them.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.groupBy(*by, value).agg(n.alias("__n"))
@@ -228,6 +229,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
         prev = F.coalesce(F.sum("__n").over(_preceding(by, value)), F.lit(0))
         out = counts.withColumn("__prev", prev)
     else:
+        counts = materialize(counts)
         # two levels, each within its own range: a crowd of close values next to
         # far outliers is one cell of the first level and spread by the second
         outer = with_value_bucket(counts, by, value, "__b1", CELLS)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import attach, gather, join_on, no_nan
 from ..functions.hashing import draw_int, draw_key
-from ..session import materialize
+from ..session import is_small, materialize
 from .ranking import average_ranks, hash_ranked
 
 MIN_PAIRS = 3
@@ -64,11 +64,13 @@ def _spearman_parts(pairs: DataFrame, g: Sequence[str], small_bytes: int | None)
     """(g, n, spearman_rho) for a long frame with x and y.
 
     Pairs are counted first: equal pairs collapse map-side and the two rank
-    joins meet one row per distinct pair.
+    joins meet one row per distinct pair. Beyond the small size the counts and
+    ranks are written: few ranks are then known to be few and broadcast.
     """
-    joint = pairs.groupBy(*g, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    rx = average_ranks(joint, g, "x", "c", small_bytes).withColumnRenamed("avg_rank", "rx")
-    ry = average_ranks(joint, g, "y", "c", small_bytes).withColumnRenamed("avg_rank", "ry")
+    written = (lambda df: df) if is_small(pairs, small_bytes) else materialize
+    joint = written(pairs.groupBy(*g, "x", "y").agg(F.count(F.lit(1)).alias("c")))
+    rx = written(average_ranks(joint, g, "x", "c", small_bytes).withColumnRenamed("avg_rank", "rx"))
+    ry = written(average_ranks(joint, g, "y", "c", small_bytes).withColumnRenamed("avg_rank", "ry"))
     both = join_on(join_on(joint, rx, [*g, "x"]), ry, [*g, "y"])
     # the mean rank is (n + 1) / 2 by definition
     n = F.sum("c")
