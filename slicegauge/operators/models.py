@@ -48,44 +48,65 @@ class EarlyStopped(Estimator):
     """A perceptron fitted in rounds of `step` iterations, each starting from the weights of the one before.
 
     After every round the mean log loss of the validation rows (`is_valid`) is
-    taken; the fit ends when it has not fallen by `tol` for `patience` rounds,
-    when the optimiser converges, or at `max_iter`. The weights of the best
-    round stay. Without rows on both sides it is a plain fit.
+    taken; a start ends when it has not fallen by `tol` for `patience` rounds,
+    when the optimiser converges, gives up or leaves the finite range. A start
+    that tells the validation rows no better than their label shares is stuck:
+    the fit starts again from other weights, `starts` times and `max_iter`
+    iterations in all at most. The weights of the best round of all stay.
+    Without rows on both sides it is a plain fit.
     """
 
-    def __init__(self, layers: Sequence[int], seed: int, max_iter: int = 500, step: int = 20, patience: int = 2, tol: float = 1e-4):
+    def __init__(self, layers: Sequence[int], seed: int, max_iter: int = 500, step: int = 20, patience: int = 2, tol: float = 1e-4, starts: int = 3):
         super().__init__()
-        self.layers, self.seed, self.max_iter, self.step, self.patience, self.tol = list(layers), seed, max_iter, step, patience, tol
+        self.layers, self.seed, self.max_iter, self.step, self.patience, self.tol, self.starts = list(layers), seed, max_iter, step, patience, tol, starts
 
     def setMaxIter(self, value: int) -> EarlyStopped:
         self.max_iter = value
         return self
 
-    def _round(self, train: DataFrame, iterations: int, weights) -> Model:
-        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y_true", layers=self.layers, maxIter=iterations, seed=self.seed)
+    def _round(self, train: DataFrame, iterations: int, weights, seed: int) -> Model:
+        net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y_true", layers=self.layers, maxIter=iterations, seed=seed)
         return (net if weights is None else net.setInitialWeights(weights)).fit(train)
 
-    def _fit(self, ready: DataFrame) -> Model:
-        train, valid = ready.where(~F.col("is_valid")), ready.where("is_valid")
-        if train.isEmpty() or valid.isEmpty():
-            model = self._round(ready, self.max_iter, None)
-            model.iterations = model.summary().totalIterations
-            return model
+    def _start(self, train: DataFrame, valid: DataFrame, seed: int, most: int) -> tuple[Model | None, float, int]:
+        """Best model of one start, its validation loss and the iterations taken."""
         p = F.greatest(F.lit(1e-15), vector_to_array("probability")[F.col("y_true").cast("int")])
         best, least, waited, done, weights = None, math.inf, 0, 0, None
-        while done < self.max_iter and waited < self.patience:
-            ask = min(self.step, self.max_iter - done)
-            model = self._round(train, ask, weights)
+        while done < most and waited < self.patience:
+            ask = min(self.step, most - done)
+            model = self._round(train, ask, weights, seed)
             ran, weights = model.summary().totalIterations, model.weights
             done += ran
             loss = model.transform(valid).agg(F.avg(-F.log(p))).first()[0]
             if not math.isfinite(loss):
-                raise ArithmeticError("the optimiser left the finite range")
+                break
             waited = 0 if loss < least - self.tol else waited + 1
             if loss < least:
                 best, least = model, loss
             if ran < ask:
                 break
+        return best, least, done
+
+    def _fit(self, ready: DataFrame) -> Model:
+        train, valid = ready.where(~F.col("is_valid")), ready.where("is_valid")
+        sides = {r["is_valid"]: r for r in ready.groupBy("is_valid").agg(F.avg("y_true").alias("share")).collect()}
+        if len(sides) < 2:
+            model = self._round(ready, self.max_iter, None, self.seed)
+            model.iterations = model.summary().totalIterations
+            return model
+        # log loss of the validation rows if every one got the share of label 1
+        share = sides[True]["share"]
+        stuck = -sum(x * math.log(x) for x in (share, 1 - share) if x > 0) * 0.99
+        best, least, done = None, math.inf, 0
+        for i in range(self.starts):
+            model, loss, ran = self._start(train, valid, self.seed + i * 7919, self.max_iter - done)
+            done += ran
+            if loss < least:
+                best, least = model, loss
+            if least < stuck or done >= self.max_iter:
+                break
+        if best is None:
+            raise ArithmeticError("the optimiser left the finite range")
         best.iterations = done
         return best
 

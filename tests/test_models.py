@@ -2,7 +2,8 @@
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from slicegauge.operators import fairness as fm
@@ -52,6 +53,38 @@ def test_early_stopping(spark):
     assert loss(EarlyStopped([2, 8, 2], 1, max_iter=40, step=10, patience=9).fit(ready)) <= loss(first)
 
 
+def test_a_stuck_start_is_left_and_a_good_round_is_kept(spark):
+    """Equal weights never part; a later round out of the finite range costs its own weights only."""
+    ready = spark.range(400).selectExpr("randn(1) AS a", "randn(2) AS b", "id % 7 = 0 AS is_valid").selectExpr(
+        "a", "b", "CAST(a > 0.5 AS DOUBLE) AS y_true", "is_valid")
+    ready = materialize(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(ready))
+
+    class Lost:
+        def __init__(self, model):
+            self.weights, self.summary, self.model = model.weights, model.summary, model
+
+        def transform(self, df):
+            nan = F.lit(float("nan"))
+            return self.model.transform(df).withColumn("probability", array_to_vector(F.array(nan, nan)))
+
+    class Stuck(EarlyStopped):
+        def _round(self, train, iterations, weights, *seed):
+            if weights is None and seed in ((), (self.seed,)):
+                model = super()._round(train, 1, None, *seed)
+                weights = Vectors.dense([0.0] * model.weights.size)
+            return super()._round(train, iterations, weights, *seed)
+
+    class Leaves(EarlyStopped):
+        def _round(self, train, iterations, weights, *seed):
+            model = super()._round(train, iterations, weights, *seed)
+            return model if weights is None else Lost(model)
+
+    hit = (vector_to_array("probability")[1] >= 0.5) == (F.col("y_true") == 1)
+    for kind in (Stuck, Leaves):
+        model = kind([2, 8, 2], 1, max_iter=120, step=20).fit(ready)
+        assert model.transform(ready.where("is_valid")).agg(F.avg(hit.cast("int"))).first()[0] > 0.9, kind
+
+
 def test_unseen_labels_and_modes(spark, rows):
     flat, nums, cats = feature_frame(rows, ["x", "c"], ["key"])
     assert most_frequent(flat, cats) == {"x__c": "u"}
