@@ -11,16 +11,17 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import as_double, melt, numeric_columns
+from ..functions.columns import as_double, numeric_columns
 from ..functions.hashing import draw_int, draw_key
 from ..session import materialize, new_table
 from .fairness import PREFIX
@@ -29,6 +30,8 @@ from .sampling import stratified_split
 MIN_ROWS = 50
 # Share of the training rows that early stopping validates on, by the md5 order of their keys.
 VALIDATION_SHARE = 0.15
+# Up to so many levels of all text columns, the feature vector is one array of plain expressions.
+NARROW = 64
 # Training rows that make a partition of their own.
 PARTITION_ROWS = 50_000
 
@@ -127,13 +130,18 @@ def iterations_of(model: Model) -> int | None:
 FAMILIES: dict[str, Callable[[int, int, int], Estimator]] = {"logreg": logreg, "gbt": gbt, "mlp": mlp}
 
 
+def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, c): rows of every level of the text columns. A scan per column reads that column only, and no row is multiplied."""
+    each = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")) for c in columns]
+    return reduce(DataFrame.unionByName, each)
+
+
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Mode of each text column, smallest value on ties: one row per column is collected."""
     if not columns:
         return {}
-    long = melt(df, [], {c: F.col(c).cast("string") for c in columns}).where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("c"), F.col("value"))).alias("mode"))
+    top = level_counts(df, columns).groupBy("column").agg(F.min_by("value", F.struct(-F.col("c"), F.col("value"))).alias("mode"))
     return {r["column"]: r["mode"] for r in top.collect()}
 
 
@@ -145,8 +153,45 @@ def feature_frame(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -
     return df.select(*keep, *cols), [f"x__{c}" for c in nums], [f"x__{c}" for c in cats]
 
 
+class Prepared(Transformer):
+    """Features from known means, scales and levels, as one array of plain expressions that becomes a vector once."""
+
+    def __init__(self, numbers: Sequence[tuple[str, float, float]], levels: Sequence[tuple[str, str]]):
+        super().__init__()
+        self.numbers, self.levels = list(numbers), list(levels)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cells = [(F.coalesce(F.col(c), F.lit(mean)) - mean) * F.lit(1 / dev if dev else 0.0) for c, mean, dev in self.numbers]
+        cells += [F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0)) for c, level in self.levels]
+        return df.withColumn("features", array_to_vector(F.array(*cells))).withMetadata("features", {"ml_attr": {"num_attrs": len(cells)}})
+
+
 def preprocessor(train: DataFrame, nums: Sequence[str], cats: Sequence[str]) -> tuple[Pipeline, dict[str, str]]:
-    """Mean-impute and standardize numbers, one-hot text; unseen labels are all zeros."""
+    """Mean-impute and standardize numbers, one-hot text; unseen labels are all zeros.
+
+    Two reads of the training rows tell all that is fitted. With more than
+    `NARROW` levels Spark ML's stages take over, whose vectors are sparse.
+    """
+    found = level_counts(train, cats).limit(NARROW + 1).collect() if cats else []
+    if len(found) > NARROW:
+        return _wide_preprocessor(train, nums, cats)
+    levels = {c: sorted((r["value"], r["c"]) for r in found if r["column"] == c) for c in cats}
+    modes = {c: max(pairs, key=lambda p: p[1])[0] for c, pairs in levels.items() if pairs}
+    numbers = []
+    if nums:
+        fits = [F.struct(F.count(c).alias("k"), F.avg(c).alias("mean"), F.var_samp(c).alias("var")).alias(c) for c in nums]
+        have = train.agg(F.count(F.lit(1)).alias("n"), *fits).first()
+        # an imputed cell adds nothing to the squares; a column without any training value carries nothing to impute from
+        numbers = [(c, have[c]["mean"], math.sqrt((have[c]["var"] or 0.0) * (have[c]["k"] - 1) / max(1, have["n"] - 1)))
+                   for c in nums if have[c]["k"] > 0]
+    hot = [(c, value) for c, pairs in levels.items() for value, _ in pairs]
+    if not numbers and not hot:
+        raise ValueError("no feature has a training value")
+    return Pipeline(stages=[Prepared(numbers, hot)]), modes
+
+
+def _wide_preprocessor(train: DataFrame, nums: Sequence[str], cats: Sequence[str]) -> tuple[Pipeline, dict[str, str]]:
+    """The same by Spark ML's stages."""
     # a column without any training value carries nothing to impute from
     if nums:
         have = train.agg(*[F.count(c).alias(c) for c in nums]).first()
@@ -173,19 +218,22 @@ def preprocessor(train: DataFrame, nums: Sequence[str], cats: Sequence[str]) ->
 def _split_fits(rows: DataFrame, n: int, nums: list[str], cats: list[str], name: str, seed: int, families, test_size, factories, path: str):
     """Outcome rows of one slice and seed; every fit's predictions are a folder of their own under `path`."""
     try:
-        split = materialize(stratified_split(rows, "y_true", "__key", seed, test_size))
+        # the md5 of the key picks the validation rows, so that they need no shuffle and never change; the key itself is done with
+        valid = draw_int(draw_key(seed, "valid", F.col("__key"))) % 10_000 < int(VALIDATION_SHARE * 10_000)
+        split = materialize(stratified_split(rows, "y_true", "__key", seed, test_size).withColumn("is_valid", valid).drop("slice", "__key"))
         train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
         pipe, modes = preprocessor(train, nums, cats)
         prepared = pipe.fit(train.fillna(modes))
-        # the md5 of the key picks the validation rows, so that they need no shuffle and never change
-        valid = draw_int(draw_key(seed, "valid", F.col("__key"))) % 10_000 < int(VALIDATION_SHARE * 10_000)
-        ready = prepared.transform(train.fillna(modes)).select("features", "y_true", valid.alias("is_valid"))
+        ready = prepared.transform(train.fillna(modes)).select("features", "y_true", "is_valid")
         held = prepared.transform(test.fillna(modes))
         n_train = train.count()
         n_test = n - n_train
         width = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
         # every iteration is a job over these partitions: small ones are put together
-        ready = materialize(ready.coalesce(max(1, n_train // PARTITION_ROWS)))
+        ready = ready.coalesce(max(1, n_train // PARTITION_ROWS))
+        # the logistic regression reads its rows twice and then holds them itself; all else comes back to them
+        if any(factories[f] is not logreg for f in families):
+            ready = materialize(ready)
     except Exception as e:  # one bad split must not stop the grid
         return [(name, None, seed, "failed", f"{type(e).__name__}: {e}", 0, 0, None, None)]
     outcomes = []

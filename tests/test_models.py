@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slicegauge.operators import fairness as fm
 from slicegauge.session import materialize
-from slicegauge.operators.models import EarlyStopped, FAMILIES, iterations_of, gbt, most_frequent, preprocessor, feature_frame, train_predict
+from slicegauge.operators.models import EarlyStopped, FAMILIES, iterations_of, gbt, most_frequent, preprocessor, feature_frame, train_predict, _wide_preprocessor
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,18 @@ def test_unseen_labels_and_modes(spark, rows):
     new = spark.createDataFrame([(1, 5.0, "never")], "key long, x__x double, x__c string")
     v = model.transform(new).first().features.toArray()
     assert len(v) == 3 and list(v[1:]) == [0.0, 0.0]
+
+
+def test_features_are_one_expression(spark, rows):
+    """Same vectors as Spark ML's stages (many levels take those), but one function call a row instead of one a stage."""
+    flat, nums, cats = feature_frame(rows, ["x", "c", "void", "sex"], ["key"])
+    got, want = preprocessor(flat, nums, cats), _wide_preprocessor(flat, nums, cats)
+    assert got[1] == want[1]
+    filled = flat.fillna(got[1])
+    vectors = [p.fit(filled).transform(filled).select("key", "features") for p in (got[0], want[0])]
+    for a, b in zip(*(v.orderBy("key").collect() for v in vectors)):
+        assert a.features.toArray() == pytest.approx(b.features.toArray(), abs=1e-12)
+    calls = [v._jdf.queryExecution().optimizedPlan().toString().count("UDF(") for v in vectors]
+    assert calls[0] == 1 < calls[1]
+    many, _, wide = feature_frame(rows.withColumn("c", F.concat(F.lit("v"), F.col("key") % 90)), ["c"], ["key"])
+    assert len(preprocessor(many, [], wide)[0].fit(many).transform(many).first().features) == 90
