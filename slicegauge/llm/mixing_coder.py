@@ -323,14 +323,13 @@ def _writer(path: str, end_id: int, group_tokens: int):
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int32()),
                 pa.array([held], pa.int64()), pa.array([pack_group(doc_ids, docs)], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
-        for b in batches:
-            for doc_id, ids in encoded(enc, b):
-                ids += end
-                doc_ids.append(doc_id), docs.append(ids)
-                held += len(ids) // 4
-                if held >= group_tokens:
-                    yield group()
-                    doc_ids, docs, held, seq = [], [], 0, seq + 1
+        for doc_id, ids in encoded(enc, batches):
+            ids += end
+            doc_ids.append(doc_id), docs.append(ids)
+            held += len(ids) // 4
+            if held >= group_tokens:
+                yield group()
+                doc_ids, docs, held, seq = [], [], 0, seq + 1
         if docs:
             yield group()
     return run

@@ -111,20 +111,19 @@ def _pack(path: str, spaces: bool, end_id: int, size: int):
                 at += length
             made, held = made + 1, held + at
 
-        for b in batches:
-            for doc_id, ids in encoded(enc, b):
-                ids += end
-                n = len(ids) // 4
-                whole = n - n % size
-                for start in range(0, whole, size):
-                    emit([((doc_id, n, ids, 0), start, size)], "whole")
-                if whole < n:
-                    filled = packer.place(((doc_id, n, ids[4 * whole:], whole), whole, n - whole))
-                    if filled:
-                        emit(filled, "rule")
-                if held > 500_000:
-                    yield _rows(rows)
-                    rows, held = [], 0
+        for doc_id, ids in encoded(enc, batches):
+            ids += end
+            n = len(ids) // 4
+            whole = n - n % size
+            for start in range(0, whole, size):
+                emit([((doc_id, n, ids, 0), start, size)], "whole")
+            if whole < n:
+                filled = packer.place(((doc_id, n, ids[4 * whole:], whole), whole, n - whole))
+                if filled:
+                    emit(filled, "rule")
+            if held > 500_000:
+                yield _rows(rows)
+                rows, held = [], 0
         for window in packer.finish():
             emit(window, "merge")
         yield _rows(rows)

@@ -42,6 +42,20 @@ def test_pieces_give_the_tokenizers_ids(spark, data, path, spaces):
             assert np.frombuffer(got, "<u4").tolist() == w.ids, repr(t)
 
 
+@pytest.mark.parametrize("path,spaces", [(WORD_BPE, False), (BYTE_BPE, True)])
+def test_each_new_word_is_encoded_once(path, spaces):
+    enc, learnt = Encoder(path, spaces), []
+    plain = enc.learn
+    enc.learn = lambda new: learnt.extend(new) or plain(new)
+    texts = ["x alpha beta gamma", "x alpha, beta! alpha?! gamma. alpha,", "x Élan straße, Ÿ, naïve' 12, 12 ab' 'll, a1.\nalpha\n", "x alpha, (beta) a-b, [alpha"]
+    got = [enc.ids([t])[0] for t in texts * 2]
+    want = Tokenizer.from_file(path).encode_batch(texts * 2, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+    assert len(learnt) == len(set(learnt))
+    assert not {p.strip() for p in learnt} & {"alpha,", "alpha?!", "beta!", "gamma."}  # marks are cut from words first
+    assert enc.ids([" ".join(texts), None, ""])[1:] == [b"", b""]
+
+
 def test_lanes_round_trip():
     rng = np.random.default_rng(3)
     for lanes, steps, top in ((1, 1, 65536), (1, 700, 3), (3, 1500, 65536), (40, 600, 300)):
