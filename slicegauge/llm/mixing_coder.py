@@ -1,16 +1,18 @@
 """Token-id output by an adaptive context-mixing range coder (operator 3).
 
-Ids are coded in blocks; each block starts from an empty model and carries a
-checksum, so it can be read alone. Per id three predictors look at the ids
-before it: order 2 and order 1 each remember the id that last followed their
-context and how often it held, order 0 counts frequent ids. Three adaptive
-distributions over the outcomes (order 2 is right, order 1 is right, the id is
-among order 0's, it is new) are mixed by weights that follow their success; the
-mixture and then order 0's frequencies drive a 64-bit range coder.
+Ids are coded in blocks, each with its own stream and checksum. Per id three
+predictors look at the ids before it: order 2 and order 1 each remember the id
+that last followed their context and how often it held, order 0 counts ids.
+Three adaptive distributions over the outcomes (order 2 is right, order 1 is
+right, the id is among order 0's, it is new) are mixed by weights that follow
+their success; the mixture and then order 0's frequencies drive a 64-bit range
+coder.
 
 The blocks of a group run side by side as lanes of numpy arrays, so a step codes
-one id of every block. Only additions and products of floats are used, which
-give the same bits wherever the file is read.
+one id of every block. All lanes share one model, which starts empty and learns
+after every few steps: until then the mixture of each of its 2048 states is
+fixed, so an id costs a look into tables. A group, not a block, can be read
+alone. Only integers are used, which give the same bits wherever the file is read.
 
 Documents are dealt into ranges of ascending id and a task writes its range as a
 Parquet table with one row per group of whole documents: payload, and a plain
@@ -27,6 +29,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,121 +40,110 @@ from pyspark.sql import functions as F
 from .base import importable, ranked, shuffle_parts
 from .tokens import encoded, encoder
 
-MAGIC = b"CMR1"
-BLOCK = 2048
-LANES = 1024
-SLOTS = 1024
+MAGIC = b"CMR2"
+BLOCK = 1024
+LANES = 2048
+STATES = 2048
 # Words remembered beside the lanes' arrays: less than where tokens are all a worker holds.
 REMEMBERED = 400_000
-SCALE = 13
-RATE = np.float32(0.04)
-LEAST = np.float32(0.00004)
+EMPTY = np.int64(1 << 23)
+LEARNT = 4
+MIX = 14
+MIX_BITS, ID_BITS, WORD_BITS, WORD = np.uint64(MIX), np.uint64(16), np.uint64(32), np.uint64(1 << 32)
 GROUP_SCHEMA = "part int, seq int, n_docs int, n_tokens long, payload binary"
 
 
 class Model:
-    """Predictors of all lanes. Encoder and decoder take the same steps.
+    """Predictors and mixture that all lanes share. Encoder and decoder take the same steps, in integers only.
 
-    A distribution is four float32; tables keep it as one 16-byte item, so that
-    looking it up and storing it moves whole items.
+    A slot of orders 1 and 2 holds the id that followed, shifted by seven bits,
+    and how often it held (0 to 7) where the state has it. The state of an id
+    is the last two outcomes of its lane, both slots' counts and whether they agree.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.p1, self.c1 = np.zeros(lanes << 12, np.uint16), np.zeros(lanes << 12, np.int8)
-        self.p2, self.c2 = np.zeros(lanes << 13, np.uint16), np.zeros(lanes << 13, np.int8)
-        first = np.array([0.25, 0.15, 0.3, 0.3], np.float32).view(np.complex128)
-        self.tables = [np.repeat(first, lanes * 16) for _ in range(3)]
-        self.w = [np.full(lanes, np.float32(1 / 3)) for _ in range(3)]
-        self.prev, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.history = np.zeros(lanes, np.int64)
-        self.base, self.row, self.bound = self.lane << 4, self.lane << 2, self.lane * 5
-        self.base1, self.base2, self.slots = self.lane << 12, self.lane << 13, self.lane * SLOTS
-        self.cum = np.zeros((lanes, 5), np.int32)
-        self.cum[:, 4] = 65536
-        self.tag, self.count = np.full(lanes * SLOTS, -1, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.tag0 = self.tag.copy()
-        self.freq0 = self.cum0 = np.zeros(lanes * SLOTS, np.int64)
-        self.lookup = np.zeros(0, np.uint16)
+    def __init__(self):
+        self.one, self.two = np.full(1 << 16, EMPTY), np.full(1 << 18, EMPTY)
+        state = np.arange(STATES)
+        self.past, count1, count2, agree = state >> 7, state >> 4 & 7, state >> 1 & 7, state & 1
+        self.views = [self.past, count1 | ((count2 > 0) << 3), count2 | (agree << 3)]
+        self.members = [(v == np.arange(16)[:, None]).astype(np.int64) for v in self.views]
+        self.seen = [np.tile(np.array([4, 2, 5, 5]), (16, 1)) for _ in range(3)]
+        self.success = np.full((16, 3), 256)
+        self.count = np.zeros(1 << 16, np.int64)
+        self.refresh()
+        self.mix()
 
     def refresh(self) -> None:
-        """Take order 0's counts over into its coding table."""
-        n = self.count.reshape(-1, SLOTS).astype(np.int64)
-        total = np.maximum(n.sum(axis=1, keepdims=True), 1)
-        freq = np.where(n > 0, 1 + n * ((1 << SCALE) - SLOTS) // total, 0)
-        freq[self.lane, n.argmax(axis=1)] += (1 << SCALE) - freq.sum(axis=1)
-        self.tag0 = self.tag.copy()
-        self.lookup = np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint16), len(freq)), freq.ravel())
-        shift = 16 - SCALE
-        self.cum0 = ((np.cumsum(freq, axis=1) - freq) << shift).ravel()
-        self.freq0 = (freq << shift).ravel()
-
-    def predict(self) -> np.ndarray:
-        """Bounds of the four outcomes of every lane, out of 2^16."""
-        mix = self.prev * 40503
-        self.i1 = self.base1 + (mix >> 4 & 4095)
-        self.i2 = self.base2 + (mix + self.prev2 * 60493 >> 3 & 8191)
-        self.y1, self.k1 = self.p1.take(self.i1), self.c1.take(self.i1)
-        self.y2, self.k2 = self.p2.take(self.i2), self.c2.take(self.i2)
-        self.at = [self.base + self.history, self.base + (self.k1 | ((self.k2 > 0) << 3)), self.base + (self.k2 | ((self.y1 == self.y2) << 3))]
-        self.q = [t.take(i).view(np.float32).reshape(-1, 4) for t, i in zip(self.tables, self.at)]
-        mixed = self.q[0] * self.w[0][:, None]
-        mixed += self.q[1] * self.w[1][:, None]
-        mixed += self.q[2] * self.w[2][:, None]
-        mixed *= np.float32(65000)
-        freq = mixed.astype(np.int32)
-        freq += 1
-        cum = self.cum
-        cum[:, 1] = freq[:, 0]
-        np.add(freq[:, 0], freq[:, 1], out=cum[:, 2])
-        np.add(cum[:, 2], freq[:, 2], out=cum[:, 3])
-        return cum
-
-    def bounds(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and frequency of outcome k of every lane."""
-        at, flat = self.bound + k, self.cum.ravel()
-        start = flat.take(at)
-        return start, flat.take(at + 1) - start
-
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return self.slots + (ids * 40503 >> 5 & (SLOTS - 1))
-
-    def outcome(self, ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        known = (self.tag0.take(slot) == ids) & (self.freq0.take(slot) > 0)
-        k = 3 - known.astype(np.int64)
-        k[(ids == self.y1) & (self.k1 > 0)] = 1
-        k[(ids == self.y2) & (self.k2 > 0)] = 0
-        return k
-
-    def update(self, ids: np.ndarray, k: np.ndarray, slot: np.ndarray) -> None:
-        flat, ws = self.row + k, []
-        for m, q in enumerate(self.q):
-            line = q.ravel()
-            ws.append(self.w[m] * line.take(flat))
-            line *= 1 - RATE
-            line += LEAST  # no outcome ever gets impossible
-            line[flat] += RATE
-            self.tables[m][self.at[m]] = line.view(np.complex128)
-        scale = np.float32(0.97) / (ws[0] + ws[1] + ws[2])
-        self.w = [w * scale + np.float32(0.01) for w in ws]
-        small = ids.astype(np.uint16)
-        for p, c, i, y, n in ((self.p1, self.c1, self.i1, self.y1, self.k1), (self.p2, self.c2, self.i2, self.y2, self.k2)):
-            right = y == small
-            c[i] = np.where(right, np.minimum(n + np.int8(1), 7), np.maximum(n >> 1, 1))
-            p[i] = np.where(right | (n > 2), y, small)
-        tag, count = self.tag.take(slot), self.count.take(slot)
-        same = tag == ids
-        fresh = count <= 1
-        fresh &= ~same
-        self.tag[slot] = np.where(fresh, ids, tag)
-        count += np.where(same, 1, np.where(fresh, 1 - count, -1))
-        self.count[slot] = count
-        self.history = (self.history << 2 & 15) + k
-        self.prev2, self.prev = self.prev, ids
-
-
-def due(t: int) -> bool:
-    return t in (32, 128, 256) or (t and t % 512 == 0)
+        """Take order 0's counts over into its coding table: start and frequency, out of 2^16, of every id; for new ones the id and 1."""
+        n = self.count
+        total, kinds = max(int(n.sum()), 1), int(np.count_nonzero(n))
+        freq = np.where(n > 0, 1 + n * ((1 << 16) - kinds) // total, 0)
+        if kinds:
+            freq[n.argmax()] += (1 << 16) - freq.sum()
+        known = freq > 0
+        self.outcome0 = 3 - known
+        self.freq0 = np.where(known, freq, 1).astype(np.uint64)
+        self.start0 = np.where(known, np.cumsum(freq) - freq, np.arange(1 << 16)).astype(np.uint64)
+        self.lookup = np.repeat(np.arange(1 << 16), freq) if kinds else np.zeros(1 << 16, np.int64)
+
+    def mix(self) -> None:
+        """Start and frequency, out of 2^MIX, of the four outcomes in every state."""
+        share = 1024 + self.success * (65536 - 3 * 1024) // self.success.sum(axis=1, keepdims=True)
+        self.parts = []
+        for m, view in enumerate(self.views):
+            q = self.seen[m] * 65536 // self.seen[m].sum(axis=1, keepdims=True)
+            self.parts.append(q[view] * share[self.past, m][:, None])
+        self.mixed = self.parts[0] + self.parts[1] + self.parts[2]
+        freq = 1 + (self.mixed >> 16) * ((1 << MIX) - 4) // 65536
+        freq[:, 3] = (1 << MIX) - freq[:, :3].sum(axis=1)
+        start = np.cumsum(freq, axis=1) - freq
+        self.freq, self.start = freq.ravel().astype(np.uint64), start.ravel().astype(np.uint64)
+        self.bounds = [start[:, i].astype(np.uint64) for i in (1, 2, 3)]
+
+    def slot(self, prev: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        return (prev2 * 60493 ^ prev << 2) & (1 << 18) - 1
+
+    def look(self, x: np.ndarray, prev: np.ndarray, prev2: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some steps of all lanes: outcomes, state and outcome as one number, and what `learn` needs. past: the two outcomes before."""
+        at2 = self.slot(prev, prev2)
+        e1, e2 = self.one.take(prev), self.two.take(at2)
+        hit1, hit2 = e1 >> 7 == x, e2 >> 7 == x
+        k = self.outcome0.take(x)
+        np.copyto(k, 1, where=hit1)
+        np.copyto(k, 0, where=hit2)
+        rows = np.concatenate([past, k])
+        mark = rows[:-2] << 11
+        mark |= rows[1:-1] << 9
+        mark |= (e1 & 0x70 | e2 & 0xE) << 2
+        mark += (e1 ^ e2 < 128) * 4
+        mark |= k
+        return k, mark, ((self.one, prev, e1, hit1, 4), (self.two, at2, e2, hit2, 1))
+
+    def learn(self, x: np.ndarray, mark: np.ndarray, slots: tuple) -> None:
+        """Take over some steps of all lanes; where lanes meet in a slot, the last step and lane counts."""
+        for table, at, e, hit, shift in slots:
+            held = e >> shift & 7
+            change = np.where(hit, held < 7, (held >> 1) - held)
+            table[at] = np.where(hit | (held > 2), e + (change << shift), x << 7 | 1 << shift)
+        n = np.bincount(mark.ravel(), minlength=4 * STATES).reshape(-1, 4)
+        for m, part in enumerate(self.parts):
+            self.success[:, m] += ((part << 8) // (self.mixed + 1) * n).reshape(16, -1).sum(axis=1)
+            self.seen[m] += self.members[m] @ n
+            self.seen[m] = np.where(self.seen[m].sum(axis=1, keepdims=True) > 1 << 16, self.seen[m] + 1 >> 1, self.seen[m])
+        self.success = np.where(self.success.sum(axis=1, keepdims=True) > 1 << 24, self.success + 1 >> 1, self.success)
+        self.mix()
+        self.count += np.bincount(x.ravel(), minlength=1 << 16)
+
+
+def spans(steps: int) -> Iterator[tuple[int, int, bool, bool]]:
+    """Runs of steps: 1, 1, 2, 4, 8, then 16 each. The model learns after all of the first 128 steps
+    and one run in LEARNT from then on; order 0's coding table follows by then and every 128 steps."""
+    at, size = 0, 1
+    while at < steps:
+        to = min(at + size, steps)
+        yield at, to, to <= 128 or at // size % LEARNT == 0, to <= 128 or to % 128 == 0
+        at += size
+        size = min(at, 16)
 
 
 class Sink:
@@ -161,20 +153,25 @@ class Sink:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64((1 << 64) - 1))
         self.out, self.used = np.zeros((lanes, most), np.uint32), np.zeros(lanes, np.int64)
 
-    def put(self, start: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range >> np.uint64(16)
-        self.low = self.low + start.astype(np.uint64) * r
-        self.range = r * freq.astype(np.uint64)
-        small = np.flatnonzero(self.range < np.uint64(1 << 32))
+    def put(self, start: np.ndarray, freq: np.ndarray, late: np.ndarray, start0: np.ndarray, freq0: np.ndarray) -> None:
+        """Outcomes of all lanes, and order 0's ids of those in `late`."""
+        r = self.range >> MIX_BITS
+        self.low += start * r
+        r *= freq
+        part = r[late] >> ID_BITS
+        self.low[late] += start0 * part
+        r[late] = freq0 * part
+        self.range = r
+        small = np.flatnonzero(r < WORD)
         if len(small):
-            low, width = self.low[small], self.range[small]
-            self.out[small, self.used[small]] = low >> np.uint64(32)
-            self.used[small] += 1
-            self.low[small], self.range[small] = shifted(low, width)
+            low, used = self.low[small], self.used[small]
+            self.out[small, used] = low >> WORD_BITS
+            self.used[small] = used + 1
+            self.low[small], self.range[small] = shifted(low, r[small])
 
     def finish(self) -> list[bytes]:
         lane = np.arange(len(self.low))
-        for part in (self.low >> np.uint64(32), self.low & np.uint64(0xFFFFFFFF)):
+        for part in (self.low >> WORD_BITS, self.low & (WORD - np.uint64(1))):
             self.out[lane, self.used] = part
             self.used += 1
         return [self.out[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.used)]
@@ -182,10 +179,10 @@ class Sink:
 
 def shifted(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One word out: a range that straddles a word border is cut at it first, so no carry is ever owed."""
-    word = np.uint64(32)
-    over = (low ^ (low + width)) >> word != 0
-    width = np.where(over, (~low + np.uint64(1)) & np.uint64(0xFFFFFFFF), width)
-    return low << word, width << word
+    over = low ^ (low + width) >= WORD
+    if over.any():
+        width = np.where(over, (~low + np.uint64(1)) & (WORD - np.uint64(1)), width)
+    return low << WORD_BITS, width << WORD_BITS
 
 
 class Source:
@@ -197,70 +194,103 @@ class Source:
         for i, x in enumerate(words):
             self.words[i, :len(x)] = x
         self.low, self.range = np.zeros(len(words), np.uint64), np.full(len(words), np.uint64((1 << 64) - 1))
-        self.gap = self.words[:, 0] << np.uint64(32) | self.words[:, 1]
+        self.gap = self.words[:, 0] << WORD_BITS | self.words[:, 1]
         self.used = np.full(len(words), 2)
 
-    def look(self) -> np.ndarray:
-        self.r = self.range >> np.uint64(16)
-        return np.minimum(self.gap // self.r, np.uint64(65535)).astype(np.int64)
-
-    def take(self, start: np.ndarray, freq: np.ndarray) -> None:
-        step = start.astype(np.uint64) * self.r
-        self.low, self.gap = self.low + step, self.gap - step
-        self.range = self.r * freq.astype(np.uint64)
-        small = np.flatnonzero(self.range < np.uint64(1 << 32))
+    def outcome(self) -> np.ndarray:
+        """Where every lane's outcome lies, out of 2^MIX."""
+        self.r = self.range >> MIX_BITS
+        return np.minimum(self.gap // self.r, np.uint64((1 << MIX) - 1))
+
+    def take_outcome(self, start: np.ndarray, freq: np.ndarray) -> None:
+        start *= self.r
+        self.low += start
+        self.gap -= start
+        self.range = self.r * freq
+
+    def id(self, late: np.ndarray) -> np.ndarray:
+        """Where the ids of the lanes in `late` lie in order 0's table."""
+        self.late, self.part, self.rest = late, self.range[late] >> ID_BITS, self.gap[late]
+        return np.minimum(self.rest // self.part, np.uint64(65535)).view(np.int64)
+
+    def take_id(self, start: np.ndarray, freq: np.ndarray) -> None:
+        step = start * self.part
+        self.low[self.late] += step
+        self.gap[self.late] = self.rest - step
+        self.range[self.late] = self.part * freq
+
+    def refill(self) -> None:
+        small = np.flatnonzero(self.range < WORD)
         if len(small):
-            self.gap[small] = self.gap[small] << np.uint64(32) | self.words[small, np.minimum(self.used[small], self.words.shape[1] - 1)]
-            self.used[small] += 1
+            used = self.used[small]
+            self.gap[small] = self.gap[small] << WORD_BITS | self.words[small, np.minimum(used, self.words.shape[1] - 1)]
+            self.used[small] = used + 1
             self.low[small], self.range[small] = shifted(self.low[small], self.range[small])
 
 
 def encode_lanes(ids: np.ndarray) -> list[bytes]:
     """ids[lane, step] (below 2^16) as one stream a lane."""
     lanes, steps = ids.shape
-    model, sink = Model(lanes), Sink(lanes, 2 * steps + 4)
-    columns = np.ascontiguousarray(ids.T)
-    zero, whole, one = np.zeros(lanes, np.int64), np.full(lanes, 65536), np.ones(lanes, np.int64)
-    for t in range(steps):
-        if due(t):
+    model, sink = Model(), Sink(lanes, steps + 4)
+    rows = np.zeros((steps + 2, lanes), np.int64)  # two rows of zeros stand before the first step
+    rows[2:] = ids.T
+    past = np.zeros((2, lanes), np.int64)
+    for a, b, learn, refresh in spans(steps):
+        x = rows[a + 2:b + 2]
+        k, mark, slots = model.look(x, rows[a + 1:b + 1], rows[a:b], past)
+        start, freq = model.start.take(mark), model.freq.take(mark)
+        for t in range(b - a):
+            late = np.flatnonzero(k[t] >= 2)
+            found = x[t].take(late)
+            sink.put(start[t], freq[t], late, model.start0.take(found), model.freq0.take(found))
+        past = np.concatenate([past, k])[-2:]
+        if learn:
+            model.learn(x, mark, slots)
+        if refresh:
             model.refresh()
-        x = columns[t].astype(np.int64)
-        model.predict()
-        slot = model.slot(x)
-        k = model.outcome(x, slot)
-        sink.put(*model.bounds(k))
-        raw, table = k == 3, k == 2
-        sink.put(np.where(raw, x, np.where(table, model.cum0[slot], zero)), np.where(raw, one, np.where(table, model.freq0[slot], whole)))
-        model.update(x, k, slot)
     return sink.finish()
 
 
 def decode_lanes(streams: list[bytes], steps: int) -> np.ndarray:
     lanes = len(streams)
-    model, source = Model(lanes), Source(streams)
-    out = np.zeros((steps, lanes), np.int64)
-    zero, whole, one = np.zeros(lanes, np.int64), np.full(lanes, 65536), np.ones(lanes, np.int64)
-    for t in range(steps):
-        if due(t):
+    model, source = Model(), Source(streams)
+    rows = np.zeros((steps + 2, lanes), np.int64)
+    past = np.zeros((2, lanes), np.int64)
+    for a, b, learn, refresh in spans(steps):
+        one, two, start, freq, (c1, c2, c3) = model.one, model.two, model.start, model.freq, model.bounds
+        outcomes = [*past]
+        for t in range(a, b):
+            e1, e2 = one.take(rows[t + 1]), two.take(model.slot(rows[t + 1], rows[t]))
+            state = outcomes[-2] << 9
+            state |= outcomes[-1] << 7
+            state |= e1 & 0x70
+            state |= e2 & 0xE
+            state += e1 ^ e2 < 128
+            at = source.outcome()
+            k8 = (at >= c1.take(state)).view(np.int8) + (at >= c2.take(state)).view(np.int8) + (at >= c3.take(state)).view(np.int8)
+            k = k8.astype(np.int64)
+            state <<= 2
+            state |= k
+            source.take_outcome(start.take(state), freq.take(state))
+            x = np.where(k8 == 1, e1, e2) >> 7
+            x &= 0xFFFF  # in a damaged stream a slot may be empty
+            late = np.flatnonzero(k8 >= 2)
+            if len(late):
+                at = source.id(late)
+                found = np.where(k8.take(late) == 2, model.lookup.take(at), at)
+                source.take_id(model.start0.take(found), model.freq0.take(found))
+                x[late] = found
+            source.refill()
+            rows[t + 2] = x
+            outcomes.append(k)
+        x = rows[a + 2:b + 2]
+        if learn:
+            _, mark, slots = model.look(x, rows[a + 1:b + 1], rows[a:b], past)
+            model.learn(x, mark, slots)
+        past = np.array(outcomes[-2:])
+        if refresh:
             model.refresh()
-        cum = model.predict()
-        at = source.look()
-        k = (at >= cum[:, 1]).astype(np.int64)
-        k += at >= cum[:, 2]
-        k += at >= cum[:, 3]
-        source.take(*model.bounds(k))
-        at = source.look()
-        raw, table = k == 3, k == 2
-        x = np.where(raw, at, np.where(k == 1, model.y1, model.y2).astype(np.int64))
-        if table.any():
-            hit = np.flatnonzero(table)
-            entry = hit * SLOTS + model.lookup[(hit << SCALE) + (at[hit] >> (16 - SCALE))].astype(np.int64)
-            x[hit] = model.tag0[entry]
-        slot = model.slot(x)
-        source.take(np.where(raw, x, np.where(table, model.cum0[slot], zero)), np.where(raw, one, np.where(table, model.freq0[slot], whole)))
-        model.update(x, k, slot)
-        out[t] = x
-    return np.ascontiguousarray(out.T)
+    return np.ascontiguousarray(rows[2:].T)
 
 
 def pack_group(doc_ids: list[int | None], docs: list[bytes], block: int = BLOCK, lanes: int = LANES) -> bytes:
