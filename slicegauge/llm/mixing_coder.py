@@ -45,7 +45,7 @@ BLOCK = 1024
 LANES = 2048
 STATES = 2048
 # Words remembered beside the lanes' arrays: less than where tokens are all a worker holds.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 EMPTY = np.int64(1 << 23)
 LEARNT = 4
 MIX = 14

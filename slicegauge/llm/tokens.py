@@ -152,7 +152,7 @@ class Encoder:
         return out
 
 
-def encoded(enc: Encoder, batches: Iterable[pa.RecordBatch], characters: int = 6_000_000):
+def encoded(enc: Encoder, batches: Iterable[pa.RecordBatch], characters: int = 3_000_000):
     """(doc_id, ids) of the rows of Arrow batches (doc_id, text), texts of about so many characters at a time."""
     doc_ids, texts, held = [], [], 0
     for b in batches:
