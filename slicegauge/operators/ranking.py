@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -150,6 +152,65 @@ def hash_marked(df: DataFrame, by: Sequence[str], key: str, limit: Column, tie:
     return seen.where(~tied).withColumn(name, ahead).unionByName(some).drop("__last", "__beyond")
 
 
+def hash_cell(key: Column) -> Column:
+    """Leading 8 bits of a draw key: few enough to be counted for every group and key at once."""
+    return F.conv(F.substring(key, 1, 2), 16, 10).cast("smallint")
+
+
+def hash_marked_all(df: DataFrame, by: Sequence[str], marks: Sequence[tuple[str, Column]], limit: Column, tie: Sequence[str] = (),
+                    cells: Sequence[str] | None = None) -> DataFrame:
+    """`hash_marked` beyond the small size for several (flag, draw key) at once, in two reads of the rows before they are flagged.
+
+    `cells` names columns that hold the `hash_cell` of each draw key, so that a
+    key is worked out for the rows of the border cells alone. One read counts the
+    cells of all keys; the second ranks the rows of the border cells.
+    """
+    rows, names = df, [name for name, _ in marks]
+    if cells is None:
+        cells = [f"__c{i}" for i in range(len(marks))]
+        rows = df.withColumns({c: hash_cell(key) for c, (_, key) in zip(cells, marks)})
+    kept, one = [*by, "__mark"], range(len(marks))
+    seen = rows.select(*by, F.posexplode(F.array(*cells)).alias("__mark", "__cell"))
+    before = materialize(buckets_before(seen, kept, "__cell"))
+    sizes = before.groupBy(*kept).agg(F.sum("__in").alias("__n"))
+    border = attach(before, sizes, kept).select(*kept, "__cell", (limit - F.col("__before")).alias("__left")).where("__left > 0")
+    border = border.groupBy(*kept).agg(F.max_by(F.struct("__cell", "__left"), "__cell").alias("__b"))
+
+    def abreast(per_mark: DataFrame, value: str) -> DataFrame:
+        return materialize(per_mark.groupBy(*by).agg(*[F.max(F.when(F.col("__mark") == i, F.col(value))).alias(f"{value}{i}") for i in one]))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return join_on(left, right, by, "left") if by else left.crossJoin(F.broadcast(right))
+
+    at = [F.struct(key.alias("__k"), *tie) for _, key in marks]
+    edged = met(rows, abreast(border, "__b"))
+    on_edge = [F.coalesce(F.col(c) == F.col(f"__b{i}.__cell"), F.lit(False)) for i, c in enumerate(cells)]
+    inside = edged.where(reduce(or_, on_edge)).select(*by, F.explode(F.array_compact(F.array(*[
+        F.when(on_edge[i], F.struct(F.lit(i).alias("__mark"), at[i].alias("__at"), F.col(f"__b{i}.__left").alias("__left"))) for i in one]))).alias("__e"))
+    group = Window.partitionBy(*kept).orderBy("__at")
+    inside = materialize(inside.select(*by, "__e.*").withColumn("__r", F.row_number().over(group)))
+    last = inside.where(F.col("__r") <= F.col("__left")).groupBy(*kept).agg(F.max("__at").alias("__last"), F.max("__r").alias("__in"))
+    equal = join_on(inside, last, kept).where((F.col("__at") == F.col("__last")) & (F.col("__r") > F.col("__in")))
+    beyond = equal.groupBy(*kept).agg(F.count(F.lit(1)).alias("__beyond"))
+    last = join_on(last, beyond, kept, "left").select(*kept, F.struct("__last", "__beyond").alias("__e"))
+    last = abreast(last, "__e")
+    full = met(edged, last)
+    ahead = [F.coalesce(F.when(on_edge[i], at[i] <= F.col(f"__e{i}.__last")).otherwise(F.col(c) < F.col(f"__b{i}.__cell")), F.lit(False)) for i, c in enumerate(cells)]
+    flags = dict(zip(names, ahead))
+    out = [*df.columns, *names]
+    split = [i for i in one if not last.where(f"__e{i}.__beyond > 0").isEmpty()]
+    if not split:
+        return full.withColumns(flags).select(*out)
+    tied = {i: on_edge[i] & F.coalesce((at[i] == F.col(f"__e{i}.__last")) & (F.col(f"__e{i}.__beyond") > 0), F.lit(False)) for i in split}
+    any_tied = reduce(or_, tied.values())
+    some = full.where(any_tied).withColumns(flags)
+    for i in split:
+        w = Window.partitionBy(*by, tied[i])
+        some = some.withColumns({"__k": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(marks[i][1]))})
+        some = some.withColumn(names[i], F.when(tied[i], F.col("__r") <= F.col("__k") - F.col(f"__e{i}.__beyond")).otherwise(F.col(names[i])))
+    return full.where(~any_tied).withColumns(flags).select(*out).unionByName(some.select(*out))
+
+
 def hash_picked(df: DataFrame, by: Sequence[str], key: str, wanted: DataFrame, position: str, tie: Sequence[str] = (),
                 small_bytes: int | None = None) -> DataFrame:
     """The rows at the wanted positions (per group, from 1) of the order of a draw key, each as often as it is wanted.

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import join_on
 from ..functions.hashing import draw_int, draw_key
-from .ranking import first_rows, hash_flagged, hash_marked, hash_picked, hash_ranked
+from ..session import is_small
+from .ranking import first_rows, hash_cell, hash_flagged, hash_marked, hash_marked_all, hash_picked, hash_ranked
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42, by: Sequence[str] = (),
@@ -166,10 +167,18 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int, test_size:
     return hash_flagged(keyed, [*by, label], "__k", n_test, [key], name, small_bytes).drop("__k")
 
 
+def split_cells(key: str, seeds: Sequence[int]) -> list[Column]:
+    """What `stratified_splits` takes as `cells`: worked out where the rows are written, the draws need not be taken again."""
+    return [hash_cell(draw_key(seed, "split", F.col(key))) for seed in seeds]
+
+
 def stratified_splits(df: DataFrame, label: str, key: str, seeds: Sequence[int], names: Sequence[str], test_size: float = 0.2,
-                      by: Sequence[str] = (), small_bytes: int | None = None) -> DataFrame:
+                      by: Sequence[str] = (), small_bytes: int | None = None, cells: Sequence[str] | None = None) -> DataFrame:
     """The flags of `stratified_split` for several seeds, each under its name: the rows are read once, however many seeds."""
     n_test = F.bround(F.col("__n") * F.lit(float(test_size)), 0)
+    if seeds and not is_small(df, small_bytes):
+        marks = [(name, draw_key(seed, "split", F.col(key))) for seed, name in zip(seeds, names)]
+        return hash_marked_all(df, [*by, label], marks, n_test, [key], cells)
     out = df
     for seed, name in zip(seeds, names):
         keyed = out.withColumn("__k", draw_key(seed, "split", F.col(key)))
